@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, near_dup, packing, pii, quality, tokens, toxicity
+from . import decontam, near_dup, packing, pii, quality, repeats, tokens, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -43,5 +47,5 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_toxicity, op4_quality, op6_decontamination, op7_token_files, op8_packing, op9_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_toxicity, op4_quality, op5_repeats, op6_decontamination, op7_token_files, op8_packing, op9_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
