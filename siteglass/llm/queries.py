@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, near_dup, packing, pii, quality, repeats, tokens, toxicity
+from . import decontam, line_dedup, near_dup, packing, pii, quality, repeats, tokens, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.pii(table(spark, sf_dir, "documents")))
 
@@ -47,5 +51,5 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_toxicity, op4_quality, op5_repeats, op6_decontamination, op7_token_files, op8_packing, op9_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_toxicity, op4_quality, op5_repeats, op6_decontamination, op7_token_files, op8_packing, op9_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
