@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, near_dup, packing, pii, quality, repeats, tokens, toxicity
+from . import decontam, line_dedup, main_text, near_dup, packing, pii, quality, repeats, tokens, toxicity
 from .common import table
 
 
@@ -51,5 +51,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_toxicity, op4_quality, op5_repeats, op6_decontamination, op7_token_files, op8_packing, op9_near_duplicates)}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.digest(main_text.main_text(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_toxicity, op4_quality, op5_repeats, op6_decontamination, op7_token_files, op8_packing, op9_near_duplicates, op10_main_text)}
 ORACLE_SQL: dict[str, str] = {}
