@@ -138,6 +138,21 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80)
     return out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits")).select("doc_id", "n_shingles", "hits")
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents that hold an item, in one pass a block of items; same columns."""
+    spark, at = docs.sparkSession, docs.columns.index("text")
+    for block in item_blocks(items, size):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index, words = Index(sent.value, percent), WordHash()
+            for b in batches:
+                yield b.filter(pa.array([not index.search(shingles(t or "", size, words)) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_shingles, n_items, item_ids (comma-joined, ascending) and contaminated."""
     return found.select("doc_id", "n_shingles", F.size("hits").cast("long").alias("n_items"), F.array_join(F.transform("hits", lambda x: x["item_id"].cast("string")), ",").alias("item_ids"), (F.size("hits") > 0).alias("contaminated"))

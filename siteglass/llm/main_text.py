@@ -141,7 +141,7 @@ def model() -> tuple[dict[str, float], float, dict[str, float]]:
 
 def extract(page: str | None) -> str:
     """The main text of one page; where no context is likely, contexts that are merely open to it count."""
-    return (_extract(page, 0.4) or _extract(page, 0.25)) if page else ""
+    return next((t for level in (0.4, 0.25, 0.1) if (t := _extract(page, level))), "") if page else ""
 
 
 def _extract(page: str, level: float) -> str:

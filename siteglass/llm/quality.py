@@ -14,6 +14,7 @@ Null text counts as empty: no words, rejected. Equal rows get equal verdicts; ot
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,3 +126,18 @@ def quality(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
         return {"doc_id": batch.column("doc_id")} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
     return arrow_map(docs_of(docs), one, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, clean_text string")
+
+
+def clean(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """``docs`` without the rejected documents and without the failing lines of the others; same columns."""
+    rules = rules or Rules()
+    at = docs.columns.index("text")
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [judge(t, rules) for t in batch.column(at).to_pylist()]
+            columns = [pa.array([r[7] for r in rows], pa.string()) if i == at else pa.array([len(r[7]) for r in rows]).cast(c.type) if i == counted else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([r[6] for r in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
