@@ -31,7 +31,7 @@ from .common import arrow_map, docs_of, materialize, work_dir
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
-SPAN_CHARS = 4_000_000
+BLOCK_SHINGLES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -165,6 +165,90 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def joining_links(own: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) that join the components left in each bucket, from rows (key, rep, n, label).
+
+    A bucket of many shingles is dealt in blocks, and each pair of blocks is one bounded group, so any two members
+    meet. In a group a bitmap of each set bounds the symmetric difference from below, which rules pairs out without
+    loss; the others are compared in full, and only links between components not yet joined are returned.
+    """
+    count = own.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = own.join(count, "key").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("key", "rep", "label", "block", other).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "rep", "label", (F.col("block") > F.col("other")).alias("upper"), (F.col("block") == F.col("other")).alias("same"))
+    rows = dealt.join(texts.select(F.col("doc_id").alias("rep"), "z"), "rep")
+    parts = 2 * int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    percent, size = p.percent, p.words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, unpack = WordHash(), zstandard.ZstdDecompressor()
+        held: dict[int, np.ndarray] = {}
+        group, members = None, []
+
+        def of(rep: int, z: bytes) -> np.ndarray:
+            if rep not in held:
+                if len(held) > 2000:
+                    held.clear()
+                held[rep] = shingle_set(unpack.decompress(z).decode(), size, words)
+            return held[rep]
+
+        def done() -> pa.RecordBatch:
+            found = join_group([(r, lab, up, same, of(r, z)) for r, lab, up, same, z in members], percent)
+            return pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+        for b in batches:
+            for g, *row in zip(*(b.column(c).to_pylist() for c in ("group", "rep", "label", "upper", "same", "z")), strict=True):
+                if g != group and members:
+                    yield done()
+                    members = []
+                group = g
+                members.append(row)
+        if members:
+            yield done()
+
+    ordered = rows.select("group", "rep", "label", "upper", "same", "z").repartition(parts, "group").sortWithinPartitions("group", "rep")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def join_group(members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links that join the labels of (rep, label, upper, same, set); across blocks unless they are the same."""
+    rep = [m[0] for m in members]
+    root = np.unique([m[1] for m in members], return_inverse=True)[1]
+    upper, whole = np.array([m[2] for m in members]), members[0][3]
+    sets = [m[4] for m in members]
+    n = np.array([len(s) for s in sets])
+    bits = 1 << min(16, max(6, int(4 * n.max() - 1).bit_length()))
+    maps = np.zeros((len(members), bits // 64), dtype=np.uint64)
+    for i, s in enumerate(sets):
+        flags = np.zeros(bits, dtype=bool)
+        flags[(s >> _U(8) & _U(bits - 1)).astype(np.int64)] = True
+        maps[i] = np.packbits(flags).view(np.uint64)
+    out = []
+    for i in range(len(members)):
+        mine = root != root[i]
+        if whole:
+            mine[:i] = False
+        elif upper[i]:
+            continue
+        else:
+            mine &= upper
+        at = np.flatnonzero(mine)
+        at = at[100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])]
+        for lo in range(0, len(at), 2048):
+            part = at[lo : lo + 2048]
+            apart = np.bitwise_count(maps[part] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            for j in part[apart * (100 + percent) <= (100 - percent) * (n[part] + n[i])].tolist():
+                if root[j] == root[i]:
+                    continue
+                both = np.concatenate((sets[i], sets[j]))
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= percent * (n[i] + n[j] - common):
+                    root[root == root[j]] = root[i]
+                    out.append((rep[i], rep[j]))
+    return out
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """node and root (smallest node reachable) of every node of ``edges`` (a, b).
 
@@ -223,20 +307,17 @@ def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
         mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         return materialize(own.join(mixed, "key", "left_semi"), folder)
 
-    for last in (False, True):
-        own = labelled()
-        if own.isEmpty():
-            break
-        other = own.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        if not last:
-            other = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))).alias("m")).select("key", "m.a", "m.na", "m.la")
-        pairs = own.join(other, "key").where("label <> la").where(near("n", "na")).where("rep > a" if last else "rep <> a")
+    own = labelled()
+    if not own.isEmpty():
+        pivot = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))).alias("m")).select("key", "m.a", "m.na", "m.la")
+        pairs = own.join(pivot, "key").where("label <> la and rep <> a").where(near("n", "na"))
         pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), folder)
-        tried = tried.unionByName(pairs)
-        new = materialize(verify(pairs, texts, p), folder)
-        if not new.isEmpty():
-            links = links.unionByName(new)
+        links = links.unionByName(materialize(verify(pairs, texts, p), folder))
+        root = components(links, folder)
+        own = labelled()
+        if not own.isEmpty():
+            links = links.unionByName(materialize(joining_links(own, texts, p), folder))
             root = components(links, folder)
     classes = reps.join(_flat(root, folder).select(F.col("node").alias("rep"), "root"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     out = all_.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
