@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import flagship
+from .plans.register import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
