@@ -1,0 +1,159 @@
+"""Operators that judge each row by itself, against plain readings of their rules."""
+
+import random
+import re
+from collections import Counter
+
+from siteglass.llm import decontam, main_text, pii, quality, toxicity
+from siteglass.llm.html_pages import PAGES
+
+from .conftest import ODD
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = re.sub("[ -]", "", m.group())
+        if 13 <= len(digits) <= 19 and pii.luhn(digits):
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+
+
+def test_pii_base_spans_equal_full_scans():
+    rng = random.Random(1)
+    for _ in range(8000):
+        t = "".join(rng.choice("@@..aé-+ 0123 4567 89()%") for _ in range(rng.randint(0, 60)))
+        assert [x for x in pii.find(t) if x[0] in pii.BASE] == base_spans(t), t
+
+
+def test_pii_added_kinds():
+    t = "See https://a.b/c?d=1. Write to 12 Main Street. IBAN DE89 3704 0044 0532 0130 00, IBAN DE89 3704 0044 0532 0130 01, SSN: 123-45-6789"
+    assert [(k, t[s:e]) for k, s, e in pii.find(t)] == [("url", "https://a.b/c?d=1"), ("address", "12 Main Street"), ("account", "DE89 3704 0044 0532 0130 00"), ("account", "123-45-6789")]
+
+
+def test_pii_long_runs_are_linear():
+    assert pii.find("1" * 200_000 + "@" * 1000 + "." * 1000) == []
+
+
+def test_pii_query_over_odd_rows(frame):
+    rows = [*ODD, (1, "a@b.cd +1 (988) 555-2485"), (1, "a@b.cd +1 (988) 555-2485")]
+    got = pii.digest(pii.pii(frame(rows))).collect()
+    assert len(got) == len(rows)
+    assert [r.spans for r in got if r.doc_id == 1] == ["email:0:6,phone:7:24"] * 2
+    assert all(r.spans == "" and r.n_email == 0 for r in got if r.doc_id != 1)
+    assert pii.digest(pii.pii(frame([]))).count() == 0
+
+
+def plain_quality(t):
+    w, lines = WORD.findall(t or ""), (t or "").split("\n")
+    seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {i + k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), sum(1 for i, x in enumerate(lines) if WORD.search(x) and x in lines[:i]), len(covered)
+
+
+def test_quality_counts_against_plain_rules():
+    rng = random.Random(2)
+    texts = [None, "", "\n\n", " \x1c\x85 é", "a " * 5000] + [("\n" if rng.random() < 0.2 else " ").join(rng.choice(["a", "b", "cé", "#x", "|", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    for t in texts:
+        got = quality.judge(t, quality.Rules())
+        assert got[:5] == plain_quality(t), t
+        assert got[5] == (got[0] < 20 or 100 * got[4] > 30 * got[0])
+
+
+def test_quality_verdicts(frame):
+    good = "\n".join(f"Line {i} of this text says something of its own, number {i * 7}, and ends well." for i in range(6))
+    noisy = " ".join(f"word{i}%%% other{i}###" for i in range(30))
+    menu = good + "\nHome | News | Contact\nAll rights reserved.\nmenu"
+    rows = {1: good, 2: noisy, 3: menu, 4: "too short"}
+    got = {r.doc_id: r for r in quality.quality(frame([*rows.items(), *ODD])).collect()}
+    assert [got[i].kept for i in (1, 2, 3, 4)] == [True, False, True, False]
+    assert got[3].clean_text == good and got[1].clean_text == good
+    docs = frame([*rows.items(), *ODD])
+    out = quality.clean(docs)
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {1: good, 3: good}
+
+
+def test_toxicity_finds_what_labels_mark(frame, spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for d in range(1200):
+        bad = d % 5 == 0
+        text = [rng.choice(words) for _ in range(60)]
+        if bad:
+            for _ in range(4):
+                text[rng.randrange(60)] = rng.choice(["Nitwit,", "NITWIT", "oaf.", "dolt"])
+        rows.append((d, " ".join(text)))
+        labels.append((d, int(bad)))
+    lab = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity(frame([*rows, *ODD]), lab).collect()
+    assert len(got) == len(rows) + len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 1200]
+    assert 150 < len(held) < 350
+    assert sum(r.predicted == int(r.doc_id % 5 == 0) for r in held) >= 0.97 * len(held)
+    again = toxicity.toxicity(frame([*rows, *ODD]), lab).collect()
+    assert {(r.doc_id, r.score) for r in got} == {(r.doc_id, r.score) for r in again}
+
+
+def test_toxicity_without_labels(frame, spark):
+    got = toxicity.toxicity(frame([(1, "a b")]), spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(got) == 1 and 0 <= got[0].score <= 1
+
+
+def grams(t, n=5):
+    w = [x for x in (w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in WORD.findall((t or "").lower())) if x]
+    n = min(n, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+
+def test_decontamination_equals_full_containment(frame, spark, monkeypatch):
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(40)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(say(rng.choice([2, 4, 8, 15, 40])))) for i in range(60)] + [(60, None), (61, ""), (62, "...")]
+    docs = []
+    for d in range(150):
+        w = say(rng.choice([0, 3, 30, 300]))
+        if rng.random() < 0.6:
+            part = (rng.choice(items[:60])[1]).split()
+            if rng.random() < 0.6:
+                part[rng.randrange(len(part))] = "changed"
+            at = rng.randint(0, len(w))
+            w[at:at] = [x.upper() + "," if rng.random() < 0.3 else x for x in part]
+        docs.append((d, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sets = [(i, grams(t)) for i, t in items if grams(t)]
+    want = {d: ",".join(str(i) for i, s in sets if 100 * len(s & grams(t)) >= 80 * len(s)) for d, t in docs}
+    for block in (500_000, 100):  # one block of items, or several
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        got = {r.doc_id: r for r in decontam.digest(decontam.matches(frame([*docs, *ODD]), bench)).collect()}
+        assert {d: got[d].item_ids for d, _ in docs} == want and not got[9001].contaminated
+        kept = {r.doc_id for r in decontam.clean(frame(docs), bench).collect()}
+        assert kept == {d for d, x in want.items() if not x}
+    assert sum(map(bool, want.values())) > 20
+    assert decontam.digest(decontam.matches(frame(docs), bench.limit(0))).where("contaminated").count() == 0
+
+
+def test_main_text_of_labelled_pages():
+    for page in PAGES:
+        inner = re.search(r"\{\{(.*)\}\}", page, re.S)[1]
+        inner = re.sub(r"\[\[.*?\]\]", "", inner, flags=re.S)
+        want = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", inner)).split()
+        got = main_text.extract(re.sub(r"\{\{|\}\}|\[\[|\]\]", "", page)).split()
+        assert got == want
+
+
+def test_main_text_of_unseen_and_broken_pages(frame, spark):
+    page = """<html><body><div id="menu" class="nav"><a href="/">Home</a></div><div class="ads">Buy now</div><div class="post-content"><h1>Kites</h1>
+    <p>Wind &amp; string make a kite fly,\n and\ttails keep it <i>steady</i>.</p><p>Ok.</p></div><div class="comments"><p>I lost mine in a tree last year, sadly.</p></div><footer><p>Copyright</p></footer></body></html>"""
+    assert main_text.extract(page) == "Kites\n\nWind & string make a kite fly, and tails keep it steady.\n\nOk."
+    assert main_text.extract("<p>open <b>x &lt; 3 &amp y") == "open x < 3 & y"
+    assert main_text.extract("<html><body><div>only this</div></body></html>") == "only this"
+    assert main_text.extract('<p>a<script>var t="</p>";</script>b<!-- <p>c -->d') == "abd"
+    rows = [(1, "u", page), (2, None, None), (None, "v", ""), (3, "w", "<"), (4, "w", "<div class='x"), (5, "w", "no markup")]
+    got = main_text.digest(main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert len(got) == 6 and all(len(r.text) == r.n_chars for r in got)
+    assert {r.page_id: r.text for r in got}[5] == "no markup"
