@@ -1,7 +1,7 @@
 """Token ids of whole texts by the ``tokenizers`` library, and their file format.
 
-Encoding: a byte-level BPE never joins across a single space between two visible characters, so texts are cut there
-and every distinct piece is encoded once per worker (bounded memory); ids equal those of encoding the text at once.
+Encoding: the byte-level vocabulary never joins across certain places, so texts are cut there and every distinct
+piece is encoded by the library once per worker (bounded memory); ids equal those of encoding the text at once.
 
 File format: ids are replaced by their rank in the corpus-wide frequency order (rank 0 is the most frequent, ties by
 id) and written in byte-aligned variable-length code: two control bits per value, four to a control byte kept apart
@@ -14,7 +14,6 @@ other in the order of their ids, so equal rows are interchangeable.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,59 +26,164 @@ from .common import arrow_map, docs_of, materialize, work_dir
 
 END_ID = 0
 _V = "!-~¡-˿Ͱ-ͳЀ-ҁ"
-_CUT = re.compile(f"(?<=[{_V}]) (?=[{_V}])")
+_U = np.uint64
+_MULT, _ROUND = 0x9E3779B97F4A7C15, 1 << 64
+_TABLES = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
+_MARKS = ",.;:!?"
+_VISIBLE = np.zeros(256, dtype=bool)
+_VISIBLE[0x21:0x7F] = True
+_LEAD = np.zeros(256, dtype=bool)  # of letters in two bytes: Latin, Greek, Cyrillic
+_LEAD[0xC3:0xCB] = _LEAD[0xCE:0xD2] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_MARK = np.isin(np.arange(256), [ord(m) for m in _MARKS])
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
+    return x ^ x >> _U(31)
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes of four a piece.
+    """Ids of texts, by pieces that are encoded once.
 
-    Pieces are remembered in two generations of ``room`` each: a full younger one takes the place of the older, and
-    what is looked up there returns to the younger, so frequent pieces stay and memory is bounded.
+    Pieces begin at a single space or line feed between visible characters, and at a mark between a letter and such a
+    place; the vocabulary never joins across these. They are told apart by 128-bit hashes, computed for all pieces of
+    many texts at once, in an open table of bounded size (``room``) that starts anew when it is full.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.room = room
         vocab = self.tok.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for piece, i in vocab.items():  # a byte-level vocabulary spells each byte as one character
             self.width[i] = len(piece)
-
-    def _learn(self, missing: list[str]) -> None:
-        """Encode pieces in few long texts and cut the ids where the bytes of each piece end."""
-        for lo in range(0, len(missing), 5000):
-            part = missing[lo : lo + 5000]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x.encode()) + 1 for x in part]), side="left") + 1
-            raw = ids.tobytes()
-            for piece, i, j in zip(part, [0, *at[:-1].tolist()], at.tolist(), strict=True):
-                self.young[piece] = raw[4 * i : 4 * j]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > self.room:
-            self.young, self.old = {}, self.young
-        cut = [_CUT.split(t) for t in texts]
-        first = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)]
-        young, old = self.young, self.old
-        found = [[young.get(x) for x in c] for c in cut]
-        missing = set()
-        for c, got in zip(cut, found, strict=True):
-            if None in got[1:]:
-                for i, x in enumerate(got):
-                    if x is None and i:
-                        piece = c[i]
-                        if (had := old.get(piece)) is not None:
-                            young[piece] = had
-                        else:
-                            missing.add(piece)
-        if missing:
-            self._learn(list(missing))
-        return [f + b"".join(got[1:] if None not in got[1:] else [young[x] for x in c[1:]]) for f, c, got in zip(first, cut, found, strict=True)]
+        self.room, self.bits = room, max(10, (2 * room - 1).bit_length())
+        self.power = self.back = np.ones(1, dtype=np.uint64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key1, self.key2 = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.uint64)
+        self.value = np.zeros(1 << self.bits, dtype=np.int32)
+        self.at, self.count = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.pool, self.used, self.pieces = np.zeros(4096, dtype="<u4"), 0, 0
+        marks = [self._plain(m) for m in _MARKS]
+        raw = np.frombuffer(_MARKS.encode(), dtype=np.uint8)
+        self._grow(1)
+        h1, h2 = self._hashes(raw, np.arange(len(raw)), np.ones(len(raw), dtype=np.int64))
+        self._add(h1, h2, np.concatenate(marks), np.array([len(m) for m in marks]))
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) <= n:
+            size = 2 * n + 1
+            self.power = np.cumprod(np.concatenate(([_U(1)], np.full(size, _MULT, dtype=np.uint64))))
+            self.back = np.cumprod(np.concatenate(([_U(1)], np.full(size, pow(_MULT, -1, _ROUND), dtype=np.uint64))))
+
+    def _hashes(self, x: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        self._grow(len(x))
+        out = []
+        for t in _TABLES:
+            sums = np.concatenate(([_U(0)], np.cumsum(t[x] * self.power[: len(x)])))
+            out.append(_mix((sums[start + size] - sums[start]) * self.back[start] + size.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)))
+        out[0][out[0] == 0] = 1
+        return out
+
+    def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Piece numbers, or -1."""
+        out, left, mask = np.full(len(h1), -1, dtype=np.int64), np.arange(len(h1)), _U((1 << self.bits) - 1)
+        slot = (h1 & mask).astype(np.int64)
+        while len(left):
+            key = self.key1[slot]
+            hit = (key == h1[left]) & (self.key2[slot] == h2[left])
+            out[left[hit]] = self.value[slot[hit]]
+            on = ~hit & (key != 0)
+            left, slot = left[on], slot[on] + 1 & (1 << self.bits) - 1
+        return out
+
+    def _add(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Add pieces that are not in the table yet, each once."""
+        n = len(h1)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while self.pieces + n > len(self.at):
+            self.at, self.count = np.concatenate((self.at, np.zeros_like(self.at))), np.concatenate((self.count, np.zeros_like(self.count)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at[self.pieces : self.pieces + n] = self.used + np.cumsum(count) - count
+        self.count[self.pieces : self.pieces + n] = count
+        left, slot = np.arange(n), (h1 & _U((1 << self.bits) - 1)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.key1[slot] == 0)
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            s, w = slot[first], left[first]
+            self.key1[s], self.key2[s], self.value[s] = h1[w], h2[w], self.pieces + w
+            on = np.ones(len(left), dtype=bool)
+            on[first] = False
+            left, slot = left[on], slot[on] + 1 & (1 << self.bits) - 1
+        self.used, self.pieces = self.used + len(ids), self.pieces + n
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        raws = [t.encode() for t in texts]
+        sizes = np.array([len(r) for r in raws], dtype=np.int64)
+        buf = b"".join(raws)
+        n = len(buf)
+        if not n:
+            return [np.zeros(0, dtype="<u4") for _ in texts]
+        x = np.frombuffer(buf, dtype=np.uint8)
+        ends = np.cumsum(sizes)
+        begins = (ends - sizes)[sizes > 0]
+        shown = _VISIBLE[x]
+        last = shown.copy()  # a visible character ends here
+        last[1:] |= (x[1:] & 0xC0 == 0x80) & _LEAD[x[:-1]]
+        cut = np.zeros(n + 1, dtype=bool)
+        cut[1 : n - 1] = ((x[1:-1] == 32) | (x[1:-1] == 10)) & last[:-2] & (shown[2:] | _LEAD[x[2:]])
+        cut[ends[sizes > 0] - 1] = False
+        cut[begins] = True
+        cut[n] = True
+        marks = np.zeros(n, dtype=bool)
+        marks[1:] = _MARK[x[1:]] & _LETTER[x[:-1]] & cut[2:]
+        marks[begins] = False
+        cut[:n] |= marks
+        start = np.flatnonzero(cut[:n])
+        size = np.diff(np.append(start, n))
+        alone = np.zeros(n, dtype=bool)  # first pieces, and pieces that end in no visible character
+        alone[begins] = True
+        alone = alone[start] | ~last[start + size - 1]
+        h1, h2 = self._hashes(x, start, size)
+        if self.pieces + len(start) > self.room:
+            self._clear()
+        if self.pieces + len(start) > 1 << self.bits - 1:
+            self.bits = (2 * len(start)).bit_length() + 1
+            self._clear()
+        which = np.full(len(start), -1, dtype=np.int64)
+        own = np.flatnonzero(~alone)
+        which[own] = self._find(h1[own], h2[own])
+        while len(new := own[which[own] < 0]):
+            once = new[np.unique(h1[new], return_index=True)[1]]
+            for lo in range(0, len(once), 5000):
+                part = once[lo : lo + 5000]
+                s, e = start[part].tolist(), (start[part] + size[part]).tolist()
+                ids = self._plain(b"".join([buf[i:j] for i, j in zip(s, e, strict=True)]).decode())
+                stop = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size[part])) + 1
+                self._add(h1[part], h2[part], ids, np.diff(stop, prepend=0))
+            which[new] = self._find(h1[new], h2[new])
+        single = np.flatnonzero(alone)
+        got = [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast([buf[i:j].decode() for i, j in zip(start[single].tolist(), (start[single] + size[single]).tolist(), strict=True)], add_special_tokens=False)]
+        at, count = self.at[which], self.count[which]
+        lens = np.array([len(g) for g in got], dtype=np.int64)
+        at[single], count[single] = self.used + np.cumsum(lens) - lens, lens
+        pool = np.concatenate((self.pool[: self.used], *got))
+        total = np.cumsum(count)
+        ids = pool[np.repeat(at - (total - count), count) + np.arange(int(total[-1]))]
+        done = np.concatenate(([0], total))[np.searchsorted(start, np.concatenate(([0], ends)))]
+        return [ids[i:j] for i, j in zip(done[:-1].tolist(), done[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -95,17 +199,17 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_in_parts(enc: Encoder, texts: list[str], chars: int = 400_000) -> Iterator[bytes]:
-    """Encode in slices of bounded size; every text gets the end id."""
+def encode_in_parts(enc: Encoder, texts: list[str], chars: int = 500_000) -> Iterator[bytes]:
+    """Little-endian ids of each text with the end id, encoded in slices of bounded size."""
     end, part, size = np.array([END_ID], dtype="<u4").tobytes(), [], 0
     for t in texts:
         part.append(t)
         size += len(t)
         if size >= chars:
-            yield from (x + end for x in enc.encode(part))
+            yield from (x.tobytes() + end for x in enc.encode(part))
             part, size = [], 0
     if part:
-        yield from (x + end for x in enc.encode(part))
+        yield from (x.tobytes() + end for x in enc.encode(part))
 
 
 # ---------------------------------------------------------------- byte-aligned code
@@ -165,13 +269,19 @@ def frequency_ranks(encoded: DataFrame) -> np.ndarray:
     """ids in descending frequency (ties by id); a table of the vocabulary's size, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, dtype=np.int64)
+        total = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
+            short, long = [], []
             for x, n in zip(b.column("ids").to_pylist(), b.column("n").to_pylist(), strict=True):
-                c = np.bincount(_raw(x, n))
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[: len(c)] += c
+                (short if len(x) == 2 * n else long).append(x)
+            c = np.bincount(np.frombuffer(b"".join(short), dtype="<u2"), minlength=1 << 16)
+            for x in long:
+                more = np.bincount(np.frombuffer(x[1:], dtype="<u4"))
+                c = np.pad(c, (0, max(0, len(more) - len(c))))
+                c[: len(more)] += more
+            if len(c) > len(total):
+                total = np.pad(total, (0, len(c) - len(total)))
+            total[: len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "c": pa.array(total[at], pa.int64())})
 
@@ -186,7 +296,7 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None) -> str:
     ``blocks`` (part, block, doc_ids, counts, control, data) and ``ranks`` (the ids in frequency order).
     """
     spark, folder = docs.sparkSession, folder or work_dir(docs.sparkSession)
-    encoded = materialize(encode_table(docs, path), folder)
+    encoded = materialize(encode_table(docs, path), folder, "none")
     ids = frequency_ranks(encoded)
     spark.createDataFrame([(ids.tobytes(),)], "ranks binary").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(int(ids.max(initial=0)) + 1, dtype="<u4")
@@ -215,7 +325,7 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None) -> str:
             yield flush()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = encoded.repartitionByRange(parts, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids").select("doc_id", "n", "ids")
+    ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").select("doc_id", "n", "ids")
     ordered.mapInArrow(blocks, "part int, block int, doc_ids array<long>, counts array<long>, control binary, data binary").write.option("compression", "none").parquet(f"{folder}/blocks")
     return folder
 
