@@ -28,7 +28,8 @@ def unit_for(value, period, metro, kind) -> Column:
     said_month, said = period.startswith("mo"), period != ""
     by_market = F.when(metro == "la", "sf_mo").when(metro.isin(*YEARLY_METROS), "sf_yr").when(kind.isin("industrial", "flex"), "sf_mo")
     return (
-        F.when(said_month, F.when(value.between(mlo, mhi), "sf_mo"))
+        F.when(value.isNull(), None)
+        .when(said_month, F.when(value.between(mlo, mhi), "sf_mo"))
         .when(said, F.when(value.between(ylo, yhi), "sf_yr"))
         .when(value > mhi, F.when(value <= yhi, "sf_yr"))
         .when(value < ylo, F.when(value >= mlo, "sf_mo"))

@@ -74,7 +74,7 @@ def transit_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    _BASE + f"SELECT id, category, name, CAST(rank AS INTEGER) AS rank, round(meters, 3) AS meters FROM (SELECT *, row_number() OVER (PARTITION BY id, category ORDER BY round(meters, 6), name) AS rank FROM ({_REACH}) WHERE meters <= 2414 AND name IS NOT NULL AND category <> 'bus_stop') WHERE rank <= 3"
+    _BASE + f"SELECT id, category, name, CAST(rank AS INTEGER) AS rank, round(round(meters, 6), 3) AS meters FROM (SELECT *, row_number() OVER (PARTITION BY id, category ORDER BY round(meters, 6), name) AS rank FROM ({_REACH}) WHERE meters <= 2414 AND name IS NOT NULL AND category <> 'bus_stop') WHERE rank <= 3"
 )
 def poi_top3(spark: SparkSession, sf: str) -> DataFrame:
     near = nearby.radius_join(listings(spark, sf).select("id", "lat", "lng"), pois(spark, sf).select("category", "name", "lat", "lng")).withColumn("meters", F.round("meters", 6))
