@@ -4,7 +4,7 @@ A line (a piece of a text between line feeds) is removed when an earlier line of
 number, has the same words or, from ``fuzzy_words`` words on, words within one edit: one word replaced, inserted or
 deleted. What counts as earlier is judged on the input. Lines under ``min_words`` words always stay.
 
-Equal lines are folded first, by a 128-bit hash. Variants within the bound leave out one word: replaced words meet
+Equal lines are folded first, by three 64-bit hashes. Variants within the bound leave out one word: replaced words meet
 under equal variants of both lines, an inserted word under the longer line's variant and the shorter line as it is.
 Emitting all of them would multiply the corpus by its line length, so lines first meet under variants that leave out
 half of the words: one edit leaves the first or the last half of the shorter line intact. Only lines with company
@@ -33,71 +33,82 @@ class Params:
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda w: w != "")
+    """Words are what stands between single spaces, after spaces at either end are dropped."""
+    return F.split(F.trim(line), " ")
+
+
+def _half(words: Column, least: Column, last: bool) -> Column:
+    """Hash of the first or last half of the words, as long as half of the shorter line of a pair."""
+    m = F.greatest(F.floor((least - 1) / 2).cast("int"), F.lit(0))
+    return F.xxhash64(F.slice(words, F.size(words) - m + 1, m) if last else F.slice(words, F.lit(1), m))
 
 
 def lines_of(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, line_no, words of every line that can be removed."""
-    exploded = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return exploded.select("doc_id", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") >= p.min_words)
+    """doc_id, line_no, the number of words n and hashes of every line that can be removed.
 
+    h is the hash of all words; p0 and s0 of the halves by the line's own length, which with h tell lines apart; p1
+    and s1 of the halves if the line is the longer of a pair. A nested transform splits each line once.
+    """
 
-def _id() -> list[Column]:
-    return [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2")]
+    def hashes(words: Column, i: Column) -> Column:
+        n = F.size(words)
+        parts = {"p0": (n, False), "s0": (n, True), "p1": (n - 1, False), "s1": (n - 1, True)}
+        return F.struct(i.alias("line_no"), n.alias("n"), F.xxhash64(words).alias("h"), *(_half(words, *x).alias(c) for c, x in parts.items()))
 
+    rows = F.transform(F.transform(F.split("text", "\n"), words_of), hashes)
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(rows)).where(F.col("n") >= p.min_words)
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """Each distinct line: its hash, earliest place, number of words and the hashes of its halves."""
-    n = F.size("words")
 
-    def half(least: Column, last: bool) -> Column:
-        m = F.floor((least - 1) / 2).cast("int")
-        return F.xxhash64(F.slice("words", n - m + 1, m) if last else F.slice("words", F.lit(1), m))
+SAME = ["h", "p0", "s0"]
 
-    cols = [n.alias("n"), half(n, False).alias("p0"), half(n, True).alias("s0"), half(n - 1, False).alias("p1"), half(n - 1, True).alias("s1")]
-    rows = lines.select(*_id(), F.struct("doc_id", "line_no", *cols).alias("at"))
-    return rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies")).select("h1", "h2", "at.*", "copies")
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """Each distinct line at its earliest place, with the number of its copies."""
+    return lines.groupBy(*SAME).agg(F.min(F.struct("doc_id", "line_no", "n", "p1", "s1")).alias("at"), F.count(F.lit(1)).alias("copies")).select(*SAME, "at.*", "copies")
 
 
 def company(uniq: DataFrame, p: Params) -> DataFrame:
     """Lines that share a half with another, with the roles and halves in which they do.
 
-    Roles: r (a word replaced), d (the longer of two lines), g (the shorter). Half p: the first half is shared.
+    Roles: r (a word replaced), g (the shorter of two lines), d (the longer). Half p: the first half is shared. A line
+    of n words meets others of n as they are (role b: r or g), and of n + 1 under their halves for one word less.
     """
     rows = uniq.where(F.col("n") >= p.fuzzy_words - 1).select(
         "doc_id",
         "line_no",
-        F.explode(F.array(*(F.struct(F.lit(role).alias("role"), F.lit(half).alias("half"), F.xxhash64(F.lit("r" if role == "r" else "d"), F.lit(half), F.col("n") - (1 if role == "d" else 0), F.col(src)).alias("key")) for role, half, src in (("r", "p", "p0"), ("r", "s", "s0"), ("d", "p", "p1"), ("d", "s", "s1"), ("g", "p", "p0"), ("g", "s", "s0"))))).alias("x"),
-    ).select("doc_id", "line_no", "x.*")
-    kinds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("role").alias("lo"), F.max("role").alias("hi"))
-    keys = kinds.where("c > 1 and (lo = 'r' or lo <> hi)").select("key")
-    flags = [F.max((F.col("role") == r) & (F.col("half") == h)).alias(r + h) for r in "rdg" for h in "ps"]
-    return rows.join(keys, "key", "left_semi").groupBy("doc_id", "line_no").agg(*flags)
+        F.inline(F.array(*(F.struct(F.lit(role).alias("role"), F.lit(half).alias("half"), F.xxhash64(F.lit(half), F.col("n") - (1 if role == "d" else 0), F.col(src)).alias("key")) for role, half, src in (("b", "p", "p0"), ("b", "s", "s0"), ("d", "p", "p1"), ("d", "s", "s1"))))),
+    )
+    base = F.count_if(F.col("role") == "b")
+    keys = rows.groupBy("key").agg(base.alias("nb"), F.count(F.lit(1)).alias("c")).where("c > 1 and nb > 0").select("key", "nb", (F.col("c") - F.col("nb")).alias("nd"))
+    met = {"r": (F.col("role") == "b") & (F.col("nb") > 1), "g": (F.col("role") == "b") & (F.col("nd") > 0), "d": F.col("role") == "d"}
+    flags = [F.max(met[r] & (F.col("half") == h)).alias(r + h) for r in "rdg" for h in "ps"]
+    return rows.join(keys, "key").groupBy("doc_id", "line_no").agg(*flags).where("rp or rs or dp or ds or gp or gs")
 
 
 def variants(live: DataFrame) -> DataFrame:
     """key, role, doc_id, line_no of the single-word variants of lines with company."""
-    n = F.size("words")
-    place = F.posexplode("words").alias("i", "w")
 
     def m(least: Column) -> Column:
         return F.floor((least - 1) / 2)
 
-    tagged = F.aggregate(F.transform("words", lambda w, i: F.xxhash64(w, i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    rep = live.where("rp or rs").select("doc_id", "line_no", "rp", "rs", n.alias("n"), tagged.alias("all"), place)
-    rep = rep.where((F.col("rp") & (F.col("i") >= m(F.col("n")))) | (F.col("rs") & (F.col("i") <= F.col("n") - 1 - m(F.col("n")))))
-    rep = rep.select(F.xxhash64(F.lit("r"), "n", "i", F.col("all").bitwiseXOR(F.xxhash64("w", "i"))).alias("key"), F.lit("r").alias("role"), "doc_id", "line_no")
-    short = live.where("gp or gs").select(F.xxhash64(F.lit("d"), n, tagged).alias("key"), F.lit("g").alias("role"), "doc_id", "line_no")
+    def xor(items: Column) -> Column:
+        return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+    n, i = F.col("n"), F.col("i")
+    told = live.withColumns({"n": F.size("words"), "all": xor(F.transform("words", lambda w, i: F.xxhash64(w, i)))})
+    rep = told.where("rp or rs").select("doc_id", "line_no", "rp", "rs", "n", "all", F.posexplode(F.transform("words", lambda w, i: F.xxhash64(w, i))).alias("i", "x"))
+    rep = rep.where((F.col("rp") & (i >= m(n))) | (F.col("rs") & (i <= n - 1 - m(n))))
+    rep = rep.select(F.xxhash64(F.lit("r"), "n", "i", F.col("all").bitwiseXOR(F.col("x"))).alias("key"), F.lit("r").alias("role"), "doc_id", "line_no")
+    short = told.where("gp or gs").select(F.xxhash64(F.lit("d"), "n", "all").alias("key"), F.lit("g").alias("role"), "doc_id", "line_no")
     # without word i: the words before it keep their place, those after it move up by one
-    every = live.where("dp or ds").select("doc_id", "line_no", "dp", "ds", n.alias("n"), place)
-    line = Window.partitionBy("doc_id", "line_no").orderBy("i")
-    before = F.coalesce(F.bit_xor(F.xxhash64("w", "i")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    moved = F.xxhash64("w", F.col("i") - 1)
-    upto = F.bit_xor(moved).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = F.bit_xor(moved).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    gone = every.select("doc_id", "line_no", "dp", "ds", "n", "i", before.bitwiseXOR(upto).bitwiseXOR(whole).alias("rest"))
-    gone = gone.where((F.col("dp") & (F.col("i") >= m(F.col("n") - 1))) | (F.col("ds") & (F.col("i") <= F.col("n") - 1 - m(F.col("n") - 1))))
-    gone = gone.select(F.xxhash64(F.lit("d"), F.col("n") - 1, "rest").alias("key"), F.lit("d").alias("role"), "doc_id", "line_no")
+    every = live.where("dp or ds").withColumns({"n": F.size("words"), "up": xor(F.transform("words", lambda w, i: F.xxhash64(w, i - 1)))})
+    both = F.transform("words", lambda w, i: F.struct(F.xxhash64(w, i).alias("stay"), F.xxhash64(w, i - 1).alias("move")))
+    every = every.select("doc_id", "line_no", "dp", "ds", "n", "up", F.posexplode(both).alias("i", "x")).select("doc_id", "line_no", "dp", "ds", "n", "up", "i", "x.move", F.col("x.stay").bitwiseXOR(F.col("x.move")).alias("turn"))
+    before = Window.partitionBy("doc_id", "line_no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("up").bitwiseXOR(F.col("move")).bitwiseXOR(F.coalesce(F.bit_xor("turn").over(before), F.lit(0).cast("long")))
+    gone = every.select("doc_id", "line_no", "dp", "ds", "n", "i", rest.alias("rest"))
+    gone = gone.where((F.col("dp") & (i >= m(n - 1))) | (F.col("ds") & (i <= n - 1 - m(n - 1))))
+    gone = gone.select(F.xxhash64(F.lit("d"), n - 1, "rest").alias("key"), F.lit("d").alias("role"), "doc_id", "line_no")
     return rep.unionByName(short).unionByName(gone)
 
 
@@ -125,19 +136,19 @@ def removed_lines(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """doc_id and the numbers of the lines to remove."""
     p = p or Params()
     folder = work_dir(docs.sparkSession)
-    lines = lines_of(docs, p)
+    lines = materialize(lines_of(docs, p), folder)
     uniq = materialize(distinct_lines(lines), folder)
     per_doc = company(uniq, p).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", *(r + h for r in "rdg" for h in "ps"))).alias("lines"))
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.join(per_doc, "doc_id").select("doc_id", F.split("text", "\n").alias("all"), F.explode("lines").alias("x"))
-    live = materialize(found.select("doc_id", "x.*", words_of(F.element_at("all", F.col("x.line_no") + 1)).alias("words")).dropDuplicates(["doc_id", "line_no"]), folder)
-    pairs = candidates(variants(live))
+    found = texts.join(per_doc, "doc_id").withColumn("all", F.split("text", "\n")).select("doc_id", F.inline(F.transform("lines", lambda x: F.struct(*(x[c].alias(c) for c in ("line_no", *(r + h for r in "rdg" for h in "ps"))), words_of(F.element_at("all", x["line_no"] + 1)).alias("words")))))
+    live = materialize(found.dropDuplicates(["doc_id", "line_no"]), folder)
+    pairs = candidates(materialize(variants(live), folder))
     mine = live.select("doc_id", "line_no", F.col("words").alias("a"))
     theirs = live.select(F.col("doc_id").alias("e_doc"), F.col("line_no").alias("e_line"), F.col("words").alias("b"))
     long_enough = (F.size("a") >= p.fuzzy_words) & (F.size("b") >= p.fuzzy_words)
     near = pairs.join(theirs, ["e_doc", "e_line"]).join(mine, ["doc_id", "line_no"]).where(long_enough & within_one_edit(F.col("a"), F.col("b"))).select("doc_id", "line_no").distinct().withColumn("near", F.lit(True))
-    verdict = uniq.select("h1", "h2", "doc_id", "line_no", "copies").join(near, ["doc_id", "line_no"], "left").where("near or copies > 1").select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    hit = lines.select("doc_id", "line_no", *_id()).join(verdict, ["h1", "h2"]).where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first")))
+    verdict = uniq.select(*SAME, "doc_id", "line_no", "copies").join(near, ["doc_id", "line_no"], "left").where("near or copies > 1").select(*SAME, F.struct("doc_id", "line_no").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    hit = lines.select("doc_id", "line_no", *SAME).join(verdict, SAME).where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first")))
     return hit.groupBy("doc_id").agg(F.array_distinct(F.array_sort(F.collect_list("line_no"))).alias("removed"))
 
 

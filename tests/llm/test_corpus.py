@@ -30,7 +30,7 @@ def plain_lines(docs, p):
     for d, t in sorted((d, t) for d, t in docs if d is not None and t is not None):
         gone = []
         for no, line in enumerate(t.split("\n")):
-            w = WORD.findall(line)
+            w = line.strip(" ").split(" ")
             if len(w) >= p.min_words:
                 if any(w == x or (min(len(w), len(x)) >= p.fuzzy_words and one_edit(w, x)) for x in seen):
                     gone.append(no)
