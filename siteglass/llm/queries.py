@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, line_dedup, main_text, near_dup, packing, pii, quality, repeats, tokens, toxicity
 from .common import table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def vocabulary() -> str:
@@ -56,4 +57,3 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_toxicity, op4_quality, op5_repeats, op6_decontamination, op7_token_files, op8_packing, op9_near_duplicates, op10_main_text)}
-ORACLE_SQL: dict[str, str] = {}
