@@ -63,9 +63,9 @@ OP9 = f"""
 WITH RECURSIVE s AS MATERIALIZED ({_grams("documents", "doc_id", 4, _LOW)}), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 link AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id) p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
 edges AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
-reach AS (SELECT a AS node, b AS at FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.at)
+reach AS (SELECT a AS node, b AS hop FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.hop)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(m.m, d.doc_id)) AS kept
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(at) AS m FROM reach GROUP BY node) m USING (doc_id)
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(hop) AS m FROM reach GROUP BY node) m USING (doc_id)
 """
 
 ORACLE_SQL = {"op1_line_dedup": OP1, "op4_quality": OP4, "op6_decontamination": OP6, "op9_near_duplicates": OP9}
