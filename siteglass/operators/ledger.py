@@ -20,13 +20,16 @@ def budget_left(ledger: DataFrame, month: str, cap: int) -> DataFrame:
 def admitted(calls: DataFrame, cap: int, key: str = "request_hash", seq: str = "seq", cost: str = "cost_cents") -> DataFrame:
     """Which calls of a month pass the budget, in order: a repeated request is free and never refused.
 
-    Costs accumulate per month in the order of ``seq``; a month's calls are ordered together.
+    Costs accumulate per month by day and then ``seq``. The running total of a month is that of its days before (a few
+    rows) and that within the day, so no task holds more than a day.
     """
-    month = F.date_format("created_at", "yyyy-MM")
     first = F.row_number().over(Window.partitionBy(key).orderBy(seq)) == 1
-    told = calls.withColumns({"month": month, "hit": ~first})
-    spent = F.sum(F.when(~F.col("hit"), F.col(cost)).otherwise(0)).over(Window.partitionBy("month").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return told.withColumn("accepted", F.col("hit") | (spent <= cap))
+    told = calls.withColumns({"month": F.date_format("created_at", "yyyy-MM"), "_day": F.to_date("created_at"), "hit": ~first})
+    paid = F.when(~F.col("hit"), F.col(cost)).otherwise(0)
+    days = told.groupBy("month", "_day").agg(F.sum(paid).alias("_sum"))
+    ahead = days.select("month", "_day", F.coalesce(F.sum("_sum").over(Window.partitionBy("month").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    spent = F.col("_ahead") + F.sum(paid).over(Window.partitionBy("month", "_day").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return told.join(ahead, ["month", "_day"]).withColumn("accepted", F.col("hit") | (spent <= cap)).drop("_day", "_ahead")
 
 
 def fetched_today(log: DataFrame, day: str) -> DataFrame:
