@@ -4,9 +4,9 @@ An Aho-Corasick automaton finds anchors (at-signs, plus-digit pairs, digits, URL
 one pass; around each anchor the widest run of characters a kind can hold is expanded and parsed locally. A run
 holds every match that touches it, so leftmost, non-overlapping matches inside runs equal those of a full scan.
 
-Kinds: email, ip, card, phone (fixed grammar), then url, address and account, which the cues add: ``https://...``,
-a house number next to a street word, and an identifier after an account cue ("IBAN", "account no", "SSN") whose
-check (mod 97, digit count) holds. Null text is empty: no spans. Equal rows get equal spans.
+Kinds: email, ip, card, phone (fixed grammar), then url, address, account and secret, which the cues add:
+``https://...``, a house number next to a street word, an identifier after an account cue ("IBAN", "account no",
+"SSN") whose check (mod 97, digit count) holds, and a value after a word like "password" or an access key id. Null text is empty: no spans. Equal rows get equal spans.
 """
 
 from __future__ import annotations
@@ -22,25 +22,27 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, docs_of
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "address", "account")
+KINDS = (*BASE, "url", "address", "account", "secret")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 STREETS = (" Street", " Avenue", " Road", " Lane", " Boulevard", " Drive", " Straße", " Calle", " rue ")
 CUES = ("IBAN", "iban", "account", "Account", "acct", "Acct", "SSN", "ssn", "konto", "Konto", "compte", "cuenta")
+SECRET_CUES = ("password", "Password", "passwd", "token", "Token", "secret", "Secret", "api_key", "API_KEY", "AKIA")
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP_RUN = re.compile(r"[0-9.]+")
 _CARD_RUN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[a-z]+:(?://)?[^\s<>\"')\]]+")
 _ADDRESS = re.compile(r"[0-9]{1,5}[A-Za-z]?,? (?:[A-Z][\w.'-]+ ){0,3}(?:Street|Avenue|Road|Lane|Boulevard|Drive)\b|(?:[A-Z][\w.'-]+ ){0,2}(?:Straße|Calle)(?: [A-Z][\w.'-]+){0,3},? [0-9]{1,5}\b|[0-9]{1,5},? rue (?:[\w.'-]+ ){0,3}[A-Z][\w'-]+")
+_SECRET = re.compile(r"\s{0,2}[:=]\s{0,2}[\"']?([A-Za-z0-9_+/.=-]{8,})")
+_KEY_ID = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:\s*(?:no|nr|number|id)\b)?[\s.:#=-]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}|[0-9]{3}-[0-9]{2}-[0-9]{4}\b|[0-9]{6,18}\b)", re.I)
 
 
 @functools.cache
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for kind, words in (("@", "@"), ("+", [f"+{d}" for d in range(10)]), ("d", "0123456789"), ("u", SCHEMES), ("s", STREETS), ("c", CUES)):
+    for kind, words in (("@", "@"), ("+", [f"+{d}" for d in range(10)]), ("d", "0123456789"), ("u", SCHEMES), ("s", STREETS), ("c", CUES), ("k", SECRET_CUES)):
         for w in words:
             found.add_word(w, (kind, len(w)))
     found.make_automaton()
@@ -117,6 +119,16 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if m:
                 out["address"].append(m.span())
                 ends["address"] = m.end()
+        elif kind == "k":
+            if text.startswith("AKIA", at):
+                m = _KEY_ID.match(text, last + 1)
+                span = (at, m.end()) if m else None
+            else:
+                m = _SECRET.match(text, last + 1)
+                span = m.span(1) if m else None
+            if span and span[0] >= ends["secret"]:
+                out["secret"].append(span)
+                ends["secret"] = span[1]
         elif at >= ends["account"] and (m := _ACCOUNT.match(text, last + 1)) and _account_ok(m[1]):
             out["account"].append(m.span(1))
             ends["account"] = m.end()
