@@ -252,13 +252,13 @@ def join_group(members: list[tuple], percent: int) -> list[tuple[int, int]]:
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """node and root (smallest node reachable) of every node of ``edges`` (a, b).
 
-    Each round hooks a node to its smallest neighbour and contracts the edges, until none is left; the maps of the
-    rounds are then followed. Rounds are cut by written tables.
+    Each round hooks a node to its smallest neighbour, follows the hooks by doubling, and contracts the edges, until
+    none is left; so long chains take few rounds. Rounds are cut by written tables.
     """
     rest, root = edges, None
     while True:
         both = rest.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(rest.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        hook = materialize(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root")), folder)
+        hook = _flat(materialize(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root")), folder), folder)
         if root is None:
             root = hook
         else:

@@ -6,7 +6,7 @@ over it also starts earlier, so the first copy stays and every later one is cut.
 One suffix array of a corpus is not needed, nor would it fit: windows of ``length`` bytes that are equal hold the same
 minimizer (the smallest hash of their ``gram``-byte strings) at the same place. Runs of windows with one minimizer are
 dealt by its hash, so equal windows meet. Equal runs are settled by their 128-bit hash alone, in each batch already
-(so a passage in a third of all documents costs one row a batch); runs that share a minimizer but differ bring their
+(and a frequent one in each task, so a passage in a third of all documents costs about one row a task); runs that share a minimizer but differ bring their
 bytes, whose windows are put in suffix order. There the longest previous factor of a window follows from the previous
 and next smaller positions in that order: it reaches ``length`` if and only if a neighbour in its stretch of equal
 prefixes starts earlier.
@@ -33,6 +33,7 @@ _INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _POS_BITS = 28
 SLICE = 4_000_000
+HOT_RUNS = 50_000
 
 
 @dataclass(frozen=True)
@@ -179,6 +180,7 @@ def runs_of(docs: DataFrame, p: Params) -> DataFrame:
     """Rows (route, seen, doc_id, place): seen is the run's hash, or 0 for a run known to repeat an earlier one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: dict[int, tuple[int, tuple[int, int]]] = {}  # frequent runs of the task: minimizer, earliest place sent
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             texts = batch.column("text").to_pylist()
@@ -209,6 +211,17 @@ def runs_of(docs: DataFrame, p: Params) -> DataFrame:
             again = np.append(False, (whole[1:] == whole[:-1]) & (mini[1:] == mini[:-1]))
             twice = np.append(False, (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])) & again  # of a repeated row
             mini, whole, doc, place, again = (x[~twice] for x in (mini, whole, doc, place, again))
+            lead = np.flatnonzero(~again & np.append(again[1:], False))  # runs with repeats in this batch
+            kept = np.flatnonzero(~again)
+            for i in kept[np.isin(whole[kept], np.fromiter(hot, dtype=np.uint64, count=len(hot)))].tolist() if hot else ():
+                m, at = hot[int(whole[i])]
+                if m == mini[i] and at != (own := (int(doc[i]), int(place[i]))):
+                    again[i] = own > at
+                    hot[int(whole[i])] = m, min(at, own)
+            if len(hot) > HOT_RUNS:
+                hot.clear()
+            for i in lead.tolist():
+                hot.setdefault(int(whole[i]), (int(mini[i]), (int(doc[i]), int(place[i]))))
             whole[whole == 0] = 1
             seen = np.where(again, _U(0), whole)
             route = np.where(again, mix(doc.astype(np.uint64) + _U(7)), mini)

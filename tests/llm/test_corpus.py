@@ -170,8 +170,9 @@ def plain_repeats(docs, length):
     return out
 
 
-@pytest.mark.parametrize("p", [repeats.Params(12, 5), repeats.Params(30, 7), repeats.Params()])
-def test_repeats(frame, p):
+@pytest.mark.parametrize(("p", "rows"), [(repeats.Params(12, 5), 1000), (repeats.Params(30, 7), 3), (repeats.Params(12, 4), 4), (repeats.Params(), 1000)])
+def test_repeats(frame, spark, p, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)  # batches are a unit of the algorithm
     rng = random.Random(p.length)
     words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(30)]
     passages = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 60))) for _ in range(12)]
