@@ -30,16 +30,17 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siteglass-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, folder: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{folder or work_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """``mapInArrow`` of a function from one batch to a dict of columns, typed by ``schema``."""
+    small_batches(df.sparkSession)
     target = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -53,6 +54,17 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
     return df.mapInArrow(run, target)
 
 
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, as a row may be a long text; a smaller setting of the session stands."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= int(BATCH_ROWS):
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def docs_of(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id as long and text with null as the empty text, next to the named columns only."""
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of
+from .common import docs_of, small_batches
 
 BLOCK = 500_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -141,6 +141,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80)
 def clean(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that hold an item, in one pass a block of items; same columns."""
     spark, at = docs.sparkSession, docs.columns.index("text")
+    small_batches(spark)
     for block in item_blocks(items, size):
         sent = spark.sparkContext.broadcast(block)
 

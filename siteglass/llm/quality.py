@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, docs_of
+from .common import arrow_map, docs_of, small_batches
 
 WS = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -131,6 +131,7 @@ def quality(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
 def clean(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """``docs`` without the rejected documents and without the failing lines of the others; same columns."""
     rules = rules or Rules()
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
