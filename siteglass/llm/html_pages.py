@@ -31,5 +31,8 @@ PAGES = (
     """<html><body><header><a href="/">Ledger</a><form role="search"><input><button>Search</button></form></header><ul class="menu"><li><a>Rates</a></li><li><a>Charts</a></li></ul>
 <div class="wrapper container"><div class="main">{{<h1>Rates hold</h1><p>The bank left its rate where it was, as most had expected, and said little about autumn.</p><p>Bond prices moved by less than a tenth.</p><dl><dt>Rate</dt><dd>Two percent</dd></dl>}}</div>
 <div class="right-column rail"><p>Most read today: six funds that lost nothing, and one that did.</p></div></div><div class="popup modal overlay consent gdpr">This site sets cookies. Choose what to allow.</div><div class="disclaimer legal">Nothing here is advice to buy or to sell.</div></body></html>""",
+    """<html><body><header><p>All the news of the valley</p></header><nav class="navigation"><p>Start, maps, letters</p></nav><div class="notice"><p>The office is shut today.</p></div><div class="ads"><p>Ride cheaper with the ten trip card from the kiosk.</p></div>
+<div class="article content">{{<h1>The bridge</h1><p>Workers closed the last gap at noon.</p>[[<div class="advertisement"><p>New tyres, fitted while you wait.</p></div><aside class="aside"><p>More on bridges and on those who build them.</p></aside>]]<p>Cars may cross from Friday.</p>}}</div>
+<div class="sidebar"><p>Weather: rain, then more rain.</p><form><p>Search the old papers</p></form></div><div class="comments"><p>My father built the first one, with a rope and a mule.</p><p>It swayed when I was small.</p></div><footer><p>Printed in the valley.</p></footer></body></html>""",
     """<html><body><p class="skip-link">Skip to content</p><div>{{<h1>Plain page</h1><p>No class names here, only a few words in rows.</p><p>They still count as the text of the page, since nothing else does, and they go on for a while.</p>}}</div><hr><form><p>Leave your name and town</p><input></form><noscript>Please enable scripts</noscript></body></html>""",
 )

@@ -13,7 +13,7 @@ kind, pre-aggregated, so a hot key costs a row a task and no pair within a group
 line to that earliest one is then verified on the words.
 
 Null texts have no lines and stay null; rows with a null doc_id stay as they are. Rows that repeat a doc_id and text
-are one document. Columns other than doc_id and text pass through untouched.
+are one document. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -152,13 +152,40 @@ def removed_lines(docs: DataFrame, p: Params | None = None) -> DataFrame:
     return hit.groupBy("doc_id").agg(F.array_distinct(F.array_sort(F.collect_list("line_no"))).alias("removed"))
 
 
+def _marked(docs: DataFrame, p: Params | None) -> DataFrame:
+    """``docs`` with the numbers of the lines to remove in ``__removed``, null where there are none."""
+    gone = removed_lines(docs, p).select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
+    return docs.join(gone, F.col("doc_id") == F.col("__doc"), "left")
+
+
+def _kept_text() -> Column:
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
+    return F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)
+
+
 def dedup_lines(docs: DataFrame, p: Params | None = None) -> DataFrame:
-    """``docs`` with the removed lines out of text, next to n_lines and n_removed."""
-    out = docs.join(removed_lines(docs, p).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed")), F.col("doc_id") == F.col("_doc"), "left")
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n"))
-    counts = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed")]
-    return out.select(*(kept.alias("text") if c == "text" else F.col(c) for c in docs.columns), F.when(F.col("text").isNull(), 0).otherwise(counts[0]).cast("long").alias("n_lines"), F.when(F.col("_removed").isNull(), 0).otherwise(counts[1]).cast("long").alias("n_removed"))
+    """``docs`` with the removed lines out of text, and n_lines and n_removed (in place of columns so named)."""
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))), "n_removed": F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed"))}
+    return _marked(docs, p).select(*(_kept_text().alias(c) if c == "text" else F.col(c) for c in own), *(x.cast("long").alias(c) for c, x in counts.items()))
+
+
+def clean(docs: DataFrame, p: Params | None = None) -> DataFrame:
+    """``docs`` with the removed lines out of text, without documents that lost their last word; same columns.
+
+    A column n_chars, if there is one, counts the code points of the new text.
+    """
+    text = _kept_text()
+    left = _marked(docs, p).where(F.col("__removed").isNull() | text.rlike("[^ \\t-\\r]"))
+
+    def one(c: str) -> Column:
+        if c == "text":
+            return text.alias(c)
+        if c == "n_chars":
+            return F.when(F.col("__removed").isNull(), F.col(c)).otherwise(F.char_length(text)).cast(docs.schema[c].dataType).alias(c)
+        return F.col(c)
+
+    return left.select(*(one(c) for c in docs.columns))
 
 
 def digest(out: DataFrame) -> DataFrame:

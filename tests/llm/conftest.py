@@ -1,6 +1,6 @@
 import pytest
 
-EXTRA = "doc_id long, text string, lang string, key string, words string, n_shingles int"
+EXTRA = "doc_id long, text string, lang string, key string, words string, n_shingles int, n_removed string"
 
 
 @pytest.fixture
@@ -8,7 +8,7 @@ def frame(spark):
     """Documents with further columns, some of which share names with the operators' own."""
 
     def make(rows, parts=3):
-        return spark.createDataFrame([(d, t, "en", "k", "w", 7) for d, t in rows], EXTRA).repartition(parts)
+        return spark.createDataFrame([(d, t, "en", "k", "w", 7, "r") for d, t in rows], EXTRA).repartition(parts)
 
     return make
 

@@ -67,7 +67,11 @@ def test_line_dedup(frame, seed, p):
     for d, t in docs:
         kept = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get(d, []))
         assert out[d].text == kept and out[d].n_removed == len(want.get(d, [])), d
-    assert line_dedup.dedup_lines(frame_, p).columns == [*frame_.columns, "n_lines", "n_removed"]
+    assert line_dedup.dedup_lines(frame_, p).columns == [*frame_.columns[:-1], "n_lines", "n_removed"]
+    clean = line_dedup.clean(frame_, p)
+    assert clean.columns == frame_.columns
+    stays = {d for d, t in docs if not want.get(d) or "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]).split()}
+    assert {r.doc_id for r in clean.collect()} == stays
 
 
 def test_line_dedup_of_nothing_and_of_repeated_rows(frame):

@@ -20,7 +20,7 @@ def test_stages_take_effect(spark, tmp_path, encoder):  # noqa: F811
 
     item = "this very sentence belongs to a test set and must not be learned by heart from any corpus"
     docs = [(1, text(1)), (2, text(1)), (3, text(3) + "\nAll rights reserved."), (4, "junk%%% " * 50), (5, text(5) + "\n" + text(3, 1)), (6, text(6) + "\n" + item.upper() + "."), (7, None), (8, ""), (9, text(9, 40))]
-    spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, t, "en", None, len(t or ""), "x", 1) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long, n_removed string, key int").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = [(d, j[7]) for d, t in docs if (j := quality.judge(t, quality.Rules()))[6]]
     gone = plain_lines(kept, line_dedup.Params())

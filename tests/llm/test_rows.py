@@ -69,7 +69,8 @@ def test_quality_counts_against_plain_rules():
 
 
 def test_quality_verdicts(frame):
-    good = "\n".join(f"Line {i} of this text says something of its own, number {i * 7}, and ends well." for i in range(6))
+    rng = random.Random(7)
+    good = "\n".join(" ".join("".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8))) for _ in range(12)) + "." for _ in range(6))
     noisy = " ".join(f"word{i}%%% other{i}###" for i in range(30))
     menu = good + "\nHome | News | Contact\nAll rights reserved.\nmenu"
     rows = {1: good, 2: noisy, 3: menu, 4: "too short"}
