@@ -16,12 +16,6 @@ from siteglass.llm.common import table, work_dir
 from siteglass.llm.queries import vocabulary
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
-    """The columns of ``docs`` with another text and its length."""
-    new = docs.withColumn("text", text)
-    return (new.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else new).select(*docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents the line-first rules reject, and the failing lines of the others."""
     return quality.clean(docs)
@@ -29,15 +23,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove lines that (nearly) repeat an earlier one; documents without a word left go."""
-    out = line_dedup.dedup_lines(docs)
-    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \\t-\\r]")).select(*docs.columns)
-    return _with_text(out, F.col("text"))
+    return line_dedup.clean(docs)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of every group of near duplicates."""
-    gone = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
