@@ -60,14 +60,13 @@ def walk_scores(listings: DataFrame, pois: DataFrame) -> DataFrame:
 
     Only as many amenities of a category are ordered as its weights can use, the others are counted.
     """
-    spark = listings.sparkSession
     base = listings.where("lat is not null and lng is not null").select("id", "lat", "lng")
     pairs = radius_join(base, pois.where(F.col("category").isin(*WEIGHTS))).select("id", "category", "meters")
     best = Window.partitionBy("id", "category").orderBy("meters")
     used = pairs.withColumn("k", F.row_number().over(best)).withColumn("w", F.coalesce(F.get(F.try_element_at(_weights(), F.col("category")), F.col("k") - 1), F.lit(0.0)))
     per = used.groupBy("id", "category").agg(F.sum(F.col("w") * decay("meters")).alias("earned"), F.count(F.lit(1)).alias("count"), F.min("meters").alias("nearest"))
-    dim = spark.createDataFrame([(c, float(sum(w))) for c, w in WEIGHTS.items()], "category string, weight double")
-    full = base.select("id").crossJoin(F.broadcast(dim)).join(per, ["id", "category"], "left")
+    every = F.inline(F.array(*(F.struct(F.lit(c).alias("category"), F.lit(float(sum(w))).alias("weight")) for c, w in WEIGHTS.items())))
+    full = base.select("id", every).join(per, ["id", "category"], "left")
     entry = F.struct(F.round(F.coalesce("earned", F.lit(0.0)), 3).alias("score"), F.round("weight", 3).alias("weight"), F.coalesce("count", F.lit(0)).alias("count"), F.bround("nearest", 0).cast("bigint").alias("nearest_m"))
     out = full.groupBy("id").agg(F.sum(F.coalesce("earned", F.lit(0.0))).alias("total"), F.map_from_entries(F.collect_list(F.struct(F.col("category"), entry.alias("entry")))).alias("score_breakdown"))
     return out.select("id", F.least(F.lit(100), F.bround(F.col("total") * MULTIPLIER, 0)).cast("int").alias("walk_score"), "score_breakdown")
