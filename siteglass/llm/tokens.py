@@ -293,10 +293,10 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None) -> str:
     """Encode ``docs`` into files of blocks in ascending doc_id order; returns the folder.
 
     Two passes: ids are written once, unordered; then ranked, put in order by range and packed. The folder holds
-    ``blocks`` (part, block, doc_ids, counts, control, data) and ``ranks`` (the ids in frequency order).
+    ``blocks`` (part, ahead, doc_ids, counts, control, data; ahead: the part's tokens before the block) and ``ranks`` (the ids in frequency order).
     """
     spark, folder = docs.sparkSession, folder or work_dir(docs.sparkSession)
-    encoded = materialize(encode_table(docs, path), folder, "none")
+    encoded = materialize(encode_table(docs, path), folder, "zstd")
     ids = frequency_ranks(encoded)
     spark.createDataFrame([(ids.tobytes(),)], "ranks binary").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(int(ids.max(initial=0)) + 1, dtype="<u4")
@@ -306,13 +306,13 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None) -> str:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held, size, block = TaskContext.get().partitionId(), [], 0, 0
+        part, held, size, ahead = TaskContext.get().partitionId(), [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, size, block
+            nonlocal held, size, ahead
             control, data = pack(np.concatenate([sent.value[_raw(x, n)] for _, n, x in held]))
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), "counts": pa.array([[n for _, n, _ in held]], pa.list_(pa.int64())), "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
-            held, size, block = [], 0, block + 1
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "ahead": pa.array([ahead], pa.int64()), "doc_ids": pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), "counts": pa.array([[n for _, n, _ in held]], pa.list_(pa.int64())), "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
+            held, size, ahead = [], 0, ahead + size
             return row
 
         for b in batches:
@@ -326,7 +326,7 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None) -> str:
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").select("doc_id", "n", "ids")
-    ordered.mapInArrow(blocks, "part int, block int, doc_ids array<long>, counts array<long>, control binary, data binary").write.option("compression", "none").parquet(f"{folder}/blocks")
+    ordered.mapInArrow(blocks, "part int, ahead long, doc_ids array<long>, counts array<long>, control binary, data binary").write.option("compression", "none").parquet(f"{folder}/blocks")
     return folder
 
 
@@ -339,22 +339,19 @@ def read_files(spark, folder: str) -> DataFrame:
     for part in sorted(totals):
         offset[part] = base
         base += totals[part]
-    before = spark.createDataFrame(list(offset.items()) or [], "part int, before long")
-    sums = blocks.select("part", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    from pyspark.sql import Window
-
-    at = sums.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(F.broadcast(before), "part").select("part", "block", (F.col("ahead") + F.col("before")).alias("at"))
-    sent = spark.sparkContext.broadcast(ranks)
+    sent = spark.sparkContext.broadcast((ranks, offset))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, docs, counts, control, data in zip(*(b.column(c).to_pylist() for c in ("at", "doc_ids", "counts", "control", "data")), strict=True):
+            ranks, offset = sent.value
+            for part, ahead, docs, counts, control, data in zip(*(b.column(c).to_pylist() for c in ("part", "ahead", "doc_ids", "counts", "control", "data")), strict=True):
+                at = offset[part] + ahead
                 n = np.array(counts, dtype=np.int64)
-                ids = sent.value[unpack(control, data, int(n.sum()))].astype("<u4")
+                ids = ranks[unpack(control, data, int(n.sum()))].astype("<u4")
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(at + ends - n, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array([ids[e - c : e].tobytes() for e, c in zip(ends, n, strict=True)], pa.binary())})
 
-    return blocks.join(at, ["part", "block"]).select("at", "doc_ids", "counts", "control", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.select("part", "ahead", "doc_ids", "counts", "control", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(decoded: DataFrame) -> DataFrame:
