@@ -3,7 +3,9 @@
 Line rules (a line without a word is neutral and stays):
 
 * punctuation: more than ``max_symbol_share`` percent of the line's non-space bytes are noise symbols;
-* navigation: a short line that holds a menu separator, or a one- to three-word line of menu words only;
+* navigation: a short line that holds a menu separator, a line of which over ``max_marks`` percent of the words are
+  marks alone, or a line of one menu word or phrase only;
+* stutter: over ``max_stutter`` percent of the words equal the word before them;
 * boilerplate: the line holds one of ``BOILERPLATE``.
 
 A document is rejected when it fails the base rules (under 20 words, or over 30 % of its words in repeated
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from .common import arrow_map, docs_of, small_batches
 
 WS = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NOISE = b"#*$%&|<>!?~^=_{}[]\\"
 BOILERPLATE = ("all rights reserved", "licensed under", "released under the", "privacy policy", "terms of use", "terms of service", "cookie policy", "use cookies", "javascript is disabled", "enable javascript", "subscribe to our newsletter")
 MENU = ("home", "about", "contact", "login", "sign in", "sign up", "menu", "next", "previous", "back", "search", "share", "help", "faq", "sitemap", "read more", "skip to content")
@@ -41,6 +45,8 @@ class Rules:
     window: int = 8
     max_symbol_share: int = 10
     nav_words: int = 12
+    max_marks: int = 25
+    max_stutter: int = 30
     max_lost: int = 50
 
 
@@ -79,8 +85,14 @@ def line_fails(line: bytes, rules: Rules) -> bool:
         return False
     if 100 * (len(dense) - len(dense.translate(None, NOISE))) > rules.max_symbol_share * len(dense):
         return True
+    words = line.split()
+    n = len(words)
+    if 100 * sum(map(eq, words, words[1:])) > rules.max_stutter * n:
+        return True
+    if dense.translate(None, MARKS) != dense and 100 * sum(not w.translate(None, MARKS) for w in words) > rules.max_marks * n:
+        return True
     low = line.decode().lower()
-    if _SEPARATOR.search(low) and len(line.split()) <= rules.nav_words:
+    if _SEPARATOR.search(low) and n <= rules.nav_words:
         return True
     return bool(_MENU.fullmatch(low.strip(" \t\n\r\x0b\x0c")) or _BOILER.search(low))
 
