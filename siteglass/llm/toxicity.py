@@ -1,8 +1,8 @@
 """Toxicity score: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Every coordinate has its own learning rate, and the L1 term leaves most weights at zero, so the model ships as two
-short arrays. Features of a text are the distinct hashes of its words, word pairs and pairs that skip one word, after
-lower-casing and stripping of marks around a word. Training reads at most ``Params.max_rows`` labelled rows, those
+short arrays. Features of a text are the distinct hashes of its words, their stems, word pairs and pairs that skip one
+word, after lower-casing and stripping of marks around a word. Training reads at most ``Params.max_rows`` labelled rows, those
 with the smallest hash of doc_id (a bounded sample; scoring covers every row). Null or empty text has no features and
 gets the bias. Rows with a null label or null doc_id never train; repeated label rows of a document keep the highest.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, docs_of
 
+STEM = 5
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -35,28 +36,45 @@ class Params:
 
 
 class WordHash(dict):
-    """Hash of the normalized word, remembered; cleared when it grows past a bound."""
+    """Hash of the normalized word, or of its stem (the first ``stem`` letters of a longer one), remembered.
+
+    Cleared when it grows past a bound; 0 for marks alone, and for words that are no longer than the stem.
+    """
+
+    def __init__(self, stem: int = 0):
+        super().__init__()
+        self.stem = stem
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
         clean = _STRIP.sub("", word.lower())
+        if self.stem:
+            clean = clean[: self.stem] + "~" if len(clean) > self.stem else ""
         self[word] = value = (zlib.crc32(clean.encode()) * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF if clean else 0
         return value
 
 
-def features(texts: list[str], bits: int, words: WordHash) -> tuple[np.ndarray, np.ndarray]:
+def hashers() -> tuple[WordHash, WordHash]:
+    """Of words and of stems."""
+    return WordHash(), WordHash(STEM)
+
+
+def features(texts: list[str], bits: int, words: tuple[WordHash, WordHash]) -> tuple[np.ndarray, np.ndarray]:
     """(row, slot) of the distinct features of each text, ordered by row."""
+    words, stems = words
     parts = [t.split() for t in texts]
     lens = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     h = np.fromiter((words[w] for p in parts for w in p), dtype=np.uint64, count=int(lens.sum()))
     row = np.repeat(np.arange(len(parts), dtype=np.uint64), lens)
+    s = np.fromiter((stems[w] for p in parts for w in p), dtype=np.uint64, count=len(h))
+    s, stem_row = s[s != 0], row[s != 0]
     h, row = h[h != 0], row[h != 0]
     shift, out = np.uint64(64 - bits), []
-    for gap, mult in ((0, 0x9E3779B97F4A7C15), (1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9)):
-        a, b, r = (h, h, row) if gap == 0 else (h[:-gap], h[gap:], row[:-gap])
-        same = slice(None) if gap == 0 else row[:-gap] == row[gap:]
-        mixed = (a[same] * np.uint64(mult)) ^ (b[same] * np.uint64(mult + 2 * gap) >> np.uint64(1))
+    for gap, mult in ((0, 0x9E3779B97F4A7C15), (1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9), (-1, 0x2545F4914F6CDD1D)):
+        a, b, r = (h, h, row) if gap == 0 else (s, s, stem_row) if gap < 0 else (h[:-gap], h[gap:], row[:-gap])
+        same = slice(None) if gap <= 0 else row[:-gap] == row[gap:]
+        mixed = (a[same] * np.uint64(mult)) ^ (b[same] * np.uint64(mult + 2 * abs(gap)) >> np.uint64(1))
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         out.append((r[same] << np.uint64(bits)) | (mixed >> shift))
@@ -68,7 +86,7 @@ def fit(rows: list[tuple[str, int]], p: Params) -> tuple[np.ndarray, np.ndarray,
     """Non-zero slots, their weights and the bias."""
     size = 1 << p.bits
     z, n, w0, n0, z0 = np.zeros(size), np.zeros(size), 0.0, 0.0, 0.0
-    words, data = WordHash(), []
+    words, data = hashers(), []
     for lo in range(0, len(rows), 500):
         part = rows[lo : lo + 500]
         row, slot = features([t for t, _ in part], p.bits, words)
@@ -103,7 +121,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], p: Param
     """doc_id, score, predicted of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     dense: list[np.ndarray] = []
-    words = WordHash()
+    words = hashers()
     bits = p.bits
 
     def one(batch: pa.RecordBatch) -> dict:
