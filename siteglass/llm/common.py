@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,18 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: list[str] = []
+
+
+@functools.cache
+def _local_base() -> str:
+    """A temporary folder of this process, gone with it."""
+    base = tempfile.mkdtemp(prefix="siteglass-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor can read.
 
-    Only a local master without that setting falls back to a temporary folder; on a cluster a missing
-    setting is an error, since a machine-local folder would lose rows.
+    Only a local master without that setting falls back to a temporary folder; on a cluster a missing setting is an
+    error, since a machine-local folder would lose rows. Results read from these folders, so they stay until
+    :func:`drop_work` is called.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="siteglass-")
-    return f"{base.rstrip('/')}/siteglass-{uuid.uuid4().hex}"
+        base = _local_base()
+    _MADE.append(f"{base.rstrip('/')}/siteglass-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def drop_work(spark: SparkSession) -> int:
+    """Delete the work folders made so far, once no result reads from them any more; returns their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_MADE)
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame, folder: str | None = None, compression: str = "snappy") -> DataFrame:

@@ -151,6 +151,17 @@ def test_sketches_fill_and_estimate():
     assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.08
 
 
+def test_work_folders_can_be_dropped(spark, frame):
+    from pathlib import Path
+
+    from siteglass.llm import common
+
+    folder = common.work_dir(spark)
+    common.materialize(spark.range(3), folder)
+    assert Path(folder).exists() and common.drop_work(spark) >= 1
+    assert not Path(folder).exists() and common.drop_work(spark) == 0
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)], "a long, b long")
     got = {r.node: r.root for r in near_dup._flat(near_dup.components(edges, near_dup.work_dir(spark)), near_dup.work_dir(spark)).collect()}
