@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table as Spark's own reader sees it."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table as Spark's own reader sees it.
+
+    A table of texts in fewer splits than there are cores (a small single file) is dealt out, so all cores work.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 _MADE: list[str] = []
