@@ -7,7 +7,7 @@ One suffix array of a corpus is not needed, nor would it fit: windows of ``lengt
 minimizer (the smallest hash of their ``gram``-byte strings) at the same place. Runs of windows with one minimizer are
 dealt by its hash, so equal windows meet. Equal runs are settled by their 128-bit hash alone, in each batch already
 (and a frequent one in each task, so a passage in a third of all documents costs about one row a task); runs that share a minimizer but differ bring their
-bytes, whose windows are put in suffix order. There the longest previous factor of a window follows from the previous
+bytes, whose windows are put in suffix order (or, where more than ``CROWDED`` runs share one, are dealt one by one). There the longest previous factor of a window follows from the previous
 and next smaller positions in that order: it reaches ``length`` if and only if a neighbour in its stretch of equal
 prefixes starts earlier.
 
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ _TABLE = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.ui
 _POS_BITS = 28
 SLICE = 4_000_000
 HOT_RUNS = 50_000
+CROWDED = 20_000  # differing runs of one minimizer that one task may hold
 
 
 @dataclass(frozen=True)
@@ -314,6 +316,35 @@ def settle_windows(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.
         yield _runs(np.zeros(len(s), dtype=np.uint64), np.zeros(len(s), dtype=np.uint64), doc, _place(start, n))
 
 
+def _per_doc(asks: DataFrame) -> DataFrame:
+    return asks.groupBy("doc_id").agg(F.collect_list(F.struct("route", "place")).alias("asks"))
+
+
+def _windows_one_by_one(texts: DataFrame, p: Params) -> DataFrame:
+    """Settled rows of asks (doc_id, text, asks) by the hash of every single window, kept earliest natively.
+
+    For minimizers that very many differing runs share: a window in most of them is pre-aggregated to its earliest
+    place, and joined back to all others, which Spark can split.
+    """
+    length = p.length
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, text, asks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "asks")), strict=True):
+                raw = text.encode()
+                out += [(doc, at, *np.frombuffer(xxhash.xxh3_128_digest(raw[at : at + length]), dtype=np.int64).tolist()) for a in asks for at in range(a["place"] >> 16, (a["place"] >> 16) + (a["place"] & 0xFFFF))]
+            for lo in range(0, len(out), 50_000):
+                cols = list(zip(*out[lo : lo + 50_000], strict=True))
+                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "h1", "h2"), cols, strict=True)})
+
+    rows = materialize(texts.mapInArrow(hashes, "doc_id long, start long, h1 long, h2 long").distinct())
+    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    later = rows.join(first, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first"))
+    zero = F.lit(0).cast("long")
+    return later.select(zero.alias("route"), zero.alias("seen"), "doc_id", (F.shiftleft("start", 16) + 1).alias("place"))
+
+
 def covered(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """doc_id and places: the stretches of windows (start << 16 | windows) of each document that repeat."""
     p = p or Params()
@@ -334,10 +365,16 @@ def covered(docs: DataFrame, p: Params | None = None) -> DataFrame:
                 cols = list(zip(*out[lo : lo + 50_000], strict=True))
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("route", "doc_id", "place", "bytes"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
-    asks = state.where("seen = 1").groupBy("doc_id").agg(F.collect_list(F.struct("route", "place")).alias("asks"))
-    segments = base.join(asks, "doc_id").mapInArrow(cut, "route long, doc_id long, place long, bytes binary")
+    asks = state.where("seen = 1")
+    done = state.where("seen = 0")
+    crowded = asks.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("route")
+    if not crowded.isEmpty():
+        crowded = materialize(crowded, folder)
+        done = done.unionByName(materialize(_windows_one_by_one(base.join(_per_doc(asks.join(crowded, "route", "left_semi")), "doc_id"), p), folder))
+        asks = asks.join(crowded, "route", "left_anti")
+    segments = base.join(_per_doc(asks), "doc_id").mapInArrow(cut, "route long, doc_id long, place long, bytes binary")
     more = materialize(segments.repartition(2 * parts, "route").mapInArrow(lambda it: settle_windows(it, p), RUN).where("place is not null"), folder)
-    return state.where("seen = 0").unionByName(more).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    return done.unionByName(more).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, p: Params | None = None) -> DataFrame:

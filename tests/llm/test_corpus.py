@@ -186,7 +186,9 @@ def plain_repeats(docs, length):
 
 
 @pytest.mark.parametrize(("p", "rows"), [(repeats.Params(12, 5), 1000), (repeats.Params(30, 7), 3), (repeats.Params(12, 4), 4), (repeats.Params(), 1000)])
-def test_repeats(frame, spark, p, rows):
+@pytest.mark.parametrize("crowded", [20_000, 2])
+def test_repeats(frame, spark, monkeypatch, p, rows, crowded):
+    monkeypatch.setattr(repeats, "CROWDED", crowded)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)  # batches are a unit of the algorithm
     rng = random.Random(p.length)
     words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(30)]
