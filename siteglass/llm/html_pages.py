@@ -35,4 +35,9 @@ PAGES = (
 <div class="article content">{{<h1>The bridge</h1><p>Workers closed the last gap at noon.</p>[[<div class="advertisement"><p>New tyres, fitted while you wait.</p></div><aside class="aside"><p>More on bridges and on those who build them.</p></aside>]]<p>Cars may cross from Friday.</p>}}</div>
 <div class="sidebar"><p>Weather: rain, then more rain.</p><form><p>Search the old papers</p></form></div><div class="comments"><p>My father built the first one, with a rope and a mule.</p><p>It swayed when I was small.</p></div><footer><p>Printed in the valley.</p></footer></body></html>""",
     """<html><body><p class="skip-link">Skip to content</p><div>{{<h1>Plain page</h1><p>No class names here, only a few words in rows.</p><p>They still count as the text of the page, since nothing else does, and they go on for a while.</p>}}</div><hr><form><p>Leave your name and town</p><input></form><noscript>Please enable scripts</noscript></body></html>""",
+    """<html><body><div class="alert alert-warning"><p>Trains to the coast run late today.</p></div><div class="cookie-banner consent"><p>We would like to store a few cookies with your browser.</p><button>Fine</button></div><div class="advert"><p>Boots that last ten winters.</p></div>
+<article>{{<h1>Salt</h1><p>Salt was once <a href="/t">taxed by the pound</a> and carried by night.</p>[[<div class="notice notice-box"><p>This piece was changed on Tuesday.</p></div><div class="advert banner"><p>Half off all lamps.</p></div><div class="newsletter-signup"><p>Get the weekly letter.</p></div><div class="advert"><p>Two pans for one.</p></div><div class="ad"><p>Learn to sail by June.</p></div>]]<p>Today it costs <a href="/c">almost nothing</a>, and <a href="/w">wells</a> give more than anyone needs.</p>}}[[<section class="comments"><h2>Comments</h2><p>We still keep a sack in the cellar.</p></section>]]</article>
+<section class="newsletter"><h2>Letters</h2><p>Leave your address and hear from us on Sundays.</p></section><ol class="comment-list"><li class="comment"><article class="comment-body"><p>My aunt was caught with two sacks under her coat.</p></article></li><li class="reply"><article class="comment-body"><p>So was mine.</p></article></li></ol><aside class="promo related"><p>Also by the same hand: pepper.</p></aside></body></html>""",
+    """<html><body><div class="topbar header"><p>The Mill Weekly</p></div><div class="menu"><p>Front page, farms, fairs</p></div><div>{{<h1>Hedges</h1><p>A hedge is laid in winter, when <a href="/s">the sap</a> is down.</p><p>The stems are cut almost through and <a href="/b">bent</a> along the row; <em>they live on</em> and sprout.</p><ul><li>Use a <a href="/k">billhook</a>.</li><li>Leave the roots alone.</li></ul>}}</div>
+<div class="message popup"><p>You have read three of five free pages.</p></div><div class="sponsored ads"><p>Gates in oak and in iron.</p></div><div class="discussion comments"><div class="comment"><b>Tom</b><p>Mine died, all forty yards of it.</p></div></div><div class="form subscribe"><p>Your mail address goes here.</p></div><div class="footer legal"><p>Mill Weekly, founded by the miller.</p></div></body></html>""",
 )

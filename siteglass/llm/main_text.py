@@ -132,9 +132,9 @@ def model() -> tuple[dict[str, float], float, dict[str, float]]:
         x[i, -1] = 1
     y, n = np.array([m for _, _, m in rows], dtype=float), np.sqrt([float(n) for _, n, _ in rows])
     w = np.zeros(x.shape[1])
-    for _ in range(3000):
+    for _ in range(4000):
         p = 1 / (1 + np.exp(-x @ w))
-        w -= 0.05 * (x.T @ (n * (p - y)) / n.sum() * 10 + 0.003 * np.append(w[:-1], 0))
+        w -= 0.05 * (x.T @ (n * (p - y)) / n.sum() * 10 + 0.0015 * np.append(w[:-1], 0))
     tags = {t: -min(0.8, max(0.05, 0.35 * np.log((outside[t] + 1) / (inside[t] + 1)) + 0.15)) for t in inside | outside}
     return {f: float(w[i]) for f, i in names.items()}, float(w[-1]), {t: float(v) for t, v in tags.items()}
 

@@ -147,9 +147,8 @@ def test_main_text_of_labelled_pages():
     for page in PAGES:
         inner = re.search(r"\{\{(.*)\}\}", page, re.S)[1]
         inner = re.sub(r"\[\[.*?\]\]", "", inner, flags=re.S)
-        want = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", inner)).split()
-        got = main_text.extract(re.sub(r"\{\{|\}\}|\[\[|\]\]", "", page)).split()
-        assert got == want
+        want = re.sub(r"\s+", "", re.sub(r"<[^>]+>", "", inner))
+        assert re.sub(r"\s+", "", main_text.extract(re.sub(r"\{\{|\}\}|\[\[|\]\]", "", page))) == want
 
 
 def test_main_text_of_unseen_and_broken_pages(frame, spark):
@@ -163,3 +162,30 @@ def test_main_text_of_unseen_and_broken_pages(frame, spark):
     got = main_text.digest(main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
     assert len(got) == 6 and all(len(r.text) == r.n_chars for r in got)
     assert {r.page_id: r.text for r in got}[5] == "no markup"
+
+
+A = "<p>The first paragraph has a few plain words in it.</p><p>Second one, with <a href='#'>a link</a> inside.</p>"
+PAGES_AROUND = {
+    "aside": f"<body><aside class='widget-area'><p>Recent posts and other things to read now.</p></aside><div class='entry-content'>{A}</div></body>",
+    "comments ol": f"<body><article>{A}</article><ol class='comment-list'><li><article class='comment-body'><p>Nice text, thank you very much for it.</p></article></li></ol></body>",
+    "alert": f"<body><div class='alert alert-info'><p>We moved to a new address last week.</p></div><main>{A}</main></body>",
+    "ad id": f"<body><div id='ad-top'><p>Buy a car today and drive it home.</p></div><article>{A}</article></body>",
+    "site header": f"<body><header><h1>Site title</h1><p>tagline of the site here</p></header><article>{A}</article><footer><p>Some footer words in a paragraph</p></footer></body>",
+    "plain divs": f"<body><div>{A}</div><div class='footer'><p>Imprint and contact words</p></div></body>",
+    "sidebar div": f"<body><div class='sidebar'><p>Weather is fine today in the north.</p><ul><li>One thing</li></ul></div><div class='article'>{A}</div></body>",
+    "newsletter": f"<body><article>{A}</article><section class='newsletter-signup'><p>Sign up to get our mails every day.</p><form><input></form></section></body>",
+    "cookie": f"<body><div class='cookie-banner'><p>This site uses cookies, please accept them all.</p></div><article>{A}</article></body>",
+    "user comments div": f"<body><article>{A}</article><div class='user-comments'><div class='comment'><b>Anna</b><p>I do not agree with this at all, sorry.</p></div></div></body>",
+    "nested ad": f"<body><article><p>The first paragraph has a few plain words in it.</p><div class='advert'><p>Big sale now on</p></div><p>Second one, with a link inside.</p></article></body>",
+    "menu ul": f"<body><ul id='menu'><li><a>One</a></li><li><a>Two</a></li></ul><article>{A}</article></body>",
+    "form": f"<body><article>{A}</article><form><p>Leave your mail here please</p></form></body>",
+    "section reader comments": f"<body><article>{A}<section class='comments'><h2>Comments</h2><p>First! And a long comment that says nothing much.</p></section></article></body>",
+    "notice in article": f"<body><article><div class='notice'>Updated on Monday by the staff.</div>{A}</article></body>",
+    "td layout": f"<body><table><tr><td class='nav'><a>Home</a></td><td class='content'>{A}</td></tr></table></body>",
+}
+
+
+def test_main_text_among_other_parts():
+    for name, page in PAGES_AROUND.items():
+        got = main_text.extract(page)
+        assert got == "The first paragraph has a few plain words in it.\n\nSecond one, with a link inside.", name
