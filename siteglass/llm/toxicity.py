@@ -35,39 +35,40 @@ class Params:
     max_rows: int = 12_000
 
 
-class WordHash(dict):
-    """Hash of the normalized word, or of its stem (the first ``stem`` letters of a longer one), remembered.
+class Words(dict):
+    """Number of each word seen, with the hashes of the normalized word and of its stem by that number.
 
-    Cleared when it grows past a bound; 0 for marks alone, and for words that are no longer than the stem.
+    A hash is 0 for marks alone, and a stem's also for words no longer than it. Emptied when it grows past a bound.
     """
 
-    def __init__(self, stem: int = 0):
+    def __init__(self):
         super().__init__()
-        self.stem = stem
+        self.word, self.stem = np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=np.uint64)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
+        n = len(self)
+        if n == len(self.word):
+            self.word, self.stem = np.concatenate((self.word, np.zeros_like(self.word))), np.concatenate((self.stem, np.zeros_like(self.stem)))
         clean = _STRIP.sub("", word.lower())
-        if self.stem:
-            clean = clean[: self.stem] + "~" if len(clean) > self.stem else ""
-        self[word] = value = (zlib.crc32(clean.encode()) * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF if clean else 0
-        return value
+        self.word[n] = _hash(clean) if clean else 0
+        self.stem[n] = _hash(clean[:STEM] + "~") if len(clean) > STEM else 0
+        self[word] = n
+        return n
 
 
-def hashers() -> tuple[WordHash, WordHash]:
-    """Of words and of stems."""
-    return WordHash(), WordHash(STEM)
+def _hash(text: str) -> int:
+    return (zlib.crc32(text.encode()) * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF
 
 
-def features(texts: list[str], bits: int, words: tuple[WordHash, WordHash]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, slot) of the distinct features of each text, ordered by row."""
-    words, stems = words
+def features(texts: list[str], bits: int, words: Words, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of the distinct features of each text, ordered by row; only of slots that are ``wanted``."""
+    if len(words) > 400_000:
+        words.clear()
     parts = [t.split() for t in texts]
     lens = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    h = np.fromiter((words[w] for p in parts for w in p), dtype=np.uint64, count=int(lens.sum()))
+    number = np.fromiter((words[w] for p in parts for w in p), dtype=np.int64, count=int(lens.sum()))
+    h, s = words.word[number], words.stem[number]
     row = np.repeat(np.arange(len(parts), dtype=np.uint64), lens)
-    s = np.fromiter((stems[w] for p in parts for w in p), dtype=np.uint64, count=len(h))
     s, stem_row = s[s != 0], row[s != 0]
     h, row = h[h != 0], row[h != 0]
     shift, out = np.uint64(64 - bits), []
@@ -77,7 +78,11 @@ def features(texts: list[str], bits: int, words: tuple[WordHash, WordHash]) -> t
         mixed = (a[same] * np.uint64(mult)) ^ (b[same] * np.uint64(mult + 2 * abs(gap)) >> np.uint64(1))
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        out.append((r[same] << np.uint64(bits)) | (mixed >> shift))
+        slot, r = mixed >> shift, r[same]
+        if wanted is not None:
+            hit = wanted[slot.astype(np.int64)]
+            slot, r = slot[hit], r[hit]
+        out.append((r << np.uint64(bits)) | slot)
     keys = np.unique(np.concatenate(out))
     return (keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
 
@@ -86,7 +91,7 @@ def fit(rows: list[tuple[str, int]], p: Params) -> tuple[np.ndarray, np.ndarray,
     """Non-zero slots, their weights and the bias."""
     size = 1 << p.bits
     z, n, w0, n0, z0 = np.zeros(size), np.zeros(size), 0.0, 0.0, 0.0
-    words, data = hashers(), []
+    words, data = Words(), []
     for lo in range(0, len(rows), 500):
         part = rows[lo : lo + 500]
         row, slot = features([t for t, _ in part], p.bits, words)
@@ -121,7 +126,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], p: Param
     """doc_id, score, predicted of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     dense: list[np.ndarray] = []
-    words = hashers()
+    used: list[np.ndarray] = []
+    words = Words()
     bits = p.bits
 
     def one(batch: pa.RecordBatch) -> dict:
@@ -129,10 +135,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], p: Param
         if not dense:
             dense.append(np.zeros(1 << bits))
             dense[0][at] = weights
+            used.append(dense[0] != 0)
         texts, out = batch.column("text").to_pylist(), []
         for lo in range(0, len(texts), 512):
             part = texts[lo : lo + 512]
-            row, slot = features(part, bits, words)
+            row, slot = features(part, bits, words, used[0])
             out.append(np.bincount(row, dense[0][slot], minlength=len(part)) + bias)
         s = 1 / (1 + np.exp(-np.clip(np.concatenate(out) if out else np.zeros(0), -35, 35)))
         return {"doc_id": batch.column("doc_id"), "score": s, "predicted": (s >= 0.5).astype(np.int32)}
