@@ -35,7 +35,7 @@ _TABLE = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.ui
 _POS_BITS = 28
 SLICE = 4_000_000
 HOT_RUNS = 50_000
-CROWDED = 20_000  # differing runs of one minimizer that one task may hold
+CROWDED = 100_000  # differing runs of one minimizer that one task may hold
 
 
 @dataclass(frozen=True)
@@ -89,30 +89,36 @@ def repeated_windows(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarra
     The windows are put in suffix order to the depth of ``length``; a stable sort leaves equal ones by place, so the
     previous smaller position of a window, if its longest previous factor reaches ``length``, is its left neighbour.
     """
-    view = np.lib.stride_tricks.as_strided(text, shape=(len(text) - length + 1, length), strides=(1, 1))
     out = np.zeros(len(at), dtype=bool)
     if len(at) < 2:
         return out
-    keys = np.ascontiguousarray(view[at])
-    words = -(-length // 8)
-    wide = np.zeros((len(at), 8 * words), dtype=np.uint8)
-    wide[:, :length] = keys
-    cols = wide.view(">u8").astype(np.uint64)
-    order, start = np.argsort(cols[:, 0], kind="stable"), np.zeros(len(at), dtype=bool)
+    padded = np.concatenate((text, np.zeros(8, dtype=np.uint8)))
+    eights = np.lib.stride_tricks.as_strided(padded, shape=(len(padded) - 7, 8), strides=(1, 1))
+
+    def key(places: np.ndarray) -> np.ndarray:
+        """The eight bytes at each place (or the window's, if it is shorter) as numbers in the order of strings."""
+        return np.ascontiguousarray(eights[places]).view(">u8")[:, 0].astype(np.uint64) >> np.uint64(8 * max(0, 8 - length))
+
+    steps = [*range(0, max(1, length - 7), 8)]
+    if length > 8 and length % 8:
+        steps.append(length - 8)  # overlaps what is known to be equal
+    first = key(at)
+    order, start = np.argsort(first, kind="stable"), np.zeros(len(at), dtype=bool)
     start[0] = True
-    start[1:] |= cols[order[1:], 0] != cols[order[:-1], 0]
-    for k in range(1, words):  # refine the stretches that are still equal
+    start[1:] |= first[order[1:]] != first[order[:-1]]
+    del first
+    for step in steps[1:]:  # refine the stretches that are still equal
         tied = ~start | np.append(~start[1:], False)
         spots = np.flatnonzero(tied)
         if not len(spots):
             return out
         group = np.cumsum(start)[spots]
         sub = order[spots]
-        key = cols[sub, k]
-        again = np.lexsort((key, group))
+        more = key(at[sub] + step)
+        again = np.lexsort((more, group))
         order[spots] = sub[again]
-        key, group = key[again], group[again]
-        start[spots[1:]] |= (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+        more, group = more[again], group[again]
+        start[spots[1:]] |= (more[1:] != more[:-1]) | (group[1:] != group[:-1])
     out[order[~start]] = True
     return out
 
