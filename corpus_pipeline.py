@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that (nearly) repeat an earlier one; documents without a word left go."""
-    return line_dedup.clean(docs)
+    """Remove lines that (nearly) repeat an earlier one, of any length; documents without a word left go."""
+    return line_dedup.clean(docs, line_dedup.Params(fold_short=True))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A line (a piece of a text between line feeds) is removed when an earlier line of the corpus, by doc_id and line
 number, has the same words or, from ``fuzzy_words`` words on, words within one edit: one word replaced, inserted or
-deleted. What counts as earlier is judged on the input. Lines under ``min_words`` words always stay.
+deleted. What counts as earlier is judged on the input. Lines under ``min_words`` words always stay, as in the SQL of
+op1; with ``fold_short`` they go too where they equal an earlier line and have a visible character.
 
 Equal lines are folded first, by three 64-bit hashes. Variants within the bound leave out one word: replaced words meet
 under equal variants of both lines, an inserted word under the longer line's variant and the shorter line as it is.
@@ -30,6 +31,10 @@ from .common import materialize, work_dir
 class Params:
     min_words: int = 5
     fuzzy_words: int = 10
+    fold_short: bool = False
+
+
+VISIBLE = r"[^\s\p{Z}\p{Cc}\p{Cf}]"
 
 
 def words_of(line: Column) -> Column:
@@ -53,10 +58,15 @@ def lines_of(docs: DataFrame, p: Params) -> DataFrame:
     def hashes(words: Column, i: Column) -> Column:
         n = F.size(words)
         parts = {"p0": (n, False), "s0": (n, True), "p1": (n - 1, False), "s1": (n - 1, True)}
-        return F.struct(i.alias("line_no"), n.alias("n"), F.xxhash64(words).alias("h"), *(_half(words, *x).alias(c) for c, x in parts.items()))
+        found = {"line_no": i, "n": n, "h": F.xxhash64(words)} | {c: _half(words, *x) for c, x in parts.items()}
+        if p.fold_short:  # halves of so few words may be empty and tell nothing apart
+            found |= {c: F.when(n < p.min_words, F.xxhash64(F.lit(c), words)).otherwise(found[c]) for c in SAME[1:]}
+            found["shown"] = (n >= p.min_words) | F.exists(words, lambda w: w.rlike(VISIBLE))
+        return F.struct(*(x.alias(c) for c, x in found.items()))
 
     rows = F.transform(F.transform(F.split("text", "\n"), words_of), hashes)
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(rows)).where(F.col("n") >= p.min_words)
+    lines = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(rows))
+    return lines.where("shown").drop("shown") if p.fold_short else lines.where(F.col("n") >= p.min_words)
 
 
 SAME = ["h", "p0", "s0"]
@@ -73,7 +83,7 @@ def company(uniq: DataFrame, p: Params) -> DataFrame:
     Roles: r (a word replaced), g (the shorter of two lines), d (the longer). Half p: the first half is shared. A line
     of n words meets others of n as they are (role b: r or g), and of n + 1 under their halves for one word less.
     """
-    rows = uniq.where(F.col("n") >= p.fuzzy_words - 1).select(
+    rows = uniq.where(F.col("n") >= max(p.min_words, p.fuzzy_words - 1)).select(
         "doc_id",
         "line_no",
         F.inline(F.array(*(F.struct(F.lit(role).alias("role"), F.lit(half).alias("half"), F.xxhash64(F.lit(half), F.col("n") - (1 if role == "d" else 0), F.col(src)).alias("key")) for role, half, src in (("b", "p", "p0"), ("b", "s", "s0"), ("d", "p", "p1"), ("d", "s", "s1"))))),

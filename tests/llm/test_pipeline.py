@@ -38,3 +38,21 @@ def test_stages_take_effect(spark, tmp_path, encoder):  # noqa: F811
         assert sum(r.length for r in got[d]) == len(ids)
         assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in got[d])
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_line_stage_folds_copies_of_short_lines(spark, frame):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(11)
+    lines = ["And ornd.", " And ornd. ", "And  ornd.", "and ornd.", "x", "", " ", "\t", "\u00a0", "\u200b\u3000", "这是一行没有空格的中文文本", "https://a.b/" + "c" * 90, "a\tb\tc\td\te\tf", "one two three four", "one two three fore", "a b c d e f", "a b c d e g", "a b", "b a", "ab"]
+    docs = [(d, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9)))) for d in range(40)]
+    seen, want = set(), {}
+    for d, t in docs:
+        kept = []
+        for line in t.split("\n"):
+            if (x := line.strip(" ")) not in seen or not x.strip("\t\u00a0\u200b\u3000"):
+                kept.append(line)
+            seen.add(x)
+        if kept == t.split("\n") or "".join(kept).strip(" \t"):
+            want[d] = "\n".join(kept)
+    got = {r.doc_id: r.text for r in pipeline.line_deduplication(spark, frame(docs), "").collect()}
+    assert got == want and sum(len(t) for _, t in docs) > 2 * sum(map(len, got.values()))
