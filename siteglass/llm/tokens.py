@@ -1,7 +1,8 @@
 """Token ids of whole texts by the ``tokenizers`` library, and their file format.
 
 Encoding: the byte-level vocabulary never joins across certain places, so texts are cut there and every distinct
-piece is encoded by the library once per worker (bounded memory); ids equal those of encoding the text at once.
+piece is encoded by the library once per worker (bounded memory); ids equal those of encoding the text at once. An added
+token (``<|endoftext|>``) that a text holds gets its own id, as in the library's plain call; no cut falls into one.
 
 File format: ids are replaced by their rank in the corpus-wide frequency order (rank 0 is the most frequent, ties by
 id) and written in byte-aligned variable-length code: two control bits per value, four to a control byte kept apart
@@ -57,11 +58,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        vocab = self.tok.get_vocab()
+        vocab, added = self.tok.get_vocab(), self.tok.get_added_tokens_decoder()
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
-        for piece, i in vocab.items():  # a byte-level vocabulary spells each byte as one character
-            self.width[i] = len(piece)
+        for piece, i in vocab.items():  # a byte-level vocabulary spells each byte as one character, but added tokens as they are
+            self.width[i] = len(piece.encode()) if i in added else len(piece)
         self.room, self.bits = room, max(10, (2 * room - 1).bit_length())
         self.power = self.back = np.ones(1, dtype=np.uint64)
         self._clear()

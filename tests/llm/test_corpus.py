@@ -249,6 +249,25 @@ def test_encoding_in_pieces_equals_encoding_at_once(encoder):
             assert ids.tolist() == encoder.tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_in_texts_get_their_id(frame, spark):
+    from tokenizers import Tokenizer
+
+    plain, mine = Tokenizer.from_file(VOCAB), tokens.Encoder(VOCAB, room=2000)
+    rng = random.Random(7)
+    bits = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", " ", " ", "\n", ",", ".", "é", "the", " of", "'s", "x", "日", "  "]
+    texts = ["one <|endoftext|> two", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 20))) for _ in range(4000))]
+    for lo in range(0, len(texts), 500):
+        for t, ids in zip(texts[lo : lo + 500], mine.encode(texts[lo : lo + 500]), strict=True):
+            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    assert mine.encode(texts[:1])[0].tolist() == [505, 220, 50256, 734]
+    docs = list(enumerate(texts[:40]))
+    want = [np.array([*plain.encode(t, add_special_tokens=False).ids, 0], dtype="<u4") for _, t in docs]
+    got = sorted(tokens.digest(tokens.read_files(spark, tokens.write_files(frame(docs), VOCAB))).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(x.tobytes())) for x in want]
+    packed = packing.pack_documents(frame(docs), VOCAB).collect()
+    assert {r.doc_id: r.doc_tokens for r in packed} == {d: len(x) for (d, _), x in zip(docs, want, strict=True)}
+
+
 def test_byte_aligned_code_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1001):
