@@ -7,7 +7,8 @@ the text; so adverts inside an article are passed over, and menus, notes or comm
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by two line feeds.
 Null or empty html, or a page without words in any main context, gives the empty text. Broken markup never fails: an
-unclosed tag ends at the next ``>`` or at the end, end tags without a start are ignored. Equal rows get equal texts;
+unclosed tag ends at the next ``>`` or at the end, end tags without a start are ignored. What stands in svg is no
+text; one that ends in ``/>`` or has no end tag hides nothing. Equal rows get equal texts;
 other columns are ignored, and a null page_id or url stays null.
 """
 
@@ -28,7 +29,8 @@ from .html_pages import PAGES
 
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav ol option p pre section select summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template svg math iframe object".split())
+RAW = frozenset("script style template svg iframe".split())
+FOREIGN = frozenset("svg math".split())
 TEXTLESS = frozenset("title textarea".split())
 HIDDEN = frozenset("head noscript button select option label".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -72,8 +74,14 @@ def events(page: str):
         attrs = page[m.end() : end]
         words = {w for a in _ATTR.finditer(attrs) for w in _WORDS.findall((a[2] or a[3] or a[4] or "").lower())} if "=" in attrs else set()
         yield "open", name, (name, *sorted("." + w for w in words))
+        if name in FOREIGN and page.endswith("/>", m.end(), end):
+            yield "close", name
+            continue
         if name in RAW or name in TEXTLESS:
             stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, end)
+            if name in FOREIGN and not stop:
+                yield "close", name
+                continue
             if name not in RAW and stop:
                 yield "text", html.unescape(page[end : stop.start()])
             at = stop.start() if stop else n

@@ -189,3 +189,13 @@ def test_main_text_among_other_parts():
     for name, page in PAGES_AROUND.items():
         got = main_text.extract(page)
         assert got == "The first paragraph has a few plain words in it.\n\nSecond one, with a link inside.", name
+
+
+def test_main_text_passes_over_icons_only():
+    for icon in ("<svg viewBox='0 0 8 8'/>", "<svg/>", "<math/>", "<svg class='a' />", "<svg><path d='M0 0'>", "<svg><path d='M0'/><text>icon</text></svg>"):
+        page = f"<body><header>{icon}</header><article>{A}</article><footer><svg><title>logo</title></svg></footer></body>"
+        if icon == "<svg><path d='M0 0'>":
+            page = page.replace("<svg><title>logo</title></svg>", "")
+        assert main_text.extract(page) == "The first paragraph has a few plain words in it.\n\nSecond one, with a link inside.", icon
+    page = f"<body><article>{A}<p>Here <math><mi>x</mi><mo>=</mo><mn>3</mn></math> is plain and <object data='a.pdf'>the file as words</object> too.</p></article></body>"
+    assert main_text.extract(page).endswith("Here x=3 is plain and the file as words too.")
