@@ -28,9 +28,11 @@ def write_csv(listings: DataFrame, path: str) -> None:
     export_fields(listings).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)
 
 
-def workbook(listings: DataFrame, limit: int = 100_000) -> bytes:
-    """One sheet with a header row, as the bytes of an .xlsx file; at most ``limit`` rows, which a sheet can hold."""
-    rows = [list(r) for r in export_fields(listings).limit(limit).toLocalIterator()]
+SHEET_ROWS = 1_048_575  # below the header, as many as a sheet can hold
+
+
+def workbook(listings: DataFrame, sheet_rows: int = SHEET_ROWS) -> bytes:
+    """All rows as the bytes of an .xlsx file: a sheet with a header row, and further ones past ``sheet_rows`` rows."""
 
     def cell(v) -> str:
         if v is None:
@@ -39,19 +41,34 @@ def workbook(listings: DataFrame, limit: int = 100_000) -> bytes:
             return f"<c><v>{v}</v></c>"
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
-    body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in [FIELDS, *rows])
     ns, doc = "http://schemas.openxmlformats.org", "officeDocument/2006/relationships"
+    head, rows, sheets = '<?xml version="1.0" encoding="UTF-8"?>', export_fields(listings).toLocalIterator(), 0
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        row = next(rows, None)
+        while row is not None or not sheets:
+            sheets += 1
+            with z.open(f"xl/worksheets/sheet{sheets}.xml", "w", force_zip64=True) as sheet:
+                sheet.write(f'{head}<worksheet xmlns="{ns}/spreadsheetml/2006/main"><sheetData><row>{"".join(map(cell, FIELDS))}</row>'.encode())
+                for _ in range(sheet_rows):
+                    if row is None:
+                        break
+                    sheet.write(f"<row>{''.join(map(cell, row))}</row>".encode())
+                    row = next(rows, None)
+                sheet.write(b"</sheetData></worksheet>")
+    n = range(1, sheets + 1)
+    kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in n)
+    listed = "".join(f'<sheet name="listings{"" if i == 1 else f" {i}"}" sheetId="{i}" r:id="r{i}"/>' for i in n)
+    links = "".join(f'<Relationship Id="r{i}" Type="{ns}/{doc}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n)
     parts = {
-        "[Content_Types].xml": f'<Types xmlns="{ns}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "[Content_Types].xml": f'<Types xmlns="{ns}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>',
         "_rels/.rels": f'<Relationships xmlns="{ns}/package/2006/relationships"><Relationship Id="r1" Type="{ns}/{doc}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{ns}/spreadsheetml/2006/main" xmlns:r="{ns}/{doc}"><sheets><sheet name="listings" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{ns}/package/2006/relationships"><Relationship Id="r1" Type="{ns}/{doc}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{ns}/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>',
+        "xl/workbook.xml": f'<workbook xmlns="{ns}/spreadsheetml/2006/main" xmlns:r="{ns}/{doc}"><sheets>{listed}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{ns}/package/2006/relationships">{links}</Relationships>',
     }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(out, "a", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
-            z.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + text)
+            z.writestr(name, head + text)
     return out.getvalue()
 
 

@@ -122,3 +122,13 @@ def test_streams_agree_with_batches(spark, tmp_path):
     path = spark.read.text(f"{tmp_path}/table/_current").first().value
     got = spark.read.parquet(path).collect()
     assert [(r.source_url, r.address, r.size_sf) for r in got] == [("k", "a", 7)]
+
+
+def test_workbook_holds_all_rows(spark):
+    rows = spark.range(100_001).selectExpr("id", "'a' as address")
+    book = zipfile.ZipFile(io.BytesIO(exports.workbook(rows)))
+    assert book.read("xl/worksheets/sheet1.xml").count(b"<row>") == 100_002
+    book = zipfile.ZipFile(io.BytesIO(exports.workbook(rows.limit(7), sheet_rows=3)))
+    assert [book.read(f"xl/worksheets/sheet{i}.xml").count(b"<row>") for i in (1, 2, 3)] == [4, 4, 2] and book.testzip() is None
+    assert all(book.read(f).count(b"heet3") for f in ("[Content_Types].xml", "xl/_rels/workbook.xml.rels")) and book.read("xl/workbook.xml").count(b"<sheet ") == 3
+    assert zipfile.ZipFile(io.BytesIO(exports.workbook(rows.limit(0)))).read("xl/worksheets/sheet1.xml").count(b"<row>") == 1
