@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by longest-previous-factor arrays, over a whole corpus.
+"""Removal of repeated byte strings by sorted windows of fixed length, over a whole corpus.
 
 Positions are all bytes of all texts, ordered by doc_id and place. A byte goes when a string of ``length`` bytes
 over it also starts earlier, so the first copy stays and every later one is cut.
@@ -7,9 +7,9 @@ One suffix array of a corpus is not needed, nor would it fit: windows of ``lengt
 minimizer (the smallest hash of their ``gram``-byte strings) at the same place. Runs of windows with one minimizer are
 dealt by its hash, so equal windows meet. Equal runs are settled by their 128-bit hash alone, in each batch already
 (and a frequent one in each task, so a passage in a third of all documents costs about one row a task); runs that share a minimizer but differ bring their
-bytes, whose windows are put in suffix order (or, where more than ``CROWDED`` runs share one, are dealt one by one). There the longest previous factor of a window follows from the previous
-and next smaller positions in that order: it reaches ``length`` if and only if a neighbour in its stretch of equal
-prefixes starts earlier.
+bytes, whose windows are put in suffix order (or, where more than ``CROWDED`` runs share one, are dealt one by one). A window goes if
+its left neighbour there is equal, as its longest previous factor then reaches ``length``. The factors themselves are not
+computed: ``longest_previous_factor`` is what tests compare with.
 
 Null text is empty; texts under ``length`` bytes keep every byte. Rows with a null doc_id are left out of the search
 and keep their bytes. Rows that repeat a doc_id and text are one document, each getting its result.
