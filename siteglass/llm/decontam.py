@@ -1,10 +1,9 @@
 """Benchmark decontamination: which documents hold (nearly) all word shingles of a test item.
 
-Size-partitioned MinHash containment search. Test items are partitioned by the size class of their shingle set; in
-each class an item is sketched by its smallest shingle hashes, as many as its class needs so that a document holding
-the threshold's share of the item must hold one of them (with q shingles and threshold t, any ``q - ceil(t*q) + 1``
-of them). Documents are sketched with the same hash below the largest value a class uses, at any length, so a short
-item is found inside a long document without lowering a Jaccard threshold, and no pair over the threshold is lost.
+MinHash containment search by a prefix filter. An item is sketched by its smallest shingle hashes, as many as its
+size needs so that a document holding the threshold's share of the item must hold one of them (with q shingles and
+threshold t, any ``q - ceil(t*q) + 1`` of them). Documents are sketched with the same hash up to the largest value that
+any item of the block uses (near all their shingles, if an item is small), at any length, so a short item is found inside a long document without lowering a Jaccard threshold, and no pair over the threshold is lost.
 Candidates are then verified by exact containment of the full shingle sets.
 
 The items are sent to the executors in blocks of a bounded number of shingles (``BLOCK``), each searched against all
@@ -65,20 +64,17 @@ def need(q: int, percent: int) -> int:
 
 
 class Index:
-    """Items of one block, partitioned by size class, with an inverted list of their sketches."""
+    """Items of one block, with an inverted list of their sketches."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], percent: int):
         self.items, self.percent = items, percent
         slots: dict[int, list[int]] = {}
-        self.limit: dict[int, int] = {}
         for i, (_, s) in enumerate(items):
-            kind = len(s).bit_length()
             for x in s[: len(s) - need(len(s), percent) + 1].tolist():  # sorted: the smallest hashes
                 slots.setdefault(x, []).append(i)
-                self.limit[kind] = max(self.limit.get(kind, 0), x)
         self.keys = np.array(sorted(slots), dtype=np.uint64)
         self.lists = [slots[int(k)] for k in self.keys]
-        self.most = max(self.limit.values(), default=-1)
+        self.most = max(slots, default=-1)
 
     def search(self, doc: np.ndarray) -> list[tuple[int, int, int]]:
         """(item_id, shingles held, shingles of the item) of every item held."""
