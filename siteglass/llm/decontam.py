@@ -10,7 +10,8 @@ The items are sent to the executors in blocks of a bounded number of shingles (`
 documents, so the broadcast has a fixed size however many items there are.
 
 Words are runs of non-white-space (``[^\\x20\\x09-\\x0D]+``), lower-cased (A-Z), with marks around a word left out;
-an item of fewer than ``size`` words is one shingle of all its words. Null or empty texts hold nothing and match
+an item of fewer than ``size`` words is one shingle of all its words, so it is
+not found inside a longer document, only in one of exactly these words (the SQL of op6 has the same rule). Null or empty texts hold nothing and match
 nothing. Equal items are reported each under its own item_id; equal documents get equal rows.
 """
 
