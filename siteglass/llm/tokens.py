@@ -26,10 +26,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, docs_of, materialize, work_dir
 
 END_ID = 0
-_V = "!-~¡-˿Ͱ-ͳЀ-ҁ"
 _U = np.uint64
-_MULT, _ROUND = 0x9E3779B97F4A7C15, 1 << 64
-_TABLES = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
+SHORT, MIDDLE = 16, 512  # bytes of a piece that is its own key in the table, and of one kept in a dictionary
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _MARKS = ",.;:!?"
 _VISIBLE = np.zeros(256, dtype=bool)
 _VISIBLE[0x21:0x7F] = True
@@ -50,8 +49,10 @@ class Encoder:
     """Ids of texts, by pieces that are encoded once.
 
     Pieces begin at a single space or line feed between visible characters, and at a mark between a letter and such a
-    place; the vocabulary never joins across these. They are told apart by 128-bit hashes, computed for all pieces of
-    many texts at once, in an open table of bounded size (``room``) that starts anew when it is full.
+    place; the vocabulary never joins across these. Pieces are told apart by their bytes, never by a hash of them: up
+    to ``SHORT`` bytes are two numbers that key an open table, looked up for all pieces of many texts at once; up to
+    ``MIDDLE`` bytes key a dictionary; longer ones are encoded each time. Both tables start anew when
+    they hold ``room`` pieces, or a 32nd of it in the dictionary.
     """
 
     def __init__(self, path: str, room: int = 1_000_000):
@@ -63,53 +64,50 @@ class Encoder:
         for piece, i in vocab.items():  # a byte-level vocabulary spells each byte as one character, but added tokens as they are
             self.width[i] = len(piece.encode()) if i in added else len(piece)
         self.room, self.bits = room, max(10, (2 * room - 1).bit_length())
-        self.power = self.back = np.ones(1, dtype=np.uint64)
         self._clear()
 
     def _clear(self) -> None:
-        self.key1, self.key2 = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.uint64)
-        self.value = np.zeros(1 << self.bits, dtype=np.int32)
+        self.low, self.high = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.uint64)
+        self.size, self.value = np.zeros(1 << self.bits, dtype=np.int8), np.zeros(1 << self.bits, dtype=np.int32)
+        self.middle: dict[bytes, int] = {}
         self.at, self.count = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
         self.pool, self.used, self.pieces = np.zeros(4096, dtype="<u4"), 0, 0
         marks = [self._plain(m) for m in _MARKS]
-        raw = np.frombuffer(_MARKS.encode(), dtype=np.uint8)
-        self._grow(1)
-        h1, h2 = self._hashes(raw, np.arange(len(raw)), np.ones(len(raw), dtype=np.int64))
-        self._add(h1, h2, np.concatenate(marks), np.array([len(m) for m in marks]))
+        first = self._hold(np.concatenate(marks), np.array([len(m) for m in marks]))
+        self._add(np.frombuffer(_MARKS.encode(), dtype=np.uint8).astype(np.uint64), np.zeros(len(marks), dtype=np.uint64), np.ones(len(marks), dtype=np.int8), first)
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _grow(self, n: int) -> None:
-        if len(self.power) <= n:
-            size = 2 * n + 1
-            self.power = np.cumprod(np.concatenate(([_U(1)], np.full(size, _MULT, dtype=np.uint64))))
-            self.back = np.cumprod(np.concatenate(([_U(1)], np.full(size, pow(_MULT, -1, _ROUND), dtype=np.uint64))))
-
-    def _hashes(self, x: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-        self._grow(len(x))
-        out = []
-        for t in _TABLES:
-            sums = np.concatenate(([_U(0)], np.cumsum(t[x] * self.power[: len(x)])))
-            out.append(_mix((sums[start + size] - sums[start]) * self.back[start] + size.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)))
-        out[0][out[0] == 0] = 1
-        return out
+    def _slots(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (_mix(low ^ _mix(high + size.astype(np.uint64))) & _U((1 << self.bits) - 1)).astype(np.int64)
 
-    def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Piece numbers, or -1."""
-        out, left, mask = np.full(len(h1), -1, dtype=np.int64), np.arange(len(h1)), _U((1 << self.bits) - 1)
-        slot = (h1 & mask).astype(np.int64)
+    def _find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of short pieces, or -1."""
+        out, left, slot = np.full(len(low), -1, dtype=np.int64), np.arange(len(low)), self._slots(low, high, size)
         while len(left):
-            key = self.key1[slot]
-            hit = (key == h1[left]) & (self.key2[slot] == h2[left])
+            held = self.size[slot]
+            hit = (held == size[left]) & (self.low[slot] == low[left]) & (self.high[slot] == high[left])
             out[left[hit]] = self.value[slot[hit]]
-            on = ~hit & (key != 0)
+            on = ~hit & (held != 0)
             left, slot = left[on], slot[on] + 1 & (1 << self.bits) - 1
         return out
 
-    def _add(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        """Add pieces that are not in the table yet, each once."""
-        n = len(h1)
+    def _add(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, number: np.ndarray) -> None:
+        """Enter short pieces that are not in the table yet, each once."""
+        left, slot = np.arange(len(low)), self._slots(low, high, size)
+        while len(left):
+            free = np.flatnonzero(self.size[slot] == 0)
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            s, w = slot[first], left[first]
+            self.low[s], self.high[s], self.size[s], self.value[s] = low[w], high[w], size[w], number[w]
+            on = np.ones(len(left), dtype=bool)
+            on[first] = False
+            left, slot = left[on], slot[on] + 1 & (1 << self.bits) - 1
+
+    def _hold(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Keep the ids of new pieces; returns the pieces' numbers."""
+        n = len(count)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
         while self.pieces + n > len(self.at):
@@ -117,16 +115,14 @@ class Encoder:
         self.pool[self.used : self.used + len(ids)] = ids
         self.at[self.pieces : self.pieces + n] = self.used + np.cumsum(count) - count
         self.count[self.pieces : self.pieces + n] = count
-        left, slot = np.arange(n), (h1 & _U((1 << self.bits) - 1)).astype(np.int64)
-        while len(left):
-            free = np.flatnonzero(self.key1[slot] == 0)
-            first = free[np.unique(slot[free], return_index=True)[1]]
-            s, w = slot[first], left[first]
-            self.key1[s], self.key2[s], self.value[s] = h1[w], h2[w], self.pieces + w
-            on = np.ones(len(left), dtype=bool)
-            on[first] = False
-            left, slot = left[on], slot[on] + 1 & (1 << self.bits) - 1
         self.used, self.pieces = self.used + len(ids), self.pieces + n
+        return np.arange(self.pieces - n, self.pieces)
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Encode new pieces together; returns their numbers."""
+        ids = self._plain(b"".join(pieces).decode())
+        stop = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x) for x in pieces])) + 1
+        return self._hold(ids, np.diff(stop, prepend=0))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -156,24 +152,34 @@ class Encoder:
         alone = np.zeros(n, dtype=bool)  # first pieces, and pieces that end in no visible character
         alone[begins] = True
         alone = alone[start] | ~last[start + size - 1]
-        h1, h2 = self._hashes(x, start, size)
-        if self.pieces + len(start) > self.room:
+        alone |= size > MIDDLE
+        if self.pieces + len(start) > self.room or len(self.middle) > self.room // 32:
             self._clear()
         if self.pieces + len(start) > 1 << self.bits - 1:
             self.bits = (2 * len(start)).bit_length() + 1
             self._clear()
         which = np.full(len(start), -1, dtype=np.int64)
-        own = np.flatnonzero(~alone)
-        which[own] = self._find(h1[own], h2[own])
-        while len(new := own[which[own] < 0]):
-            once = new[np.unique(h1[new], return_index=True)[1]]
+        own = np.flatnonzero(~alone & (size <= SHORT))
+        eights = np.lib.stride_tricks.as_strided(np.frombuffer(buf + bytes(SHORT), dtype=np.uint8), shape=(n + 8, 8), strides=(1, 1))
+        low, high = (np.ascontiguousarray(eights[start[own] + k]).view("<u8")[:, 0] & _KEEP[np.clip(size[own] - k, 0, 8)] for k in (0, 8))
+        short = size[own].astype(np.int8)
+        got = self._find(low, high, short)
+        while len(new := np.flatnonzero(got < 0)):
+            once = new[np.unique(_mix(low[new] ^ _mix(high[new] + short[new].astype(np.uint64))), return_index=True)[1]]
             for lo in range(0, len(once), 5000):
                 part = once[lo : lo + 5000]
-                s, e = start[part].tolist(), (start[part] + size[part]).tolist()
-                ids = self._plain(b"".join([buf[i:j] for i, j in zip(s, e, strict=True)]).decode())
-                stop = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size[part])) + 1
-                self._add(h1[part], h2[part], ids, np.diff(stop, prepend=0))
-            which[new] = self._find(h1[new], h2[new])
+                at = own[part]
+                self._add(low[part], high[part], short[part], self._learn([buf[i:j] for i, j in zip(start[at].tolist(), (start[at] + size[at]).tolist(), strict=True)]))
+            got[new] = self._find(low[new], high[new], short[new])
+        which[own] = got
+        mid = np.flatnonzero(~alone & (size > SHORT))
+        if len(mid):
+            raw = [buf[i:j] for i, j in zip(start[mid].tolist(), (start[mid] + size[mid]).tolist(), strict=True)]
+            once = [x for x in dict.fromkeys(raw) if x not in self.middle]
+            for lo in range(0, len(once), 500):
+                part = once[lo : lo + 500]
+                self.middle.update(zip(part, self._learn(part).tolist(), strict=True))
+            which[mid] = [self.middle[x] for x in raw]
         single = np.flatnonzero(alone)
         got = [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast([buf[i:j].decode() for i, j in zip(start[single].tolist(), (start[single] + size[single]).tolist(), strict=True)], add_special_tokens=False)]
         at, count = self.at[which], self.count[which]

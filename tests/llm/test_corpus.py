@@ -249,6 +249,20 @@ def test_encoding_in_pieces_equals_encoding_at_once(encoder):
             assert ids.tolist() == encoder.tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_pieces_are_told_apart_by_their_bytes():
+    from tokenizers import Tokenizer
+
+    plain, mine = Tokenizer.from_file(VOCAB), tokens.Encoder(VOCAB)
+    rng = random.Random(12)
+    for size in (3, 8, 9, 15, 16, 17, 511, 512, 513, 1024, 2048):
+        thue = "".join("ab"[i.bit_count() & 1] for i in range(size))  # complementary words collide under polynomial hashes
+        pairs = [thue, thue.translate({97: "b", 98: "a"})]
+        pairs += ["".join(rng.choice("abcXYZ019_-/") for _ in range(size)) for _ in range(6)]
+        texts = [f"x {w} y{w[:1]} {w}, z" for w in pairs for _ in range(2)]
+        for t, ids in zip(texts, mine.encode(texts), strict=True):
+            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, size
+
+
 def test_added_tokens_in_texts_get_their_id(frame, spark):
     from tokenizers import Tokenizer
 
