@@ -18,11 +18,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x) if isinstance(x, (int, float)) else x
 
 
+def half_chord(lat1, lng1, lat2, lng2) -> Column:
+    """Square of half the chord between two points of the unit sphere."""
+    a, b, c, d = (F.radians(_c(x)) for x in (lat1, lng1, lat2, lng2))
+    return F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
+
+
 def haversine(lat1, lng1, lat2, lng2, radius: float = EARTH_M) -> Column:
     """Great-circle distance, in the unit of ``radius``."""
-    a, b, c, d = (F.radians(_c(x)) for x in (lat1, lng1, lat2, lng2))
-    h = F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * radius * F.asin(F.sqrt(F.least(half_chord(lat1, lng1, lat2, lng2), F.lit(1.0))))
 
 
 def decay(meters) -> Column:

@@ -53,8 +53,7 @@ def enrich(listings: DataFrame, pois: DataFrame, stations: DataFrame) -> DataFra
 
 def pages_of(listings: DataFrame, parcels: DataFrame, pois: DataFrame, stations: DataFrame, airports: DataFrame) -> DataFrame:
     """Listings with their parcel, nearest amenities, stations and airports; what is not known is an empty panel."""
-    reach = nearby.radius_join(listings.select("id", "lat", "lng"), pois.select("category", "name", "lat", "lng"))
-    near = nearby.top_per_category(reach).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("category", "rank", "name", F.bround("meters", 0).cast("int").alias("meters")))).alias("amenities"))
+    near = nearby.nearest_amenities(listings, pois).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("category", "rank", "name", F.bround("meters", 0).cast("int").alias("meters")))).alias("amenities"))
     rail = nearby.nearest_stations(listings, stations, 6).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "meters"))).alias("transit"))
     drive = nearby.airport_minutes(listings, airports).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("airport", "minutes"))).alias("airports"))
     out = listings.join(parcels.select("parcel_id", F.struct("*").alias("parcel")), "parcel_id", "left")

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_WORDS
 from ..schema import METROS, PROPERTY_TYPES
 
+# How messages state areas and rents, and how many keywords count.
+AREA = "\\s*([0-9,]+)\\s*(?:sf|sq|square)"
+AT_MOST, AT_LEAST = "(?:under|below|less than|max|up to)" + AREA, "(?:over|above|at least|min|minimum)" + AREA
+ABOUT = "([0-9,]{3,})\\s*(?:sf|sq ?ft|square feet)"
+MONTHLY, PER_AREA = "\\$\\s*([0-9,.]+)\\s*(k)?\\s*(?:/|per |a )\\s*mo", "\\$\\s*([0-9,.]+)\\s*(?:/|per )\\s*(?:sf|psf)"
+BUYING = ("for sale", "buy", "purchase")
+WORD = "([a-z][a-z-]{2,})"
 KEYWORDS = 8
 FIELDS = ("property_types", "transaction_type", "min_size_sf", "max_size_sf", "max_rent_per_sf_yr", "boroughs", "neighborhood", "keywords")
 
@@ -22,23 +29,18 @@ def parse_messages(messages: DataFrame, message: str = "message", metro: str = "
     ``unstated`` is the transaction type of a message that names none ('' on later turns, so an earlier one holds).
     """
     q = F.lower(F.coalesce(message, F.lit("")))
-    area = "\\s*([0-9,]+)\\s*(?:sf|sq|square)"
-    high = _figure(q, "(?:under|below|less than|max|up to)" + area).cast("bigint")
-    low = _figure(q, "(?:over|above|at least|min|minimum)" + area).cast("bigint")
-    about = _figure(q, "([0-9,]{3,})\\s*(?:sf|sq ?ft|square feet)").cast("bigint")
+    high, low, about = (_figure(q, p).cast("bigint") for p in (AT_MOST, AT_LEAST, ABOUT))
     loose = F.coalesce(high, F.lit(0)) + F.coalesce(low, F.lit(0)) == 0
     size = F.coalesce(F.nullif(high, F.lit(0)), F.nullif(low, F.lit(0)), F.when(loose, about), F.lit(0))
-    monthly = "\\$\\s*([0-9,.]+)\\s*(k)?\\s*(?:/|per |a )\\s*mo"
-    gross = _figure(q, monthly) * F.when(F.regexp_extract(q, monthly, 2) == "k", 1000).otherwise(1)
-    per_area = _figure(q, "\\$\\s*([0-9,.]+)\\s*(?:/|per )\\s*(?:sf|psf)")
-    cap = F.when(q.rlike(monthly), F.when(size > 0, F.round(gross * 12 / size, 2))).otherwise(per_area)
+    gross = _figure(q, MONTHLY) * F.when(F.regexp_extract(q, MONTHLY, 2) == "k", 1000).otherwise(1)
+    cap = F.when(q.rlike(MONTHLY), F.when(size > 0, F.round(gross * 12 / size, 2))).otherwise(_figure(q, PER_AREA))
     kinds = F.filter(F.array(*(F.lit(t) for t in PROPERTY_TYPES)), lambda t: F.contains(q, t))
     first = F.coalesce(*(F.when((F.col(metro) == m) & F.contains(q, F.lit(b.lower())), b) for m, spec in METROS.items() for b in spec["boroughs"]))
-    words = F.filter(F.regexp_extract_all(q, F.lit("([a-z][a-z-]{2,})"), 1), lambda w: ~w.isin(*STOP_WORDS))
+    words = F.filter(F.regexp_extract_all(q, F.lit(WORD), 1), lambda w: ~w.isin(*STOP_WORDS))
     return messages.withColumns(
         {
             "property_types": kinds,
-            "transaction_type": F.when(F.contains(q, F.lit("for sale")) | F.contains(q, F.lit("buy")) | F.contains(q, F.lit("purchase")), "sale").otherwise(unstated),
+            "transaction_type": F.when(q.rlike("|".join(BUYING)), "sale").otherwise(unstated),
             "min_size_sf": F.coalesce(F.when(loose, F.floor(about * 0.75)).otherwise(low), F.lit(0)).cast("bigint"),
             "max_size_sf": F.coalesce(F.when(loose, F.floor(about * 1.25)).otherwise(high), F.lit(0)).cast("bigint"),
             "max_rent_per_sf_yr": F.coalesce(cap, F.lit(0.0)),

@@ -79,10 +79,30 @@ def cosine(vectors: DataFrame, id_col: str, vector_col: str, query: list[float],
     return rows.select("id", dot("v", q).alias("similarity"))
 
 
-def ranks(scored: DataFrame, score: str, descending: bool) -> DataFrame:
-    """(id, rank) from 1, ties by id. One global order: for candidate sets, not for corpora."""
-    order = F.col(score).desc() if descending else F.col(score).asc()
-    return scored.select("id", F.row_number().over(Window.orderBy(order, F.col("id").asc())).alias("rank"))
+def _placed(scored: DataFrame, score: str, descending: bool, parts: int) -> DataFrame:
+    """``scored`` with its place ``i`` from 0 and the number of rows ``n``; null scores come last, ties go by id.
+
+    With one part a single global order is taken, for candidate sets that a filter has bounded. With more, rows are
+    cut by approximate quantiles of the score (equal scores fall into one part), ordered within parts, and moved on by
+    the rows of the parts before, so no task orders a whole table. Only one row per part is broadcast.
+    """
+    key = -F.col(score) if descending else F.col(score)
+    order = [F.col("_key").asc_nulls_last(), F.col("id").asc()]
+    rows = scored.withColumn("_key", key)
+    if parts == 1:
+        return rows.withColumns({"i": F.row_number().over(Window.orderBy(*order)) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy())}).drop("_key")
+    cuts = rows.agg(F.percentile_approx("_key", F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(100 * parts)).alias("_cuts"))
+    part = F.when(F.col("_key").isNull(), parts).otherwise(F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col("_key"))))
+    cut = rows.withColumn("_key", F.col("_key").cast("double")).crossJoin(F.broadcast(cuts)).withColumn("_part", part).drop("_cuts")
+    sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"), F.sum("_n").over(Window.partitionBy()).alias("n"))  # a row a part
+    placed = cut.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(ahead), "_part")
+    return placed.withColumn("i", F.col("_ahead") + F.col("_at") - 1).drop("_key", "_part", "_at", "_ahead")
+
+
+def ranks(scored: DataFrame, score: str, descending: bool, parts: int = 1) -> DataFrame:
+    """(id, rank) from 1, ties by id; ``parts`` over one for tables that no filter has bounded."""
+    return _placed(scored, score, descending, parts).select("id", (F.col("i") + 1).alias("rank"))
 
 
 def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -93,24 +113,24 @@ def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return both.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
-def semantic_scores(candidates: DataFrame, fused: DataFrame | None) -> DataFrame:
-    """Every candidate with position, semantic_score and score: ranked ones first, the others by id.
-
-    A count and a global order over candidates, which a hard filter has bounded.
-    """
+def semantic_scores(candidates: DataFrame, fused: DataFrame | None, parts: int = 1) -> DataFrame:
+    """Every candidate with position, semantic_score and score: ranked ones first, the others by id."""
     base = candidates.select("id")
     got = base.join(fused.select("id", F.col("score").alias("fused")), "id", "left") if fused is not None else base.withColumn("fused", F.lit(None).cast("double"))
-    order = Window.orderBy(F.col("fused").desc_nulls_last(), F.col("id").asc())
-    placed = got.select("id", (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
     sem = F.when(F.col("n") > 1, F.round(1 - F.col("i") / F.col("n"), 3)).otherwise(1.0)
-    return placed.select("id", F.col("i").cast("long").alias("position"), sem.alias("semantic_score"), F.round(sem * 100, 1).alias("score"))
+    return _placed(got, "fused", True, parts).select("id", F.col("i").cast("long").alias("position"), sem.alias("semantic_score"), F.round(sem * 100, 1).alias("score"))
+
+
+def _rounded(scored: DataFrame, score: str, digits: int) -> DataFrame:
+    """Sums of doubles depend on their order; rounded, equal scores are ties and go by id."""
+    return scored.withColumn(score, F.round(score, digits))
 
 
 def rank_listings(listings: DataFrame, candidates: DataFrame, keywords: list[str], query_vector: list[float] | None = None, vectors: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
     """Candidates ordered by full text and vectors fused; without vectors the order is that of the text alone."""
     lists = []
     if keywords:
-        lists.append(ranks(bm25(listings, "id", ["address", "our_description", "neighborhood"], keywords, candidates, stemmed), "score", False))
+        lists.append(ranks(_rounded(bm25(listings, "id", ["address", "our_description", "neighborhood"], keywords, candidates, stemmed), "score", 9), "score", False))
     if query_vector and vectors is not None:
-        lists.append(ranks(cosine(vectors, "listing_id", "vector", query_vector, candidates), "similarity", True))
-    return semantic_scores(candidates, rrf(lists) if lists else None)
+        lists.append(ranks(_rounded(cosine(vectors, "listing_id", "vector", query_vector, candidates), "similarity", 9), "similarity", True))
+    return semantic_scores(candidates, _rounded(rrf(lists), "score", 12) if lists else None)

@@ -91,9 +91,3 @@ def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
     s = stations(spark, sf).withColumn("routes", F.when(F.col("route").isNotNull(), F.array("route")))
     out = detail.pages_of(rows, parcels, pois(spark, sf), s, airports(spark))
     return out.select("id", F.col("parcel.parcel_id").alias("parcel"), F.coalesce(F.size("transit"), F.lit(0)).cast("bigint").alias("stations"), F.coalesce(F.size("airports"), F.lit(0)).cast("bigint").alias("airports"))
-
-
-@query(L + "SELECT id FROM listing WHERE lat IS NOT NULL AND walk_score IS NULL")
-def enrich_pending(spark: SparkSession, sf: str) -> DataFrame:
-    s = stations(spark, sf).withColumn("routes", F.when(F.col("route").isNotNull(), F.array("route")))
-    return detail.enrich(listings(spark, sf), pois(spark, sf).withColumn("route_refs", F.array("route")), s).select("id")

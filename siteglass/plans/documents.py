@@ -75,9 +75,8 @@ def address_match(spark: SparkSession, sf: str) -> DataFrame:
     """The same place in other words, a wrong house, a wrong direction, a wrong street, one that cannot be told."""
     asked = "CASE WHEN p_partkey % 5 = 0 THEN concat(p_partkey, ' South Drive, Town, TX') ELSE concat(p_partkey, ' West 38th Street, New York, NY') END"
     got = "CASE p_partkey % 5 WHEN 0 THEN concat(p_partkey, ' S DR') WHEN 1 THEN concat(p_partkey, ' W 38 ST, MANHATTAN') WHEN 2 THEN concat(p_partkey + 1, ' W 38 ST') WHEN 3 THEN concat(p_partkey, ' E 38 ST') ELSE concat(p_partkey, ' W 410 ST, NEW YORK') END"
-    rows = table(spark, sf, "part").where("p_partkey NOT IN (38, 37, 410)").selectExpr("p_partkey AS id", f"{asked} AS asked", f"{got} AS got")
-    few = table(spark, sf, "part").where("p_partkey IN (38, 37, 410)").selectExpr("p_partkey AS id", "p_partkey % 5 = 1 AS ok")
-    return rows.select("id", text.address_matches("asked", "got").alias("ok")).unionByName(few)
+    rows = table(spark, sf, "part").selectExpr("p_partkey AS id", f"{asked} AS asked", f"{got} AS got")
+    return rows.select("id", text.address_matches("asked", "got").alias("ok"))
 
 
 @query("SELECT p_partkey AS id, p_partkey || ' N 2 ' || upper(split_part(p_name, ' ', 2)) || ' AVE' AS situs, p_partkey || ' NW 2 AVE' AS bare FROM part")
@@ -104,6 +103,27 @@ def html_facts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "f.size_sf", F.col("f.total_building_sf").alias("building"), "f.asking_rent", "f.rent_unit", F.col("f.property_type").alias("kind"))
 
 
+_K = "(p_partkey % 5000 + 1000)"
+_TOLD = (
+    f"concat('Typical floor 20,000 SF. Suite offers ', format_number({_K}, 0), ' SF of office.')", f"concat('A rebuilt port with public open space and over 275,000 SF of homes. Retail unit of ', format_number({_K}, 0), ' SF.')",
+    f"concat('Spaces available 1,200 - ', format_number({_K} + 2000, 0), ' SF. Flex.')", f"concat('Industrial. Proposed divisions: ', format_number({_K}, 0), ' SF, 9,100 SF and 12,000 SF.')",
+    f"concat('Land for sale. Asking price: $6,500,000. ', format_number({_K}, 0), ' SF.')", f"concat('For sale or lease: office of ', format_number({_K}, 0), ' SF at $45/SF.')",
+    f"concat('Office of ', format_number({_K}, 0), ' SF. Monthly rent: $ 8,000')", f"concat('Market rent $30/SF nearby. Retail of ', format_number({_K}, 0), ' SF.')",
+)
+
+
+@query(
+    f"""SELECT p_partkey AS id, CAST(CASE p_partkey % 8 WHEN 2 THEN {_K} + 2000 WHEN 3 THEN 12000 ELSE {_K} END AS INTEGER) AS size_sf, CAST(CASE p_partkey % 8 WHEN 2 THEN 1200 WHEN 3 THEN {_K} END AS INTEGER) AS low,
+CAST(CASE p_partkey % 8 WHEN 4 THEN 6500000 END AS BIGINT) AS sale_price, CASE p_partkey % 8 WHEN 4 THEN 'sale' END AS transaction_type, CASE p_partkey % 8 WHEN 5 THEN 45.0e0 WHEN 6 THEN 8000.0e0 END AS asking_rent,
+CASE p_partkey % 8 WHEN 5 THEN 'sf_yr' WHEN 6 THEN 'mo' END AS rent_unit, CASE p_partkey % 8 WHEN 1 THEN 'retail' WHEN 7 THEN 'retail' WHEN 2 THEN 'flex' WHEN 3 THEN 'industrial' WHEN 4 THEN 'land' ELSE 'office' END AS kind FROM part"""
+)
+def told_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight ways to state a fact: decoys of size and rent, the district's figures, ranges, divisions, sales, both offers."""
+    body = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_TOLD)) + " END"
+    rows = table(spark, sf, "part").selectExpr("p_partkey AS id", f"{body} AS body").withColumn("f", facts.page_facts("body", F.lit("nyc")))
+    return rows.select("id", "f.size_sf", F.col("f.divisible_min_sf").alias("low"), "f.sale_price", "f.transaction_type", "f.asking_rent", "f.rent_unit", F.col("f.property_type").alias("kind"))
+
+
 @query()
 def html_facts_udf(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of the stored pages, which state none in figures."""

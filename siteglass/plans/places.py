@@ -52,18 +52,32 @@ def walk_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "category", "b.score", "b.count", "b.nearest_m")
 
 
-@query(
-    _BASE + f""", near AS (SELECT id, mode, route, min(meters) AS meters FROM (SELECT l.id, s.mode, coalesce(s.route, s.name) AS route, {_meters('l', 's')} AS meters FROM listing l, station s WHERE l.lat IS NOT NULL
+_TRANSIT = f""", stop AS (SELECT id, mode, route, min(meters) AS meters FROM (SELECT l.id, s.mode, coalesce(s.route, s.name) AS route, {_meters('l', 's')} AS meters FROM listing l, station s WHERE l.lat IS NOT NULL
 UNION ALL SELECT l.id, 'bus', p.route, {_meters('l', 'p')} FROM listing l JOIN poi p ON p.category = 'bus_stop' AND p.lat BETWEEN l.lat - 0.03 AND l.lat + 0.03 AND p.lng BETWEEN l.lng - 0.04 AND l.lng + 0.04 WHERE l.lat IS NOT NULL) WHERE meters <= 2414 GROUP BY id, mode, route),
-raw AS (SELECT id, sum(CASE mode WHEN 'rail' THEN 1400.0e0 WHEN 'ferry' THEN 300.0e0 ELSE 350.0e0 END * {_DECAY}) AS raw FROM near GROUP BY id)
-SELECT l.id, CAST(least(100, round_even(100.0e0 * ln(1 + coalesce(raw, 0)) / ln(4001.0e0), 0)) AS INTEGER) AS transit_score FROM listing l LEFT JOIN raw r ON r.id = l.id WHERE l.lat IS NOT NULL"""
-)
+raw AS (SELECT id, sum(CASE mode WHEN 'rail' THEN 1400.0e0 WHEN 'ferry' THEN 300.0e0 ELSE 350.0e0 END * {_DECAY}) AS raw FROM stop GROUP BY id)"""
+_TRANSIT_SCORE = "CAST(least(100, round_even(100.0e0 * ln(1 + coalesce(raw, 0)) / ln(4001.0e0), 0)) AS INTEGER)"
+
+
+@query(_BASE + _TRANSIT + f" SELECT l.id, {_TRANSIT_SCORE} AS transit_score FROM listing l LEFT JOIN raw r ON r.id = l.id WHERE l.lat IS NOT NULL")
 def transit_score(spark: SparkSession, sf: str) -> DataFrame:
     s = stations(spark, sf).withColumn("routes", F.when(F.col("route").isNotNull(), F.array("route")))
     stops = pois(spark, sf).withColumn("route_refs", F.array("route"))
     return nearby.transit_scores(listings(spark, sf), s, stops)
 
 
+@query(
+    _BASE + _WALK + _TRANSIT + f""", walk AS (SELECT l.id, CAST(least(100, round_even(coalesce(sum(s), 0) * 6.67, 0)) AS INTEGER) AS walk_score, CAST(coalesce(sum(c), 0) AS BIGINT) AS amenities FROM listing l LEFT JOIN earned e ON e.id = l.id WHERE l.lat IS NOT NULL GROUP BY l.id)
+SELECT l.id, w.walk_score, amenities, {_TRANSIT_SCORE} AS transit_score FROM listing l JOIN walk w ON w.id = l.id LEFT JOIN raw r ON r.id = l.id WHERE l.lat IS NOT NULL AND l.walk_score IS NULL"""
+)
+def enrich_pending(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import detail
+
+    s = stations(spark, sf).withColumn("routes", F.when(F.col("route").isNotNull(), F.array("route")))
+    out = detail.enrich(listings(spark, sf), pois(spark, sf).withColumn("route_refs", F.array("route")), s)
+    amenities = F.aggregate(F.map_values("score_breakdown"), F.lit(0).cast("bigint"), lambda n, b: n + b["count"])
+    return out.select("id", "walk_score", amenities.alias("amenities"), "transit_score")
+
+
 @query(
     _BASE + f"""SELECT id, name, mode, CAST(rank AS INTEGER) AS rank, meters FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY meters, CASE mode WHEN 'rail' THEN 0 WHEN 'ferry' THEN 1 ELSE 2 END, name, route) AS rank FROM
 (SELECT l.id, s.name, s.mode, coalesce(s.route, s.name) AS route, CAST(round_even({_meters('l', 's')}, 0) AS BIGINT) AS meters, {_meters('l', 's')} AS exact FROM listing l, station s WHERE l.lat IS NOT NULL) WHERE exact <= 2414) WHERE rank <= 6"""
@@ -77,8 +91,7 @@ def transit_nearest(spark: SparkSession, sf: str) -> DataFrame:
     _BASE + f"SELECT id, category, name, CAST(rank AS INTEGER) AS rank, round(round(meters, 6), 3) AS meters FROM (SELECT *, row_number() OVER (PARTITION BY id, category ORDER BY round(meters, 6), name) AS rank FROM ({_REACH}) WHERE meters <= 2414 AND name IS NOT NULL AND category <> 'bus_stop') WHERE rank <= 3"
 )
 def poi_top3(spark: SparkSession, sf: str) -> DataFrame:
-    near = nearby.radius_join(listings(spark, sf).select("id", "lat", "lng"), pois(spark, sf).select("category", "name", "lat", "lng")).withColumn("meters", F.round("meters", 6))
-    return nearby.top_per_category(near).select("id", "category", "name", "rank", F.round("meters", 3).alias("meters"))
+    return nearby.nearest_amenities(listings(spark, sf), pois(spark, sf)).select("id", "category", "name", "rank", F.round("meters", 3).alias("meters"))
 
 
 @query(f"WITH listing AS ({LISTING_SQL}) SELECT CAST(floor(lat / 0.03e0) AS BIGINT) AS ty, CAST(floor(lng / 0.03e0) AS BIGINT) AS tx, count(*) AS members FROM listing WHERE lat IS NOT NULL GROUP BY ALL")

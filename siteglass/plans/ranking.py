@@ -23,6 +23,7 @@ df AS (SELECT term, count(*) FILTER (WHERE f > 0) AS d FROM tf GROUP BY term),
 scored AS (SELECT id, -sum(CASE WHEN ln((n - d + 0.5) / (d + 0.5)) > 0 THEN ln((n - d + 0.5) / (d + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (term), stats GROUP BY id HAVING sum(f) > 0)"""
 
 
+PARTS = 64  # parts of an order over a whole table
 DOC_TERMS = ["the", "ontion", "rented"]
 LISTING_TERMS = ["ring", "economy", "42"]
 _CORPUS = "SELECT id, concat_ws(' ', address, our_description, neighborhood) AS body FROM listing"
@@ -40,13 +41,19 @@ def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_rank(spark: SparkSession, sf: str) -> DataFrame:
     rows = listings(spark, sf)
     scored = search.bm25(rows, "id", ["address", "our_description", "neighborhood"], LISTING_TERMS, rows.where("status = 'available' and metro = 'la'").select("id"), stemmed=False)
-    return search.ranks(scored.withColumn("score", F.round("score", 9)), "score", False).select("id", F.col("rank").cast("bigint").alias("rank"))
+    return search.ranks(scored.withColumn("score", F.round("score", 9)), "score", False, PARTS).select("id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query()
+#: Words of the listings under the stems that the query's terms have, as an English stemmer groups them.
+STEMS = {"ring": ("ring", "rings", "ringing", "ringed"), "space": ("space", "spaces", "spacing", "spaced"), "polish": ("polish", "polished", "polishing", "polishes"), "econom": ("economy", "economies")}
+_STEMMED = "list_transform(ws, lambda w: CASE " + " ".join(f"WHEN list_contains([{', '.join(repr(w) for w in ws)}], w) THEN '{s}'" for s, ws in STEMS.items()) + " ELSE w END)"
+
+
+@query(f"WITH listing AS ({LISTING_SQL}), " + _bm25(_CORPUS, list(STEMS)).replace("tf AS (", f"folded AS (SELECT id, {_STEMMED} AS ws FROM words),\ntf AS (").replace("FROM words, (VALUES", "FROM folded, (VALUES") + " SELECT id, round(score, 6) AS score FROM scored")
 def porter_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    """With stems, which SQL here cannot form."""
-    return search.bm25(listings(spark, sf), "id", ["address", "our_description", "neighborhood"], ["rings", "spaces"])
+    """With stems: "rings" finds "ring", "polishing" finds "polished"."""
+    got = search.bm25(listings(spark, sf), "id", ["address", "our_description", "neighborhood"], ["rings", "spaces", "polishing", "economy"])
+    return got.select("id", F.round("score", 6).alias("score"))
 
 
 def _query_vector(spark: SparkSession, sf: str) -> list[float]:
@@ -76,7 +83,7 @@ SELECT id, round(sum(1.0e0 / (60 + r)), 9) AS score FROM (SELECT * FROM a UNION
 )
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").withColumnRenamed("s_suppkey", "id")
-    a, b = search.ranks(s.where("id % 3 <> 0"), "s_acctbal", True), search.ranks(s.where("id % 2 = 0"), "s_name", False)
+    a, b = search.ranks(s.where("id % 3 <> 0"), "s_acctbal", True, PARTS), search.ranks(s.where("id % 2 = 0").withColumn("s_key", F.col("id").cast("double")), "s_key", False, PARTS)
     return search.rrf([a, b]).select("id", F.round("score", 9).alias("score"))
 
 
@@ -86,7 +93,7 @@ SELECT id, i AS position, round(1 - i / CAST(n AS DOUBLE), 3) AS semantic_score,
 )
 def semantic_scale(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score"))
-    return search.semantic_scores(s, s.where("id % 4 <> 0"))
+    return search.semantic_scores(s, s.where("id % 4 <> 0"), PARTS)
 
 
 SEARCH = ListingQuery(property_types=("retail", "office"), transaction_type="lease", max_rent_per_sf_yr=600.0, keywords=("ring", "economy"))
@@ -108,6 +115,22 @@ def search_flagship(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.join(found, "id").select("id", "position", "semantic_score", text.rationale(SEARCH.max_rent_per_sf_yr).alias("rationale"))
 
 
+_NEAR = f"SELECT id, row_number() OVER (ORDER BY round(similarity, 9) DESC, id) AS r FROM ({_COS}) WHERE id IN (SELECT id FROM cand)"
+
+
+@query(
+    f"WITH listing AS ({LISTING_SQL}), cand AS ({_CAND}), " + _bm25(_CORPUS, list(SEARCH.keywords)) + f""", lists AS (SELECT id, row_number() OVER (ORDER BY round(score, 9), id) AS r FROM scored WHERE id IN (SELECT id FROM cand) UNION ALL {_NEAR}),
+fused AS (SELECT id, round(sum(1.0e0 / (60 + r)), 12) AS f FROM lists GROUP BY id), placed AS (SELECT id, row_number() OVER (ORDER BY f DESC NULLS LAST, id) - 1 AS i, count(*) OVER () AS n FROM cand LEFT JOIN fused USING (id))
+SELECT id, i AS position, CASE WHEN n > 1 THEN round(1 - i / CAST(n AS DOUBLE), 3) ELSE 1.0 END AS semantic_score FROM placed"""
+)
+def search_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Filter, then full text and vectors fused by reciprocal rank."""
+    rows = listings(spark, sf)
+    found = hard_filter(rows, SEARCH, "mia")
+    stored = table(spark, sf, "embeddings").select(F.col("vec_id").alias("listing_id"), F.col("embedding").alias("vector"))
+    return search.rank_listings(rows, found.select("id"), list(SEARCH.keywords), _query_vector(spark, sf), stored, stemmed=False).select("id", "position", "semantic_score")
+
+
 MESSAGE = {
     "session": "o_custkey", "turn": "o_orderkey",
     "message": "concat(CASE o_orderkey % 4 WHEN 0 THEN 'Retail or office ' WHEN 1 THEN 'industrial for sale ' WHEN 2 THEN 'I want to buy land ' ELSE 'need space ' END, CASE o_orderkey % 5 WHEN 0 THEN concat('under ', CAST(1000 + o_orderkey % 900 AS VARCHAR(20)), ' sf') WHEN 1 THEN concat('at least ', CAST(500 + o_orderkey % 300 AS VARCHAR(20)), ' sq ft') WHEN 2 THEN concat('around 1,', CAST(100 + o_orderkey % 800 AS VARCHAR(20)), ' SF') WHEN 3 THEN 'in Brooklyn' ELSE '' END, CASE o_orderkey % 3 WHEN 0 THEN ' under $8k/mo' WHEN 1 THEN ' max $45.5/sf' ELSE ' near the loading dock' END)",

@@ -131,3 +131,50 @@ def geocoder_answers(spark: SparkSession, sf: str) -> DataFrame:
     more = said.withColumns({"source": F.lit("r2"), "rank": F.lit(2)})
     got = registry.accepted_answers(said.unionByName(more))
     return got.select(F.col("p_partkey").alias("asked"), "source")
+
+
+@query("SELECT 'la:' || p_partkey AS parcel_id, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 1931 END AS year_built, CAST(p_size * 10 AS INTEGER) AS lot_sqft, CAST(p_size AS INTEGER) AS bldg_sqft, CASE WHEN p_partkey % 2 = 0 THEN 'Commercial' ELSE 'Stores' END AS use_code, 'owner_name,zoning' AS missing FROM part")
+def parcels_la(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").selectExpr("p_partkey AS AIN", "CASE WHEN p_partkey % 3 = 0 THEN 'none' ELSE '1931' END AS YearBuilt1", "p_size * 10 + 0.9D AS `Shape.STArea()`", "p_size + 0.2D AS SQFTmain1", "1 AS Units1", "CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'Stores' END AS UseType", "'Commercial' AS UseDescription")
+    return registry.parcels_la(rows).select("parcel_id", "year_built", "lot_sqft", "bldg_sqft", "use_code", F.array_join(F.array_sort(F.map_keys("missing_reason")), ",").alias("missing"))
+
+
+@query("SELECT 'chi:' || p_partkey AS parcel_id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'O ' || p_brand END AS owner_name, 1899 AS year_built, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size AS INTEGER) END AS floors, CASE WHEN p_partkey % 2 = 0 THEN 'B3-2' END AS zoning, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'zoning' END AS missing FROM part")
+def parcels_chicago(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").selectExpr("CAST(p_partkey AS STRING) AS pin", "CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('O ', p_brand) END AS owner_address_name", "'1899.0' AS char_yrblt", "'6159.0' AS char_land_sf", "'x' AS char_bldg_sf", "CASE WHEN p_partkey % 5 = 0 THEN 'Story' ELSE concat(p_size, ' Story +') END AS char_type_resd", "'5-17' AS class", "CASE WHEN p_partkey % 2 = 0 THEN 'B3-2' END AS z")
+    return registry.parcels_chicago(rows, "z").select("parcel_id", "owner_name", "year_built", "floors", "zoning", F.array_join(F.map_keys("missing_reason"), ",").alias("missing"))
+
+
+@query("SELECT 'mia:' || p_partkey AS parcel_id, p_name AS owner_name, CAST(p_size AS INTEGER) AS units, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_size * 100 AS INTEGER) END AS bldg_sqft, 'STORE' AS use_code FROM part")
+def parcels_miami(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").selectExpr("p_partkey AS FOLIO", "p_name AS TRUE_OWNER1", "1950 AS YEAR_BUILT", "'7000' AS LOT_SIZE", "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size * 100 END AS BUILDING_ACTUAL_AREA", "2 AS FLOOR_COUNT", "p_size AS UNIT_COUNT", "'STORE' AS DOR_DESC")
+    return registry.parcels_miami(rows).select("parcel_id", "owner_name", "units", "bldg_sqft", "use_code")
+
+
+_WORDS = "concat('<html><head><title>x</title></head><body><h1>', p_partkey, ' Main St - Firm</h1><p>Size: ', format_number(p_size + 1000, 0), ' SF retail, ', format_number(p_size + 1000, 0), ' SF. Asking rent: $50/SF. ', p_partkey, ' Main St, Miami, FL</p></body></html>')"
+
+
+@query(
+    """SELECT 'https://b/' || p_partkey || '-main-st/' AS source_url, p_partkey || ' Main St' AS address, p_partkey || ' Main St, Miami, FL' AS geo_hint, CAST(p_size + 1000 AS INTEGER) AS size_sf, 50.0e0 AS asking_rent, 'sf_yr' AS rent_unit, 'retail' AS property_type, 'lease' AS transaction_type FROM part
+UNION ALL SELECT 'https://b/' || p_partkey || '-main-st/', p_partkey || ' Main St', p_partkey || ' Main St, Miami, FL', CAST(p_size + 1000 AS INTEGER), 50.0e0, 'sf_yr', 'retail', 'lease' FROM part WHERE p_partkey % 10 = 0"""
+)
+def page_listings(spark: SparkSession, sf: str) -> DataFrame:
+    """Listings from the words of pages; a page stored twice gives its listing twice."""
+    pages = table(spark, sf, "part").selectExpr("p_partkey", "concat('https://b/', p_partkey, '-main-st/') AS url", f"{_WORDS} AS html")
+    out = files.page_listings(pages.unionByName(pages.where("p_partkey % 10 = 0")), "b", "B", "mia")
+    return out.select("source_url", "address", "geo_hint", "size_sf", "asking_rent", "rent_unit", "property_type", "transaction_type")
+
+
+@query(
+    """SELECT CASE p_partkey % 4 WHEN 0 THEN 'https://b/building/' || p_partkey || '#listing-1' WHEN 1 THEN 'https://b/ld/' || p_partkey ELSE 'https://b/' || p_partkey || '-main-st/' END AS source_url, CASE p_partkey % 4 WHEN 0 THEN 'app_state' WHEN 1 THEN 'jsonld' ELSE 'page' END AS rung,
+CASE p_partkey % 4 WHEN 0 THEN p_partkey || ' Elm St' WHEN 1 THEN p_partkey || ' Oak St, Miami' ELSE p_partkey || ' Main St' END AS address, CAST(p_size + 1000 AS INTEGER) AS size_sf FROM part WHERE p_partkey % 4 <> 3"""
+)
+def extraction_ladder(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page by its first reading that yields; the words of the pages of the first two rungs would yield too."""
+    state = """concat('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"__APOLLO_STATE__":{"B:1":{"__typename":"Building","slug":"/', p_partkey, '","address":"', p_partkey, ' Elm St","listings":[{"__ref":"L:1"}]},"L:1":{"id":1,"status":"AVAILABLE","squareFeet":', p_size + 1000, '}}}}}</script>')"""
+    node = """concat('<script type="application/ld+json">{"@type":"Place","address":{"streetAddress":"', p_partkey, ' Oak St","addressLocality":"Miami"},"floorSize":{"value":"', p_size + 1000, '"}}</script>')"""
+    pages = table(spark, sf, "part").selectExpr(
+        "CASE p_partkey % 4 WHEN 0 THEN concat('https://b/building/', p_partkey) WHEN 1 THEN concat('https://b/ld/', p_partkey) WHEN 2 THEN concat('https://b/', p_partkey, '-main-st/') ELSE concat('https://b/about/', p_partkey) END AS url",
+        f"CASE p_partkey % 4 WHEN 0 THEN concat({state}, {_WORDS}) WHEN 1 THEN concat({node}, {_WORDS}) WHEN 2 THEN {_WORDS} ELSE '<h1>About us</h1>' END AS html",
+    )
+    return files.extraction_ladder(pages, "b", "B", "mia").select("source_url", "rung", "address", "size_sf")

@@ -64,10 +64,10 @@ def api_projection(spark: SparkSession, sf: str) -> DataFrame:
     return to_api(listings(spark, sf).select("id", "address", "property_type", "size_sf", "our_description", "asking_rent", "rent_unit"))
 
 
-@query(L + "SELECT id, '{\"id\":' || id || ',\"lat\":' || printf('%.3f', lat).regexp_replace('0+$', '') || ',\"lng\":' || printf('%.3f', lng).regexp_replace('0+$', '') || ',\"label\":\"' || coalesce(address, '') || '\"}' AS pin FROM (SELECT id, CASE WHEN lat IS NULL THEN NULL ELSE 40.125 + id % 8 / 8.0 END AS lat, -73.125 - id % 8 / 8.0 AS lng, address FROM listing) WHERE lat IS NOT NULL AND id % 8 NOT IN (7)")
+@query(L + "SELECT id, '{\"id\":' || id || ',\"lat\":' || printf('%.3f', lat).regexp_replace('0+$', '').regexp_replace('[.]$', '.0') || ',\"lng\":' || printf('%.3f', lng).regexp_replace('0+$', '').regexp_replace('[.]$', '.0') || ',\"label\":\"' || coalesce(address, '') || '\"}' AS pin FROM (SELECT id, CASE WHEN lat IS NULL THEN NULL ELSE 40.125 + id % 8 / 8.0 END AS lat, -73.125 - id % 8 / 8.0 AS lng, address FROM listing) WHERE lat IS NOT NULL")
 def map_pin(spark: SparkSession, sf: str) -> DataFrame:
     rows = listings(spark, sf).selectExpr("id", "CASE WHEN lat IS NULL THEN NULL ELSE 40.125D + id % 8 / 8.0D END AS lat", "-73.125D - id % 8 / 8.0D AS lng", "address")
-    return map_pins(rows.where("id % 8 NOT IN (7)"))
+    return map_pins(rows)
 
 
 @query(L + "SELECT id, CASE WHEN w <> 0 THEN CAST(round_even(100.0 * s / w, 0) AS INTEGER) ELSE 0 END AS width FROM (SELECT id, CAST(id % 7 AS DOUBLE) AS s, CAST(id % 5 AS DOUBLE) AS w FROM listing)")

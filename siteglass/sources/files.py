@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.rent import feed_rent
 from ..functions.text import describe, off_market, slug_address, slug_state, unescape
@@ -48,10 +47,17 @@ def csv_fields(rows: DataFrame, metro: str, position: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, metro: str) -> DataFrame:
-    """An uploaded CSV file as listings. The rows' places are counted through the whole file."""
+    """An uploaded CSV file as listings. The rows' places are counted through the whole file.
+
+    A row's place is its place in its split plus the rows of the splits before it; there is one count a split.
+    """
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
-    at = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))  # a row's place in its file, which no expression yields
-    return csv_fields(spark.createDataFrame(at, T.StructType([*(T.StructField(c, T.StringType()) for c in rows.columns), T.StructField("_position", T.LongType())])), metro, "_position")
+    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+    split, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = numbered.groupBy(split.alias("_split")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = sizes.select("_split", (F.sum("n").over(Window.orderBy("_split")) - F.col("n")).alias("_ahead"))  # a row a split
+    placed = numbered.withColumn("_split", split).join(F.broadcast(ahead), "_split").withColumn("_position", F.col("_ahead") + place)
+    return csv_fields(placed.drop("_at", "_split", "_ahead"), metro, "_position")
 
 
 def _pick(maps: list[Column], keys: tuple[str, ...]) -> Column:
@@ -62,6 +68,13 @@ def _first_number(c: Column, kind: str = "int") -> Column:
     return F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), "([0-9.]+)", 1).try_cast(kind)
 
 
+# The names under which feeds give a field, the first that has a value counts.
+FEED_KEYS = {
+    "kind": ("property_type", "type"), "address": ("address", "property_address", "street_address"), "neighborhood": ("neighborhood", "submarket"),
+    "size_sf": ("size", "square_feet", "sf", "total_sf"), "divisible_min_sf": ("divisible_min", "min_sf"), "divisible_max_sf": ("divisible_max", "max_sf"),
+    "rent": ("asking_rent", "rent", "price_per_sf"), "broker_name": ("broker", "agent", "contact_name"), "broker_phone": ("phone", "contact_phone"),
+    "broker_email": ("email", "contact_email"), "photo": ("featured_image", "image", "thumbnail"),
+}
 WP_SCHEMA = "id bigint, link string, slug string, title struct<rendered:string>, guid struct<rendered:string>, acf map<string,string>, meta map<string,string>, extra map<string,string>"
 
 
@@ -72,34 +85,33 @@ def wordpress_listings(items: DataFrame, source: str, firm: str, metro: str) ->
     like one; what is off the market goes.
     """
     none = F.create_map().cast("map<string,string>")
-    maps = [F.coalesce(F.when(F.size(F.coalesce("acf", none)) > 0, F.col("acf")), F.col("meta"), none), F.coalesce("extra", none)]
+    own = F.coalesce(F.when(F.size(F.coalesce("acf", none)) > 0, F.col("acf")), F.col("meta"), none)
+    read = items.select("slug", "title", "link", "guid", own.alias("own"), F.coalesce("extra", none).alias("extra"))
+    looked = F.struct(*(_pick([F.col("own"), F.col("extra")], keys).alias(name) for name, keys in FEED_KEYS.items()))
     title = F.trim(unescape(F.regexp_replace(F.coalesce("title.rendered", F.lit("")), "<[^>]+>", "")))
-    kind = F.lower(_pick(maps, ("property_type", "type")))
-    given = _pick(maps, ("address", "property_address", "street_address"))
+    rows = read.select("slug", title.alias("title"), F.coalesce(F.nullif("link", F.lit("")), F.col("guid.rendered"), F.lit("")).alias("source_url"), F.explode(F.array(looked)).alias("f"))
+    kind = F.lower("f.kind")
+    address = F.coalesce("f.address", F.when(F.col("title").rlike("^[0-9]+\\s+\\S"), F.col("title")))
     cols = {
-        "title": title,
-        "address": F.trim(unescape(F.coalesce(given, F.when(title.rlike("^[0-9]+\\s+\\S"), title)))),
+        "title": F.col("title"),
+        "address": F.trim(unescape(address)),
         "geo_hint": slug_address(F.coalesce("slug", F.lit(""))),
         "geo_state": slug_state(F.coalesce("slug", F.lit(""))),
-        "neighborhood": F.trim(unescape(_pick(maps, ("neighborhood", "submarket")))),
+        "neighborhood": F.trim(unescape("f.neighborhood")),
         "property_type": F.when(kind.isin(*PROPERTY_TYPES), kind),
-        "size_sf": _first_number(_pick(maps, ("size", "square_feet", "sf", "total_sf"))),
-        "divisible_min_sf": _first_number(_pick(maps, ("divisible_min", "min_sf"))),
-        "divisible_max_sf": _first_number(_pick(maps, ("divisible_max", "max_sf"))),
-        "rent": feed_rent(_pick(maps, ("asking_rent", "rent", "price_per_sf")), F.lit(metro), kind),
-        "broker_name": _pick(maps, ("broker", "agent", "contact_name")),
-        "broker_phone": _pick(maps, ("phone", "contact_phone")),
-        "broker_email": _pick(maps, ("email", "contact_email")),
-        "photo_urls": F.array_compact(F.array(_pick(maps, ("featured_image", "image", "thumbnail")))),
-        "source_url": F.coalesce(F.nullif("link", F.lit("")), F.col("guid.rendered"), F.lit("")),
+        **{c: _first_number(F.col(f"f.{c}")) for c in ("size_sf", "divisible_min_sf", "divisible_max_sf")},
+        "rent": feed_rent("f.rent", F.lit(metro), kind),
+        **{c: F.col(f"f.{c}") for c in ("broker_name", "broker_phone", "broker_email")},
+        "photo_urls": F.array_compact(F.array("f.photo")),
+        "source_url": F.col("source_url"),
     }
-    rows = items.select("slug", *(c.alias(n) for n, c in cols.items())).where(F.col("address").isNotNull() & ~off_market("title", "slug", "address", "source_url"))
+    rows = rows.select("slug", *(c.alias(n) for n, c in cols.items())).where(F.col("address").isNotNull() & ~off_market("title", "slug", "address", "source_url"))
     return _finish(rows.withColumns({"asking_rent": F.col("rent.asking_rent"), "rent_unit": F.col("rent.rent_unit")}).drop("title", "slug", "rent"), source, firm, metro)
 
 
 def _finish(rows: DataFrame, source: str, firm: str, metro: str) -> DataFrame:
     """Where the rows come from, defaults, and a description of their own facts."""
-    rows = rows.withColumns({"source": F.lit(source), "broker_firm": F.lit(firm), "metro": F.lit(metro), "transaction_type": F.lit("lease")})
+    rows = rows.withColumns({"source": F.lit(source), "broker_firm": F.lit(firm), "metro": F.lit(metro), "transaction_type": F.coalesce("transaction_type", F.lit("lease")) if "transaction_type" in rows.columns else F.lit("lease")})
     need = {"floor": "string", "total_building_sf": "int", "sale_price": "bigint", "divisible_min_sf": "int", "divisible_max_sf": "int", "asking_rent": "double", "rent_unit": "string", "neighborhood": "string"}
     full = rows.withColumns({c: F.lit(None).cast(t) for c, t in need.items() if c not in rows.columns})
     return full.withColumn("our_description", describe())
@@ -146,24 +158,22 @@ def app_state_listings(pages: DataFrame, source: str, firm: str, metro: str, bou
     state = F.from_json(F.get_json_object(body, "$.props.pageProps.__APOLLO_STATE__"), "map<string,string>")
     path = F.regexp_replace(F.regexp_replace("url", "^.*?//[^/]+/building", ""), "/+$", "")
     rows = pages.select("url", path.alias("path"), state.alias("state")).where("state is not null")
-    here = F.filter(F.map_values("state"), lambda v: (F.get_json_object(v, "$.__typename") == "Building") & (F.regexp_replace(F.coalesce(F.get_json_object(v, "$.slug"), F.lit("")), "/+$", "") == F.col("path")))
-    rows = rows.withColumn("here", F.get(here, F.lit(0))).where("here is not null")
-    refs = F.transform(F.from_json(F.get_json_object("here", "$.listings"), "array<string>"), lambda r: F.coalesce(F.get_json_object(r, "$.__ref"), r))
-    suites = rows.select("url", "state", F.get_json_object("here", "$.address").alias("address"), F.explode(refs).alias("ref")).withColumn("s", F.try_element_at("state", F.col("ref")))
-
-    def at(p: str) -> Column:
-        return F.get_json_object("s", p)
-
-    size = F.coalesce(F.nullif(at("$.squareFeet").try_cast("double"), F.lit(0.0)), at("$.estimatedSquareFeet").try_cast("double"))
-    kind = F.lower(at("$.details['Property Type']"))
-    out = suites.where((at("$.status") == "AVAILABLE") & size.between(*bounds) & (F.coalesce("address", F.lit("")) != ""))
+    nodes = F.transform(F.map_values("state"), lambda v: F.from_json(v, "__typename string, slug string, address string, listings array<string>"))
+    here = F.filter(nodes, lambda v: (v["__typename"] == "Building") & (F.regexp_replace(F.coalesce(v["slug"], F.lit("")), "/+$", "") == F.col("path")))
+    rows = rows.select("url", "state", F.inline(F.slice(here, 1, 1)))
+    refs = F.transform("listings", lambda r: F.coalesce(F.get_json_object(r, "$.__ref"), r))
+    suites = rows.select("url", "state", "address", F.explode(refs).alias("ref"))
+    suites = suites.select("url", "address", F.from_json(F.try_element_at("state", F.col("ref")), "id string, status string, squareFeet string, estimatedSquareFeet string, floorAndSuite string, details map<string,string>").alias("s"))
+    size = F.coalesce(F.nullif(F.col("s.squareFeet").try_cast("double"), F.lit(0.0)), F.col("s.estimatedSquareFeet").try_cast("double"))
+    kind = F.lower(F.try_element_at("s.details", F.lit("Property Type")))
+    out = suites.where((F.col("s.status") == "AVAILABLE") & size.between(*bounds) & (F.coalesce("address", F.lit("")) != ""))
     out = out.select(
-        F.concat("url", F.lit("#listing-"), at("$.id")).alias("source_url"),
+        F.concat("url", F.lit("#listing-"), F.col("s.id")).alias("source_url"),
         F.trim(unescape("address")).alias("address"),
         size.cast("int").alias("size_sf"),
-        F.nullif(at("$.floorAndSuite"), F.lit("")).alias("floor"),
+        F.nullif("s.floorAndSuite", F.lit("")).alias("floor"),
         F.when(kind.isin(*PROPERTY_TYPES), kind).alias("property_type"),
-        F.nullif(at("$.details['Lease Type']"), F.lit("")).alias("lease_type"),
+        F.nullif(F.try_element_at("s.details", F.lit("Lease Type")), F.lit("")).alias("lease_type"),
     )
     return _finish(out.where(~off_market("address", "source_url")), source, firm, metro)
 
@@ -180,20 +190,23 @@ def page_listings(pages: DataFrame, source: str, firm: str, metro: str) -> DataF
     rows = rows.withColumns({"f": page_facts("text", F.lit(metro)), "city": city_of("text", "address")})
     rows = rows.where(F.coalesce("f.size_sf", "f.asking_rent", "f.sale_price", "f.total_building_sf").isNotNull())
     out = rows.select(F.col("url").alias("source_url"), "address", F.when(F.col("city").isNotNull(), F.concat_ws(", ", "address", "city.city", "city.state")).alias("geo_hint"), F.lower("city.state").alias("geo_state"), "f.*")
-    told = out.select("source_url", F.coalesce("transaction_type", F.lit("lease")).alias("_transaction"))
-    return _finish(out.drop("transaction_type"), source, firm, metro).join(told, "source_url").withColumn("transaction_type", F.col("_transaction")).drop("_transaction")
+    return _finish(out, source, firm, metro)
+
+
+LADDER = (app_state_listings, jsonld_listings, page_listings)
 
 
 def extraction_ladder(pages: DataFrame, source: str, firm: str, metro: str) -> DataFrame:
-    """Listings of pages by the first of three readings that yields any: embedded state, ld+json, the page's words."""
+    """Listings of pages by the first of three readings that yields any: embedded state, ld+json, the page's words.
+
+    Each reading goes over the pages once; of a page's listings those of its first reading stay.
+    """
     found = None
-    rest = pages
-    for read in (app_state_listings, jsonld_listings, page_listings):
-        got = read(rest, source, firm, metro).withColumn("rung", F.lit(read.__name__.removesuffix("_listings")))
+    for i, read in enumerate(LADDER):
+        got = read(pages, source, firm, metro).withColumns({"rung": F.lit(read.__name__.removesuffix("_listings")), "_rung": F.lit(i)})
         found = got if found is None else found.unionByName(got, allowMissingColumns=True)
-        done = got.select(F.regexp_replace("source_url", "#listing-.*$", "").alias("url")).distinct()
-        rest = rest.join(done, "url", "left_anti")
-    return found
+    first = F.min("_rung").over(Window.partitionBy(F.regexp_replace("source_url", "#listing-.*$", "")))
+    return found.withColumn("_first", first).where("_rung = _first").drop("_rung", "_first")
 
 
 def sitemap_urls(maps: DataFrame, base: str, scope: str | None = None, limit: int = 12) -> DataFrame:

@@ -191,7 +191,7 @@ def accepted_answers(answers: DataFrame, asked: str = "asked", got: str = "label
 
 def routed_minutes(tables: DataFrame) -> DataFrame:
     """(id, airport, minutes) of routed tables (id, airports, durations in seconds, the first of them to itself)."""
-    rows = tables.select("id", F.explode(F.arrays_zip(F.col("airports").alias("airport"), F.slice(F.col("durations"), 2, 10_000).alias("seconds"))).alias("x"))
+    rows = tables.select("id", F.explode(F.arrays_zip(F.col("airports").alias("airport"), F.slice(F.col("durations"), F.lit(2), F.size("durations")).alias("seconds"))).alias("x"))
     return rows.where("x.seconds is not null and x.airport is not null").select("id", "x.airport", F.round(F.col("x.seconds") / 60, 1).alias("minutes"))
 
 

@@ -315,3 +315,49 @@ def test_embedding_backfill(spark):
     have = spark.createDataFrame([(0, [1.0])], "listing_id long, vector array<float>")
     got = workspace.embed(rows, have, lambda texts: [[3.0, 4.0] for _ in texts], batch=2).collect()
     assert sorted(r.listing_id for r in got) == [1, 2, 3, 4] and got[0].vector == pytest.approx([0.6, 0.8])
+
+
+def test_radius_join_near_poles_and_the_date_line(spark):
+    import math
+    import random
+
+    from siteglass.operators.nearby import radius_join
+
+    rng = random.Random(6)
+    spots = [(89.99, 10.0), (89.985, -170.0), (-90.0, 0.0), (76.0, 20.0), (80.3, 179.999), (0.0, 179.995), (10.0, -179.999), (40.0, -74.0), (60.0, 0.0)]
+    points = [(min(90.0, max(-90.0, la + rng.uniform(-0.03, 0.03))), (ln + rng.choice([rng.uniform(-0.04, 0.04), rng.uniform(-0.2, 0.2), rng.uniform(-180, 180)]) + 540) % 360 - 180) for la, ln in spots for _ in range(120)]
+
+    def meters(a, b):
+        (p, q), (r, s) = (map(math.radians, x) for x in (a, b))
+        return 2 * 6_371_000 * math.asin(math.sqrt(min(1, math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2)))
+
+    want = {(i, j) for i, a in enumerate(spots) for j, b in enumerate(points) if meters(a, b) <= 2414}
+    places = spark.createDataFrame([(i, *x) for i, x in enumerate(spots)], "id int, lat double, lng double")
+    found = spark.createDataFrame([(j, *x) for j, x in enumerate(points)], "point int, lat double, lng double")
+    for size in (0.03, 0.01, 0.007):
+        rows = radius_join(places, found, size=size).select("id", "point").collect()
+        assert len(rows) == len(want) and {(r.id, r.point) for r in rows} == want
+    assert len(want) > 150
+
+
+def test_ranks_in_parts_equal_one_order(spark):
+    import random
+
+    from siteglass.operators.search import ranks
+
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(i, rng.choice([None, rng.random(), 0.5, -1.0])) for i in range(3000)], "id int, s double")
+    for down in (True, False):
+        one, many = (sorted(map(tuple, ranks(rows, "s", down, parts).collect())) for parts in (1, 16))
+        assert one == many
+    assert ranks(rows.where("id < 0"), "s", True, 16).count() == 0
+
+
+def test_walk_scores_fold_places(spark):
+    from siteglass.operators.nearby import walk_scores
+
+    places = spark.createDataFrame([(1, 40.0, -74.0), (2, 40.0, -74.0), (3, None, None), (4, 41.0, -74.0)], "id int, lat double, lng double")
+    pois = spark.createDataFrame([("coffee", 40.0, -74.0)] * 3 + [("coffee", 40.01, -74.0), ("grocery", 40.001, -74.0), ("zoo", 40.0, -74.0)], "category string, lat double, lng double")
+    got = {r.id: r for r in walk_scores(places, pois).collect()}
+    assert set(got) == {1, 2, 4} and got[1].walk_score == got[2].walk_score == round((1.25 + 0.75 + 3) * 6.67) and got[4].walk_score == 0
+    assert got[1].score_breakdown["coffee"]["count"] == 4 and got[1].score_breakdown["coffee"]["score"] == 2.0 and got[1].score_breakdown["banks"]["count"] == 0
