@@ -1,18 +1,24 @@
-"""Removal of repeated byte strings by sorted windows of fixed length, over a whole corpus.
+"""Removal of repeated byte strings by longest-previous-factor arrays, over a whole corpus.
 
 Positions are all bytes of all texts, ordered by doc_id and place. A byte goes when a string of ``length`` bytes
 over it also starts earlier, so the first copy stays and every later one is cut.
 
-One suffix array of a corpus is not needed, nor would it fit: windows of ``length`` bytes that are equal hold the same
-minimizer (the smallest hash of their ``gram``-byte strings) at the same place. Runs of windows with one minimizer are
-dealt by its hash, so equal windows meet. Equal runs are settled by their 128-bit hash alone, in each batch already
-(and a frequent one in each task, so a passage in a third of all documents costs about one row a task); runs that share a minimizer but differ bring their
-bytes, whose windows are put in suffix order (or, where more than ``CROWDED`` runs share one, are dealt one by one). A window goes if
-its left neighbour there is equal, as its longest previous factor then reaches ``length``. The factors themselves are not
-computed: ``longest_previous_factor`` is what tests compare with.
+One suffix array of a corpus would not fit, so it is dealt out: windows of ``length`` bytes that are equal hold the same
+minimizer (the smallest hash of their ``gram``-byte strings) at the same place, and runs of windows with one minimizer
+are dealt by its hash, so equal windows meet. Runs that are equal as a whole are settled by their 64-bit hash within
+one minimizer, in each batch already (and a frequent one in each task, so a passage in a third of all documents costs
+about one row a task). Runs that share a minimizer but differ bring their bytes. These are put in suffix order with the
+lengths of their common prefixes; previous and next smaller positions in that order give every window its longest
+previous factor, up to ``length``, and a window whose factor reaches ``length`` goes.
+
+A minimizer that holds more than a ``SHARE``-th of an average partition would make its task long. Such minimizers are
+looked for in every ``SAMPLE``-th document (this steers the dealing, never the result): their runs are dealt by minimizer
+and run together, and those that differ are compared by the 128-bit hashes of their windows, pre-aggregated to the
+earliest place, in joins that Spark can split.
 
 Null text is empty; texts under ``length`` bytes keep every byte. Rows with a null doc_id are left out of the search
-and keep their bytes. Rows that repeat a doc_id and text are one document, each getting its result.
+and keep their bytes. Rows that repeat a doc_id and text are one document, each getting its result; other columns are
+ignored. Texts of one doc_id that differ are compared by place, as if they were one.
 """
 
 from __future__ import annotations
@@ -30,12 +36,12 @@ from .common import docs_of, materialize, work_dir
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_POS_BITS = 28
+_POS_BITS, _COUNT_BITS = 31, 16
 SLICE = 4_000_000
 HOT_RUNS = 50_000
-CROWDED = 100_000  # differing runs of one minimizer that one task may hold
+SAMPLE = 64  # every so many documents are looked through for frequent minimizers
+LEAST_HOT, SHARE = 4, 4  # sampled runs, and part of an average partition, from which a minimizer is dealt by runs
 
 
 @dataclass(frozen=True)
@@ -43,6 +49,10 @@ class Params:
     length: int = 100
     gram: int = 32
 
+    def __post_init__(self) -> None:
+        if not 0 < self.gram <= self.length < 1 << _COUNT_BITS:
+            raise ValueError(f"needs 0 < gram <= length < {1 << _COUNT_BITS}")
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> _U(32)) * _U(0xD6E8FEB86659FD93)
@@ -53,74 +63,88 @@ def mix(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- suffix order
 
 
-def previous_smaller(values: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value to the left, or -1."""
-    out, stack = np.full(len(values), -1, dtype=np.int64), []
-    for i, v in enumerate(values.tolist()):
-        while stack and stack[-1][0] >= v:
-            stack.pop()
-        if stack:
-            out[i] = stack[-1][1]
-        stack.append((v, i))
-    return out
+def previous_factors(order: list[int], common: list[int]) -> np.ndarray:
+    """Longest previous factor of every position from the positions in suffix order.
 
+    ``common[i]`` is the length of the common prefix of the i-th position in order and the one before it. The earlier
+    position with the longest common prefix is the previous or the next smaller one in the order; a stack of rising
+    positions meets both, and carries the common prefix down to each. Linear in the number of positions.
+    """
+    out, stack = [0] * len(order), []  # of (position, common prefix with the position below it)
+    for at, shared in zip(order, common, strict=True):
+        while stack and stack[-1][0] > at:  # ``at`` is the next smaller one of the top
+            top, below = stack.pop()
+            out[top] = below if below > shared else shared
+            if below < shared:
+                shared = below
+        stack.append((at, shared))
+    for at, below in stack:
+        out[at] = below
+    return np.array(out, dtype=np.int64)
 
-def longest_previous_factor(text: bytes) -> np.ndarray:
-    """For every position, the length of the longest string from there that also starts earlier."""
-    n = len(text)
-    order = np.array(sorted(range(n), key=lambda i: text[i:]), dtype=np.int64)
-    before, after = previous_smaller(order), n - 1 - previous_smaller(order[::-1])[::-1]
 
-    def common(a: int, b: int) -> int:
-        k = 0
-        while max(a, b) + k < n and text[a + k] == text[b + k]:
-            k += 1
-        return k
+def longest_previous_factor(text: bytes) -> np.ndarray:
+    """For every position of one text, the length of the longest string from there that also starts earlier."""
+    order = sorted(range(len(text)), key=lambda i: text[i:])
 
-    out = np.zeros(n, dtype=np.int64)
-    for rank, at in enumerate(order.tolist()):
-        out[at] = max([common(at, int(order[j])) for j in (before[rank], after[rank]) if 0 <= j < n], default=0)
-    return out
+    def shared(a: int, b: int) -> int:
+        most = len(text) - max(a, b)
+        return next((k for k in range(most) if text[a + k] != text[b + k]), most)
 
+    return previous_factors(order, [0, *(shared(a, b) for a, b in zip(order, order[1:], strict=False))][: len(order)])
 
-def repeated_windows(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Which windows of ``length`` bytes at the ascending places ``at`` equal one at an earlier place.
 
-    The windows are put in suffix order to the depth of ``length``; a stable sort leaves equal ones by place, so the
-    previous smaller position of a window, if its longest previous factor reaches ``length``, is its left neighbour.
-    """
-    out = np.zeros(len(at), dtype=bool)
-    if len(at) < 2:
-        return out
+def suffix_order(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the ascending places ``at`` in the order of the ``depth`` bytes there, equal ones by place, and the
+    common prefix of each with the one before it."""
     padded = np.concatenate((text, np.zeros(8, dtype=np.uint8)))
     eights = np.lib.stride_tricks.as_strided(padded, shape=(len(padded) - 7, 8), strides=(1, 1))
+    short = np.uint64(8 * max(0, 8 - depth))
 
     def key(places: np.ndarray) -> np.ndarray:
-        """The eight bytes at each place (or the window's, if it is shorter) as numbers in the order of strings."""
-        return np.ascontiguousarray(eights[places]).view(">u8")[:, 0].astype(np.uint64) >> np.uint64(8 * max(0, 8 - length))
+        """The eight bytes at each place (or ``depth``, if it is less) as numbers in the order of strings."""
+        return np.ascontiguousarray(eights[places]).view(">u8")[:, 0].astype(np.uint64) >> short
+
+    def agreed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many leading bytes of differing keys agree."""
+        apart, out = (x ^ y) << short, np.zeros(len(x), dtype=np.int64)
+        for k in range(1, 8):
+            out += apart >> np.uint64(64 - 8 * k) == 0
+        return out
 
-    steps = [*range(0, max(1, length - 7), 8)]
-    if length > 8 and length % 8:
-        steps.append(length - 8)  # overlaps what is known to be equal
+    steps = [*range(0, max(1, depth - 7), 8)]
+    if depth > 8 and depth % 8:
+        steps.append(depth - 8)  # overlaps what is known to be equal
     first = key(at)
-    order, start = np.argsort(first, kind="stable"), np.zeros(len(at), dtype=bool)
-    start[0] = True
-    start[1:] |= first[order[1:]] != first[order[:-1]]
+    order, start, common = np.argsort(first, kind="stable"), np.zeros(len(at), dtype=bool), np.full(len(at), depth, dtype=np.int64)
+    first = first[order]
+    new = np.flatnonzero(first[1:] != first[:-1]) + 1
+    start[0], start[new] = True, True
+    common[0], common[new] = 0, agreed(first[new], first[new - 1])
     del first
     for step in steps[1:]:  # refine the stretches that are still equal
-        tied = ~start | np.append(~start[1:], False)
-        spots = np.flatnonzero(tied)
+        spots = np.flatnonzero(~start | np.append(~start[1:], False))
         if not len(spots):
-            return out
+            break
         group = np.cumsum(start)[spots]
         sub = order[spots]
         more = key(at[sub] + step)
         again = np.lexsort((more, group))
         order[spots] = sub[again]
         more, group = more[again], group[again]
-        start[spots[1:]] |= (more[1:] != more[:-1]) | (group[1:] != group[:-1])
-    out[order[~start]] = True
-    return out
+        new = np.flatnonzero((more[1:] != more[:-1]) & (group[1:] == group[:-1])) + 1
+        start[spots[new]] = True
+        common[spots[new]] = step + agreed(more[new], more[new - 1])
+    return order, common
+
+
+def repeated_windows(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of ``length`` bytes at the ascending places ``at`` equal one at an earlier place: those whose
+    longest previous factor (among the windows, to the depth of ``length``) reaches ``length``."""
+    if not len(at):
+        return np.zeros(0, dtype=bool)
+    order, common = suffix_order(text, at, length)
+    return previous_factors(order.tolist(), common.tolist()) >= length
 
 
 # ---------------------------------------------------------------- runs of windows
@@ -136,8 +160,9 @@ def _slides(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(done[: len(done) - rest], done[rest:]) if rest else done
 
 
-def window_runs(text: np.ndarray, ends: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
+def window_runs(raw: bytes, ends: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
     """Runs of windows of concatenated texts: start, windows, minimizer hash and run hash."""
+    text = np.frombuffer(raw, dtype=np.uint8)
     n, none = len(text), (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),) * 2
     if n < p.length:
         return none
@@ -170,22 +195,25 @@ def window_runs(text: np.ndarray, ends: np.ndarray, p: Params) -> tuple[np.ndarr
     stop = np.searchsorted(np.flatnonzero(new | ~ok), start, side="right")
     edges = np.append(np.flatnonzero(new | ~ok), m)
     count = edges[stop] - start
-    power = np.cumprod(np.concatenate(([_U(1)], np.full(n, _BASE, dtype=np.uint64))))
-    sums = np.concatenate(([_U(0)], np.cumsum(mix(t) * power[:n])))
-    back = np.cumprod(np.concatenate(([_U(1)], np.full(n, _INV, dtype=np.uint64))))
-    whole = mix((sums[start + count + p.length - 1] - sums[start]) * back[start] + count.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F))
+    run = xxhash.xxh3_64_intdigest
+    whole = np.fromiter((run(raw[i:j]) for i, j in zip(start.tolist(), (start + count + p.length - 1).tolist(), strict=True)), dtype=np.uint64, count=len(start))
     return start, count, full[(low[start] & _U((1 << _POS_BITS) - 1)).astype(np.int64)], whole
 
 
 RUN = "route long, seen long, doc_id long, place long"
+DONE, ASK, ASK_WINDOWS = 0, 1, 2  # what is said of a run: settled, bytes wanted, windows wanted
 
 
 def _place(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return start << np.int64(16) | count
+    return start << np.int64(_COUNT_BITS) | count
+
 
+def runs_of(docs: DataFrame, p: Params, frequent: np.ndarray | None = None) -> DataFrame:
+    """Rows (route, seen, doc_id, place): seen is the run's hash, or 0 for a run known to repeat an earlier one.
 
-def runs_of(docs: DataFrame, p: Params) -> DataFrame:
-    """Rows (route, seen, doc_id, place): seen is the run's hash, or 0 for a run known to repeat an earlier one."""
+    The route is the minimizer; of ``frequent`` minimizers it is that of minimizer and run, marked by its lowest bit.
+    """
+    frequent = np.zeros(0, dtype=np.uint64) if frequent is None else frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: dict[int, tuple[int, tuple[int, int]]] = {}  # frequent runs of the task: minimizer, earliest place sent
@@ -206,7 +234,7 @@ def runs_of(docs: DataFrame, p: Params) -> DataFrame:
                 if not part:
                     continue
                 ends = np.cumsum([len(r) for _, r in part])
-                start, count, mini, whole = window_runs(np.frombuffer(b"".join(r for _, r in part), dtype=np.uint8), ends, p)
+                start, count, mini, whole = window_runs(b"".join(r for _, r in part), ends, p)
                 doc = np.searchsorted(ends, start, side="right")
                 first = np.concatenate(([0], ends[:-1]))
                 got.append((mini, whole, np.array([d for d, _ in part], dtype=np.int64)[doc], _place(start - first[doc], count)))
@@ -232,7 +260,10 @@ def runs_of(docs: DataFrame, p: Params) -> DataFrame:
                 hot.setdefault(int(whole[i]), (int(mini[i]), (int(doc[i]), int(place[i]))))
             whole[whole == 0] = 1
             seen = np.where(again, _U(0), whole)
-            route = np.where(again, mix(doc.astype(np.uint64) + _U(7)), mini)
+            route = mini & ~_U(1)
+            apart = np.isin(route, frequent)
+            route[apart] = mix(mini[apart] ^ whole[apart]) | _U(1)
+            route[again] = mix(doc[again].astype(np.uint64) + _U(7))
             keep = ~again
             yield _runs(route[keep], seen[keep], doc[keep], place[keep])
             yield _runs(*_joined(route[again], doc[again], place[again]))
@@ -246,7 +277,7 @@ def _joined(route: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.n
         return route, np.zeros(0, dtype=np.uint64), doc, place
     order = np.lexsort((place, doc))
     route, doc, place = route[order], doc[order], place[order]
-    start, count = place >> 16, place & 0xFFFF
+    start, count = place >> _COUNT_BITS, place & (1 << _COUNT_BITS) - 1
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1])
     lead = np.flatnonzero(new)
@@ -266,7 +297,8 @@ def _columns(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of one minimizer together: later equal runs are settled (seen 0), differing ones ask for bytes (seen 1)."""
+    """Runs of one route together: later equal runs are settled, differing ones ask for their bytes, and those of a
+    frequent minimizer, whose differing runs are elsewhere, for their windows."""
     route, seen, doc, place = _columns(batches, ("route", "seen", "doc_id", "place"))
     if not len(route):
         return
@@ -282,55 +314,67 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = np.append(True, route[1:] != route[:-1])
     first = group | np.append(True, seen[1:] != seen[:-1])
     kinds = np.add.reduceat(first.astype(np.int64), np.flatnonzero(group))
-    ask = first & (np.repeat(kinds, np.diff(np.append(np.flatnonzero(group), len(route)))) > 1)
+    apart = route & 1 == 1
+    ask = first & (apart | (np.repeat(kinds, np.diff(np.append(np.flatnonzero(group), len(route)))) > 1))
+    said = np.where(ask, np.where(apart, _U(ASK_WINDOWS), _U(ASK)), _U(DONE))
     out = ask | ~first
     for lo in range(0, len(out), 100_000):
         s = slice(lo, lo + 100_000)
         k = out[s]
-        yield _runs(route[s][k].view(np.uint64), ask[s][k].astype(np.uint64), doc[s][k], place[s][k])
+        yield _runs(route[s][k].view(np.uint64), said[s][k], doc[s][k], place[s][k])
 
 
 def settle_windows(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Bytes of runs that share a minimizer: the stretches of windows that equal an earlier one."""
+    """Bytes of runs, those of one minimizer next to each other: the stretches of windows that equal an earlier one."""
     rows: list[tuple] = []
+    size = 0
     for b in batches:
-        rows += zip(*(b.column(c).to_pylist() for c in ("route", "doc_id", "place", "bytes")), strict=True)
-    rows.sort(key=lambda r: r[:3])
-    rows = [r for i, r in enumerate(rows) if not i or r[:3] != rows[i - 1][:3]]
-    lo = 0
-    while lo < len(rows):
-        hi, size = lo, 0
-        while hi < len(rows) and (size < SLICE or rows[hi][0] == rows[hi - 1][0]):  # whole groups
-            size += len(rows[hi][3])
-            hi += 1
-        part = sorted(rows[lo:hi], key=lambda r: r[1:3])  # by position in the corpus
-        lo = hi
-        counts = np.array([r[2] & 0xFFFF for r in part], dtype=np.int64)
-        firsts = np.cumsum([0] + [len(r[3]) for r in part[:-1]])
-        lead = np.cumsum(counts) - counts
-        which = np.repeat(np.arange(len(part)), counts)
-        inside = np.arange(int(counts.sum())) - lead[which]
-        hit = repeated_windows(np.frombuffer(b"".join(r[3] for r in part), dtype=np.uint8), firsts[which] + inside, p.length)
-        at = np.flatnonzero(hit)
-        if not len(at):
-            continue
-        new = np.append(True, (at[1:] != at[:-1] + 1) | (which[at[1:]] != which[at[:-1]]))
-        s = np.flatnonzero(new)
-        n = np.diff(np.append(s, len(at)))
-        w = which[at[s]]
-        doc, start = np.array([r[1] for r in part], dtype=np.int64)[w], np.array([r[2] >> 16 for r in part], dtype=np.int64)[w] + inside[at[s]]
-        yield _runs(np.zeros(len(s), dtype=np.uint64), np.zeros(len(s), dtype=np.uint64), doc, _place(start, n))
+        for row in zip(*(b.column(c).to_pylist() for c in ("route", "doc_id", "place", "bytes")), strict=True):
+            if size >= SLICE and row[0] != rows[-1][0]:  # whole groups
+                yield _stretches(rows, p)
+                rows, size = [], 0
+            rows.append(row)
+            size += len(row[3])
+    if rows:
+        yield _stretches(rows, p)
+
+
+def _stretches(rows: list[tuple], p: Params) -> pa.RecordBatch:
+    """Settled stretches of the windows of (route, doc_id, place, bytes)."""
+    rows.sort(key=lambda r: r[1:3])  # by position in the corpus
+    part = [r for i, r in enumerate(rows) if not i or r[1:3] != rows[i - 1][1:3]]  # repeated rows are one
+    counts = np.array([r[2] & (1 << _COUNT_BITS) - 1 for r in part], dtype=np.int64)
+    firsts = np.cumsum([0] + [len(r[3]) for r in part[:-1]])
+    which = np.repeat(np.arange(len(part)), counts)
+    inside = np.arange(int(counts.sum())) - (np.cumsum(counts) - counts)[which]
+    hit = repeated_windows(np.frombuffer(b"".join(r[3] for r in part), dtype=np.uint8), firsts[which] + inside, p.length)
+    at = np.flatnonzero(hit)
+    s = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (which[at[1:]] != which[at[:-1]])))[: len(at)]
+    n = np.diff(np.append(s, len(at)))
+    w = which[at[s]]
+    doc, start = np.array([r[1] for r in part], dtype=np.int64)[w], np.array([r[2] >> _COUNT_BITS for r in part], dtype=np.int64)[w] + inside[at[s]]
+    return _runs(np.zeros(len(s), dtype=np.uint64), np.zeros(len(s), dtype=np.uint64), doc, _place(start, n))
+
+
+def frequent_minimizers(docs: DataFrame, p: Params, parts: int, folder: str) -> np.ndarray:
+    """Minimizers that hold over a ``SHARE``-th of an average one of ``parts`` partitions, by a sample of documents;
+    at most ``SHARE * parts`` of them."""
+    sampled = runs_of(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), p).where(F.col("seen") != 0)
+    counts = materialize(sampled.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2), folder)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") >= max(LEAST_HOT, total / (SHARE * parts))).select("route").collect()  # each holds that much of the total
+    return np.sort(np.array([r.route for r in rows], dtype=np.int64).view(np.uint64))
 
 
 def _per_doc(asks: DataFrame) -> DataFrame:
     return asks.groupBy("doc_id").agg(F.collect_list(F.struct("route", "place")).alias("asks"))
 
 
-def _windows_one_by_one(texts: DataFrame, p: Params) -> DataFrame:
+def _windows_one_by_one(texts: DataFrame, p: Params, folder: str) -> DataFrame:
     """Settled rows of asks (doc_id, text, asks) by the hash of every single window, kept earliest natively.
 
     For minimizers that very many differing runs share: a window in most of them is pre-aggregated to its earliest
-    place, and joined back to all others, which Spark can split.
+    place, and joined back to all others, which Spark can split. A row that comes twice is settled alike twice.
     """
     length = p.length
 
@@ -339,16 +383,16 @@ def _windows_one_by_one(texts: DataFrame, p: Params) -> DataFrame:
             out = []
             for doc, text, asks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "asks")), strict=True):
                 raw = text.encode()
-                out += [(doc, at, *np.frombuffer(xxhash.xxh3_128_digest(raw[at : at + length]), dtype=np.int64).tolist()) for a in asks for at in range(a["place"] >> 16, (a["place"] >> 16) + (a["place"] & 0xFFFF))]
+                out += [(doc, at, *np.frombuffer(xxhash.xxh3_128_digest(raw[at : at + length]), dtype=np.int64).tolist()) for a in asks for at in range(a["place"] >> _COUNT_BITS, (a["place"] >> _COUNT_BITS) + (a["place"] & (1 << _COUNT_BITS) - 1))]
             for lo in range(0, len(out), 50_000):
                 cols = list(zip(*out[lo : lo + 50_000], strict=True))
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "h1", "h2"), cols, strict=True)})
 
-    rows = materialize(texts.mapInArrow(hashes, "doc_id long, start long, h1 long, h2 long").distinct())
+    rows = materialize(texts.mapInArrow(hashes, "doc_id long, start long, h1 long, h2 long"), folder)
     first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     later = rows.join(first, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first"))
     zero = F.lit(0).cast("long")
-    return later.select(zero.alias("route"), zero.alias("seen"), "doc_id", (F.shiftleft("start", 16) + 1).alias("place"))
+    return later.select(zero.alias("route"), zero.alias("seen"), "doc_id", (F.shiftleft("start", _COUNT_BITS) + 1).alias("place"))
 
 
 def covered(docs: DataFrame, p: Params | None = None) -> DataFrame:
@@ -358,7 +402,7 @@ def covered(docs: DataFrame, p: Params | None = None) -> DataFrame:
     folder = work_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs_of(docs).where("doc_id is not null")
-    state = materialize(runs_of(base, p).repartition(2 * parts, "route").mapInArrow(settle, RUN), folder)
+    state = materialize(runs_of(base, p, frequent_minimizers(base, p, 2 * parts, folder)).repartition(2 * parts, "route").mapInArrow(settle, RUN), folder)
     length = p.length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,20 +410,17 @@ def covered(docs: DataFrame, p: Params | None = None) -> DataFrame:
             out = []
             for doc, text, asks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "asks")), strict=True):
                 raw = text.encode()
-                out += [(a["route"], doc, a["place"], raw[a["place"] >> 16 : (a["place"] >> 16) + (a["place"] & 0xFFFF) + length - 1]) for a in asks]
+                out += [(a["route"], doc, a["place"], raw[a["place"] >> _COUNT_BITS : (a["place"] >> _COUNT_BITS) + (a["place"] & (1 << _COUNT_BITS) - 1) + length - 1]) for a in asks]
             for lo in range(0, len(out), 50_000):
                 cols = list(zip(*out[lo : lo + 50_000], strict=True))
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("route", "doc_id", "place", "bytes"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
-    asks = state.where("seen = 1")
-    done = state.where("seen = 0")
-    crowded = asks.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("route")
-    if not crowded.isEmpty():
-        crowded = materialize(crowded, folder)
-        done = done.unionByName(materialize(_windows_one_by_one(base.join(_per_doc(asks.join(crowded, "route", "left_semi")), "doc_id"), p), folder))
-        asks = asks.join(crowded, "route", "left_anti")
+    asks, windows, done = (state.where(F.col("seen") == x) for x in (ASK, ASK_WINDOWS, DONE))
+    if not windows.isEmpty():
+        done = done.unionByName(materialize(_windows_one_by_one(base.join(_per_doc(windows), "doc_id"), p, folder), folder))
     segments = base.join(_per_doc(asks), "doc_id").mapInArrow(cut, "route long, doc_id long, place long, bytes binary")
-    more = materialize(segments.repartition(2 * parts, "route").mapInArrow(lambda it: settle_windows(it, p), RUN).where("place is not null"), folder)
+    ordered = segments.repartition(2 * parts, "route").sortWithinPartitions("route")
+    more = materialize(ordered.mapInArrow(lambda it: settle_windows(it, p), RUN), folder)
     return done.unionByName(more).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
 
@@ -396,7 +437,7 @@ def remove_repeats(docs: DataFrame, p: Params | None = None) -> DataFrame:
                 raw = text.encode()
                 found, left, end = [], [], 0
                 for x in sorted(places or ()):
-                    s, e = x >> 16, (x >> 16) + (x & 0xFFFF) + length - 1
+                    s, e = x >> _COUNT_BITS, (x >> _COUNT_BITS) + (x & (1 << _COUNT_BITS) - 1) + length - 1
                     if found and s <= found[-1][1]:
                         found[-1][1] = max(found[-1][1], e)
                     else:

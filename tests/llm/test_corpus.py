@@ -186,9 +186,11 @@ def plain_repeats(docs, length):
 
 
 @pytest.mark.parametrize(("p", "rows"), [(repeats.Params(12, 5), 1000), (repeats.Params(30, 7), 3), (repeats.Params(12, 4), 4), (repeats.Params(), 1000)])
-@pytest.mark.parametrize("crowded", [20_000, 2])
-def test_repeats(frame, spark, monkeypatch, p, rows, crowded):
-    monkeypatch.setattr(repeats, "CROWDED", crowded)
+@pytest.mark.parametrize("frequent", [False, True])
+def test_repeats(frame, spark, monkeypatch, p, rows, frequent):
+    if frequent:  # most minimizers are dealt by runs
+        for name, value in (("SAMPLE", 1), ("LEAST_HOT", 2), ("SHARE", 1000)):
+            monkeypatch.setattr(repeats, name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)  # batches are a unit of the algorithm
     rng = random.Random(p.length)
     words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(30)]
@@ -219,6 +221,17 @@ def test_repeats_of_nothing_and_of_repeated_rows(frame):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, len(t))]
 
 
+def test_repeats_of_very_long_texts_and_long_windows(frame):
+    rng = random.Random(31)
+    long = "".join(rng.choice("abcdefgh") for _ in range(300_000))
+    thue = "".join("ab"[i.bit_count() & 1] for i in range(4096))
+    docs = [(1, long), (2, "x" + long[1000:200_000] + "y" + long[150_000:150_050]), (3, thue), (4, thue.translate({97: "b", 98: "a"})), (5, long[::-1] + thue[:2000])]
+    for p in (repeats.Params(), repeats.Params(1024, 64)):
+        want = plain_repeats(docs, p.length)
+        got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(frame(docs), p).collect()}
+        assert got == want and len(want[2]) < 1000
+
+
 def test_longest_previous_factor():
     rng = random.Random(8)
     for _ in range(30):
