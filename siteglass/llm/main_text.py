@@ -6,10 +6,12 @@ A linear scan finds the contiguous region of the highest total, and the blocks i
 the text; so adverts inside an article are passed over, and menus, notes or comments after it are left outside.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by two line feeds.
-Null or empty html, or a page without words in any main context, gives the empty text. Broken markup never fails: an
-unclosed tag ends at the next ``>`` or at the end, end tags without a start are ignored. What stands in svg is no
-text; one that ends in ``/>`` or has no end tag hides nothing. Equal rows get equal texts;
-other columns are ignored, and a null page_id or url stays null.
+Null or empty html, or a page without words in any main context, gives the empty text; an empty table an empty result.
+Broken markup never fails: an unclosed tag ends at the next ``>`` or at the end, an unclosed comment hides the rest, end
+tags without a start are ignored. What stands in svg is no text; one that ends in ``/>`` or has no end tag hides
+nothing. Time is linear in the page. Of regions with equal totals the one that ends first counts, and of those the
+longest. Equal rows get equal texts; other columns, whatever their names, are ignored, and a null page_id or url stays
+null.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ TEXTLESS = frozenset("title textarea".split())
 HIDDEN = frozenset("head noscript button select option label".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 UNLIKELY = -0.85
+_MARKUP = re.compile(r"<(?=[a-zA-Z!?/])")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -44,10 +47,17 @@ _WORDS = re.compile(r"[a-z]+")
 def events(page: str):
     """("open", name, features), ("close", name) and ("text", decoded text) in page order."""
     at, n = 0, len(page)
+    ends: dict[str, int] = {}  # where the next end tag of a name stands, looked up once for all starts before it
+
+    def end_tag(name: str) -> int:
+        if ends.get(name, -1) < at:
+            m = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+            ends[name] = m.start() if m else n
+        return ends[name]
+
     while at < n:
-        lt = page.find("<", at)
-        if lt < 0:
-            lt = n
+        m = _MARKUP.search(page, at)
+        lt = m.start() if m else n
         if lt > at:
             yield "text", html.unescape(page[at:lt])
         if lt == n:
@@ -58,12 +68,8 @@ def events(page: str):
             continue
         m = _NAME.match(page, lt + 1)
         if not m:
-            if page[lt + 1 : lt + 2] in ("!", "?", "/"):
-                end = page.find(">", lt)
-                at = n if end < 0 else end + 1
-            else:
-                yield "text", "<"
-                at = lt + 1
+            end = page.find(">", lt)
+            at = n if end < 0 else end + 1
             continue
         name, rest = m[1].lower(), _REST.match(page, m.end())
         end = rest.end() if rest else (page.find(">", m.end()) + 1 or n)
@@ -78,41 +84,51 @@ def events(page: str):
             yield "close", name
             continue
         if name in RAW or name in TEXTLESS:
-            stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, end)
-            if name in FOREIGN and not stop:
+            stop = end_tag(name)
+            if name in FOREIGN and stop == n:
                 yield "close", name
                 continue
-            if name not in RAW and stop:
-                yield "text", html.unescape(page[end : stop.start()])
-            at = stop.start() if stop else n
+            if name not in RAW and stop < n:
+                yield "text", html.unescape(page[end:stop])
+            at = stop
 
 
-def walk(page: str, weight, bias: float):
-    """Items in page order: ("tag", name, block break?, sum of open weights) and ("text", text, sum of open weights, hidden?, features)."""
+def walk(page: str, weight, bias: float, tell: bool = False):
+    """Items in page order: ("tag", name, block break?, sum of open weights) and ("text", text, sum of open weights, hidden?, features).
+
+    Only sums are carried along the open elements, and their number by name, so an element costs the same however deep
+    it stands and an end tag without a start costs nothing. ``tell`` adds the features of the open elements to texts.
+    """
     stack: list[tuple[str, float, bool, tuple]] = []
+    opened: Counter = Counter()
+
+    def drop() -> None:
+        opened[stack.pop()[0]] -= 1
+
     for event in events(page):
-        total, hidden, feats = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (bias, False, ())
+        total, hidden = (stack[-1][1], stack[-1][2]) if stack else (bias, False)
         if event[0] == "text":
-            yield "text", event[1], total, hidden, feats
+            yield "text", event[1], total, hidden, [f for x in stack for f in x[3]] if tell else ()
             continue
         name = event[1]
         if event[0] == "close":
             yield "tag", name, name in BLOCKS, total
-        if event[0] == "open":
-            while stack and name in CLOSES and stack[-1][0] in CLOSES[name]:
-                stack.pop()
-            if name in BLOCKS and name != "p":
-                while stack and stack[-1][0] == "p":
-                    stack.pop()
-            total, hidden, feats = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (bias, False, ())
-            own = total + sum(weight(f) for f in event[2])
-            yield "tag", name, name in BLOCKS, own
-            if name not in VOID:
-                stack.append((name, own, hidden or name in HIDDEN or name in RAW or name in TEXTLESS, feats + event[2]))
-        else:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is not None:
-                del stack[k:]
+            if opened[name]:
+                while stack[-1][0] != name:
+                    drop()
+                drop()
+            continue
+        while stack and name in CLOSES and stack[-1][0] in CLOSES[name]:
+            drop()
+        if name in BLOCKS and name != "p":
+            while stack and stack[-1][0] == "p":
+                drop()
+        total, hidden = (stack[-1][1], stack[-1][2]) if stack else (bias, False)
+        own = total + sum(weight(f) for f in event[2])
+        yield "tag", name, name in BLOCKS, own
+        if name not in VOID:
+            stack.append((name, own, hidden or name in HIDDEN or name in RAW or name in TEXTLESS, event[2]))
+            opened[name] += 1
 
 
 @functools.cache
@@ -121,7 +137,7 @@ def model() -> tuple[dict[str, float], float, dict[str, float]]:
     rows, inside, outside = [], Counter(), Counter()
     for page in PAGES:
         depth = 0
-        for item in walk(page, lambda f: 0.0, 0.0):
+        for item in walk(page, lambda f: 0.0, 0.0, tell=True):
             if item[0] == "tag":
                 (inside if depth > 0 else outside)[item[1]] += 1
                 continue
@@ -147,13 +163,30 @@ def model() -> tuple[dict[str, float], float, dict[str, float]]:
     return {f: float(w[i]) for f, i in names.items()}, float(w[-1]), {t: float(v) for t, v in tags.items()}
 
 
+def best_segment(scores: list[float]) -> tuple[int, int]:
+    """The stretch of the highest positive total in one scan; of equal totals the one that ends first, and of those
+    the longest; (0, 0) if no total is positive."""
+    best, total, first, region = 0.0, 0.0, 0, (0, 0)
+    for i, s in enumerate(scores):
+        if total < 0:
+            total, first = 0.0, i
+        total += s
+        if total > best:
+            best, region = total, (first, i + 1)
+    return region
+
+
 def extract(page: str | None) -> str:
     """The main text of one page; where no context is likely, contexts that are merely open to it count."""
-    return next((t for level in (0.4, 0.25, 0.1) if (t := _extract(page, level))), "") if page else ""
+    if not page:
+        return ""
+    weights, bias, _ = model()
+    items = list(walk(page, lambda f: weights.get(f, 0.0), bias))
+    return next((t for level in (0.4, 0.25, 0.1) if (t := _extract(items, level))), "")
 
 
-def _extract(page: str, level: float) -> str:
-    weights, bias, tags = model()
+def _extract(items: list[tuple], level: float) -> str:
+    tags = model()[2]
     blocks: list[tuple[int, int, str]] = []  # place of the block's first and last item, text
     scores: list[float] = []
     held: list[str] = []
@@ -165,7 +198,7 @@ def _extract(page: str, level: float) -> str:
             blocks.append((since, len(scores), text))
         held.clear()
 
-    for item in walk(page, lambda f: weights.get(f, 0.0), bias):
+    for item in items:
         if item[0] == "tag":
             if item[2]:
                 close()
@@ -186,14 +219,8 @@ def _extract(page: str, level: float) -> str:
         held.append(text)
         scores.append(score * n)
     close()
-    best, total, lo, region = 0.0, 0.0, 0, (0, 0)
-    for i, s in enumerate(scores):
-        if total <= 0:
-            total, lo = 0.0, i
-        total += s
-        if total > best:
-            best, region = total, (lo, i + 1)
-    return "\n\n".join(t for s, e, t in blocks if s < region[1] and e > region[0])
+    first, last = best_segment(scores)
+    return "\n\n".join(t for s, e, t in blocks if s < last and e > first)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -199,3 +199,50 @@ def test_main_text_passes_over_icons_only():
         assert main_text.extract(page) == "The first paragraph has a few plain words in it.\n\nSecond one, with a link inside.", icon
     page = f"<body><article>{A}<p>Here <math><mi>x</mi><mo>=</mo><mn>3</mn></math> is plain and <object data='a.pdf'>the file as words</object> too.</p></article></body>"
     assert main_text.extract(page).endswith("Here x=3 is plain and the file as words too.")
+
+
+def test_main_text_of_held_out_pages():
+    import html
+    from collections import Counter
+
+    from .held_out_pages import PAGES as HELD_OUT
+
+    found = hit = want = 0
+    for page in HELD_OUT:
+        depth, inner = 0, []
+        for x in re.split(r"(\{\{|\}\}|\[\[|\]\])", page):
+            if x in ("{{", "]]"):
+                depth += 1
+            elif x in ("}}", "[["):
+                depth -= 1
+            elif depth:
+                inner.append(re.sub(r"<[^>]*>", " ", x))
+        told = Counter(html.unescape(" ".join(inner)).split())
+        got = Counter(main_text.extract(re.sub(r"\{\{|\}\}|\[\[|\]\]", "", page)).split())
+        found, hit, want = found + sum(got.values()), hit + sum((got & told).values()), want + sum(told.values())
+    assert hit / want >= 0.99 and hit / found >= 0.84, (hit / want, hit / found)
+
+
+def test_best_segment_is_the_best_of_all():
+    rng = random.Random(3)
+    for _ in range(300):
+        scores = [rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 14))]
+        every = [(sum(scores[i:j]), -j, j - i, i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        best = max(every, default=(0,))
+        want = (best[3], -best[1]) if best[0] > 0 else (0, 0)
+        assert main_text.best_segment(scores) == want, scores
+
+
+def test_main_text_of_broken_long_pages_is_linear(frame, spark):
+    import time
+
+    main_text.model()
+    for part in ("<div>", "</b>", "<b></i>", "<svg>", "<script>", "<", "<p>x", '<a href="', "<!--", "<title>", "<div class='a b c'>"):
+        took = []
+        for size in (100_000, 400_000):
+            page = part * (size // len(part)) + "a few words"
+            began = time.process_time()
+            main_text.extract(page)
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * max(took[0], 0.05), (part, took)
+    assert main_text.digest(main_text.main_text(spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars int"))).count() == 0
