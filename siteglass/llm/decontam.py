@@ -1,10 +1,12 @@
 """Benchmark decontamination: which documents hold (nearly) all word shingles of a test item.
 
-MinHash containment search by a prefix filter. An item is sketched by its smallest shingle hashes, as many as its
-size needs so that a document holding the threshold's share of the item must hold one of them (with q shingles and
-threshold t, any ``q - ceil(t*q) + 1`` of them). Documents are sketched with the same hash up to the largest value that
-any item of the block uses (near all their shingles, if an item is small), at any length, so a short item is found inside a long document without lowering a Jaccard threshold, and no pair over the threshold is lost.
-Candidates are then verified by exact containment of the full shingle sets.
+Size-partitioned MinHash containment search. Items are dealt into classes by their number of shingles, each class
+within a factor of two. An item is sketched by its smallest shingle hashes, as many as its size needs so that a document
+holding the threshold's share of the item must hold one of them (with q shingles and threshold t, any
+``q - ceil(t*q) + 1`` of them). Every class has its own inverted list and its own limit: the largest hash its items
+use. A document is sketched for a class by its shingles up to that limit, at any length, so a short item is found inside
+a long document without lowering a Jaccard threshold, large items are searched with short sketches, and no pair over the
+threshold is lost. Candidates are then verified by exact containment of the full shingle sets.
 
 The items are sent to the executors in blocks of a bounded number of shingles (``BLOCK``), each searched against all
 documents, so the broadcast has a fixed size however many items there are.
@@ -12,7 +14,8 @@ documents, so the broadcast has a fixed size however many items there are.
 Words are runs of non-white-space (``[^\\x20\\x09-\\x0D]+``), lower-cased (A-Z), with marks around a word left out;
 an item of fewer than ``size`` words is one shingle of all its words, so it is
 not found inside a longer document, only in one of exactly these words (the SQL of op6 has the same rule). Null or empty texts hold nothing and match
-nothing. Equal items are reported each under its own item_id; equal documents get equal rows.
+nothing. Equal items are reported each under its own item_id; equal documents get equal rows; an empty table of items
+matches nothing. Other columns, whatever their names, are ignored by ``matches`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -64,29 +67,39 @@ def need(q: int, percent: int) -> int:
     return -(-percent * q // 100)
 
 
-class Index:
-    """Items of one block, with an inverted list of their sketches."""
+class SizeClass:
+    """Items of similar size, with an inverted list of their sketches."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], percent: int):
-        self.items, self.percent = items, percent
+    def __init__(self, members: list[tuple[int, np.ndarray]], percent: int):
         slots: dict[int, list[int]] = {}
-        for i, (_, s) in enumerate(items):
+        for i, s in members:
             for x in s[: len(s) - need(len(s), percent) + 1].tolist():  # sorted: the smallest hashes
                 slots.setdefault(x, []).append(i)
         self.keys = np.array(sorted(slots), dtype=np.uint64)
         self.lists = [slots[int(k)] for k in self.keys]
-        self.most = max(slots, default=-1)
+
+    def candidates(self, doc: np.ndarray) -> Iterator[int]:
+        """Places of the items that share a hash with the document's sketch for this class."""
+        sketch = doc[: np.searchsorted(doc, self.keys[-1], side="right")]
+        at = np.searchsorted(self.keys, sketch)  # the sketch ends at the last key
+        for k in at[self.keys[at] == sketch].tolist():
+            yield from self.lists[k]
+
+
+class Index:
+    """Items of one block, by size."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], percent: int):
+        self.items, self.percent = items, percent
+        members: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, (_, s) in enumerate(items):
+            members.setdefault(len(s).bit_length(), []).append((i, s))
+        self.classes = [SizeClass(members[k], percent) for k in sorted(members)]
 
     def search(self, doc: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item_id, shingles held, shingles of the item) of every item held."""
-        if self.most < 0 or not len(doc):
-            return []
-        sketch = doc[: np.searchsorted(doc, np.uint64(self.most), side="right")]
-        at = np.searchsorted(self.keys, sketch)
-        at[at == len(self.keys)] = 0
-        hit = at[self.keys[at] == sketch]
+        """(item_id, shingles held, shingles of the item) of every item held, in the order of the items."""
         out = []
-        for i in sorted({i for k in hit.tolist() for i in self.lists[k]}):
+        for i in sorted({i for c in self.classes for i in c.candidates(doc)}):
             item, s = self.items[i]
             held = int(np.isin(s, doc, assume_unique=True).sum())
             if held >= need(len(s), self.percent):

@@ -2,11 +2,16 @@
 
 The dot-product heuristic fills one sequence at a time: among the waiting examples that fit, the one whose demand
 vector has the largest dot product with the room that is left (both as shares of the limits) goes in next. Where
-examples may be cut and none fits, the best one is cut to fill the sequence. Every task packs what it reads, through a
-pool of bounded size, so nothing is shuffled and no row waits for another task.
+examples may be cut and none fits, the best one is cut to fill the sequence. Of equal products the example in the lowest
+slot of the pool goes in. Every task packs what it reads, through a pool of bounded size, so no row waits for another
+task; which examples share a sequence therefore follows from how the input is split.
+
+Documents are cut freely; every token but a piece's first bears loss. Conversations are examples whose turns stay
+together, and roles tell which tokens bear loss, so there the three limits bind independently.
 
 An example without tokens takes no place and is left out; one that breaks a limit on its own and may not be cut
-raises. Null text is empty (the end id alone). Repeated rows are packed as often as they come.
+raises. Null text is empty (the end id alone). Repeated rows are packed as often as they come, an empty table gives no
+rows, and columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +23,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import docs_of
+from .common import docs_of, small_batches
 from .tokens import encode_in_parts, encoder
 
 
@@ -28,7 +34,7 @@ class Limits:
     """What one sequence may hold."""
 
     tokens: int = 1024
-    segments: int = 64
+    segments: int = 6
     loss: int = 1024
 
 
@@ -142,3 +148,72 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits | None = None) ->
         yield rows()
 
     return docs_of(docs).mapInArrow(run, SCHEMA)
+
+
+CHAT = "conv_id long, turn long, start long, length long, loss long, ids_crc32 long, turn_tokens long, sequence_id long, offset long"
+CHUNK = 16
+
+
+def pack_conversations(turns: DataFrame, path: str, limits: Limits | None = None, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Tokenize the turns (conv_id, turn, role, text) of conversations and pack them; one row a piece of a turn.
+
+    An example is a stretch of consecutive turns of one conversation that keeps every limit; a longer conversation makes
+    several, cut between turns, and a turn that breaks a limit on its own is cut into pieces. Stretches also end after
+    ``CHUNK`` turn numbers, by which rows are dealt, so a conversation of any length is spread over tasks. Tokens of
+    the roles in ``trained`` bear loss, each turn's end id included. Rows with a null conv_id make a conversation, those
+    with a null turn come first in it, a null role bears no loss.
+    """
+    limits = limits or Limits(2048, 8, 1024)
+    small_batches(turns.sparkSession)
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 40
+        packer, enc = Packer(limits, cut=False), encoder(path)
+        out: list[tuple] = []
+        held: list[tuple] = []  # pieces of the example at hand: conversation, turn, start, ids, tokens of the turn, loss
+        of, tokens, loss = None, 0, 0
+
+        def close() -> None:
+            nonlocal held, tokens, loss
+            for seq, offset, pieces, *_ in packer.add(tuple(held), 0, tokens, loss) if held else ():
+                put(seq, offset, pieces)
+            held, tokens, loss = [], 0, 0
+
+        def put(seq: int, offset: int, pieces: tuple) -> None:
+            for conv, turn, start, ids, n, lost in pieces:
+                out.append((conv, turn, start, len(ids) // 4, lost, zlib.crc32(ids), n, base + seq, offset))
+                offset += len(ids) // 4
+
+        def rows() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * 9
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in CHAT.split(", ")])
+
+        for b in batches:
+            columns = (b.column(c).to_pylist() for c in ("conv_id", "chunk", "turn", "role"))
+            for conv, chunk, turn, role, ids in zip(*columns, encode_in_parts(enc, b.column("text").to_pylist()), strict=True):
+                bears, n = role in trained, len(ids) // 4
+                most = min(limits.tokens, limits.loss) if bears else limits.tokens
+                for start in range(0, n, most):
+                    piece = ids[4 * start : 4 * (start + most)]
+                    size = len(piece) // 4
+                    lost = size if bears else 0
+                    if of != (conv, chunk) or tokens + size > limits.tokens or loss + lost > limits.loss:
+                        close()
+                        of = (conv, chunk)
+                    held.append((conv, turn, start, piece, n, lost))
+                    tokens, loss = tokens + size, loss + lost
+                if len(out) >= 20_000:
+                    yield rows()
+        close()
+        for seq, offset, pieces, *_ in packer.finish():
+            put(seq, offset, pieces)
+        yield rows()
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    told = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.floor(F.col("turn") / CHUNK).cast("long").alias("chunk"), "role", text.alias("text"))
+    dealt = told.repartition(parts, "conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "role", "text")
+    return dealt.mapInArrow(run, CHAT)

@@ -48,6 +48,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing operator on instruction data, where roles tell which tokens bear loss."""
+    return packing.pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), vocabulary())
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,4 +61,4 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.digest(main_text.main_text(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_toxicity, op4_quality, op5_repeats, op6_decontamination, op7_token_files, op8_packing, op9_near_duplicates, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_toxicity, op4_quality, op5_repeats, op6_decontamination, op7_token_files, op8_packing, op9_near_duplicates, op10_main_text, conversation_packing)}

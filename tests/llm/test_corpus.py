@@ -343,6 +343,35 @@ def test_packing_documents(frame, encoder):
     assert packing.pack_documents(frame([]), VOCAB).count() == 0
 
 
+def test_packing_conversations(spark, encoder):
+    rng = random.Random(17)
+    words = ["of", "the", "tionable", "Éra", "x,y", "\n", "1.5"]
+    turns = [(c, t, rng.choice(["user", "assistant", "system", None]), " ".join(rng.choice(words) for _ in range(rng.choice([0, 2, 20, 60])))) for c in range(40) for t in range(rng.randint(1, 9))]
+    turns += [(77, t, "assistant" if t % 2 else "user", "the of " * rng.randint(0, 9)) for t in range(300)]  # a hot conversation
+    turns += [(78, 0, "assistant", "x,y " * 400), (79, 0, "user", "x,y " * 400), (80, None, "user", None), (None, 3, "assistant", "no id")]
+    frame = spark.createDataFrame([(*r, 1, "z") for r in turns], "conv_id long, turn long, role string, text string, offset int, length string").repartition(5)
+    limits = packing.Limits(128, 4, 64)
+    rows = packing.pack_conversations(frame, VOCAB, limits).collect()
+    want = {(c, t): (np.array([*encoder.tok.encode(x or "", add_special_tokens=False).ids, 0], dtype="<u4"), r) for c, t, r, x in turns}
+    at = dict.fromkeys(want, 0)
+    for r in sorted(rows, key=lambda r: (r.conv_id or -1, r.turn or -1, r.start)):
+        ids, role = want[r.conv_id, r.turn]
+        assert r.start == at[r.conv_id, r.turn] and r.turn_tokens == len(ids) and r.loss == (r.length if role == "assistant" else 0)
+        at[r.conv_id, r.turn] += r.length
+        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    assert at == {k: len(x) for k, (x, _) in want.items()}
+    filled, bound = {}, {"tokens": 0, "loss": 0}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        tokens_, loss, examples = filled.get(r.sequence_id, (0, 0, 0))
+        assert r.offset == tokens_
+        filled[r.sequence_id] = tokens_ + r.length, loss + r.loss, examples
+    assert all(n <= 128 and loss <= 64 for n, loss, _ in filled.values())
+    bound["loss"] = sum(loss > 60 and n < 100 for n, loss, _ in filled.values())
+    bound["tokens"] = sum(n > 120 and loss < 40 for n, loss, _ in filled.values())
+    assert all(bound.values())  # either limit is what fills some sequences
+    assert packing.pack_conversations(frame.limit(0), VOCAB).count() == 0
+
+
 def test_vector_packing_of_whole_examples():
     rng = random.Random(3)
     limits = packing.Limits(tokens=100, segments=4, loss=50)
