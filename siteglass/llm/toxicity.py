@@ -2,9 +2,14 @@
 
 Every coordinate has its own learning rate, and the L1 term leaves most weights at zero, so the model ships as two
 short arrays. Features of a text are the distinct hashes of its words, their stems, word pairs and pairs that skip one
-word, after lower-casing and stripping of marks around a word. Training reads at most ``Params.max_rows`` labelled rows, those
-with the smallest hash of doc_id (a bounded sample; scoring covers every row). Null or empty text has no features and
-gets the bias. Rows with a null label or null doc_id never train; repeated label rows of a document keep the highest.
+word, after lower-casing and stripping of marks around a word. Training reads a bounded sample of the labelled documents,
+in the order of the hash of their doc_id: at most ``Params.max_rows`` of them, and as many as have ``Params.max_slots``
+features together. Executors make the features; the driver gets slot numbers, never texts. Scoring covers every row.
+
+Null or empty text has no features and gets the bias; texts of any length count whole. Rows with a null label or null
+doc_id never train; repeated label rows of a document keep the highest, and documents that share a doc_id train once,
+as the one with the fewest features. Equal texts get equal scores. Without documents the result is empty, without
+labels every score is 0.5. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -15,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, docs_of
+from .common import arrow_map, docs_of, materialize
 
 STEM = 5
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
@@ -33,6 +38,7 @@ class Params:
     l2: float = 0.1
     epochs: int = 4
     max_rows: int = 12_000
+    max_slots: int = 30_000_000
 
 
 class Words(dict):
@@ -87,16 +93,10 @@ def features(texts: list[str], bits: int, words: Words, wanted: np.ndarray | Non
     return (keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def fit(rows: list[tuple[str, int]], p: Params) -> tuple[np.ndarray, np.ndarray, float]:
-    """Non-zero slots, their weights and the bias."""
+def fit(data: list[tuple[np.ndarray, int]], p: Params) -> tuple[np.ndarray, np.ndarray, float]:
+    """Non-zero slots, their weights and the bias, from the slots and the label of each example."""
     size = 1 << p.bits
-    z, n, w0, n0, z0 = np.zeros(size), np.zeros(size), 0.0, 0.0, 0.0
-    words, data = Words(), []
-    for lo in range(0, len(rows), 500):
-        part = rows[lo : lo + 500]
-        row, slot = features([t for t, _ in part], p.bits, words)
-        cut = np.searchsorted(row, np.arange(len(part) + 1))
-        data += [(slot[cut[i] : cut[i + 1]].astype(np.int32), y) for i, (_, y) in enumerate(part)]
+    z, n, n0, z0 = np.zeros(size), np.zeros(size), 0.0, 0.0
     order = np.random.default_rng(7)
     for _ in range(p.epochs):
         for i in order.permutation(len(data)):
@@ -114,12 +114,27 @@ def fit(rows: list[tuple[str, int]], p: Params) -> tuple[np.ndarray, np.ndarray,
     return at, (np.sign(z[at]) * p.l1 - z[at]) / ((p.beta + np.sqrt(n[at])) / p.alpha + p.l2), float(-z0 / ((p.beta + np.sqrt(n0)) / p.alpha))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> list[tuple[str, int]]:
-    """At most ``max_rows`` (text, label), by the smallest hash of doc_id, outside the held-out fifth."""
+def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> list[tuple[np.ndarray, int]]:
+    """The bounded sample of (slots, label) outside the held-out fifth, by doc_id."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     lab = lab.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_rows)
-    got = docs_of(docs).join(F.broadcast(lab), "doc_id").select("doc_id", "text", "toxic").collect()  # bounded by max_rows
-    return [(r.text, r.toxic) for r in sorted(got, key=lambda r: (r.doc_id, r.text))]
+    words, bits = Words(), p.bits
+
+    def one(batch: pa.RecordBatch) -> dict:
+        texts, slots = batch.column("text").to_pylist(), []
+        for lo in range(0, len(texts), 64):
+            part = texts[lo : lo + 64]
+            row, slot = features(part, bits, words)
+            cut = np.searchsorted(row, np.arange(len(part) + 1))
+            slots += [slot[cut[i] : cut[i + 1]].astype("<i4").tobytes() for i in range(len(part))]
+        return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "slots": slots}
+
+    made = arrow_map(docs_of(docs).join(F.broadcast(lab), "doc_id"), one, "doc_id long, toxic int, slots binary")  # at most max_rows labels
+    once = materialize(made.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "slots"), F.struct(F.length("slots"), "slots")).alias("x")).select("doc_id", "x.*"))
+    upto = F.sum(F.length("slots")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # one order of at most max_rows sizes
+    chosen = once.select("doc_id", upto.alias("upto")).where(F.col("upto") <= 4 * p.max_slots).select("doc_id")
+    got = once.join(F.broadcast(chosen), "doc_id").collect()
+    return [(np.frombuffer(bytes(r.slots), dtype="<i4"), r.toxic) for r in sorted(got, key=lambda r: r.doc_id)]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], p: Params) -> DataFrame:

@@ -1,9 +1,12 @@
 """Operators that judge each row by itself, against plain readings of their rules."""
 
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from siteglass.llm import decontam, main_text, pii, quality, toxicity
 from siteglass.llm.html_pages import PAGES
 
@@ -132,6 +135,42 @@ def test_toxicity_finds_what_labels_mark(frame, spark):
     assert {(r.doc_id, r.score) for r in got} == {(r.doc_id, r.score) for r in again}
 
 
+def test_toxicity_fit_equals_plain_ftrl():
+    rng = random.Random(2)
+    p = toxicity.Params(bits=6, l1=0.5, epochs=3)
+    data = [(np.array(sorted(rng.sample(range(64), rng.randint(0, 9))), dtype="<i4"), rng.randint(0, 1)) for _ in range(120)]
+    z, n, order = {}, {}, np.random.default_rng(7)
+
+    def weight(i, l1, l2):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((p.beta + math.sqrt(n.get(i, 0.0))) / p.alpha + l2)
+
+    for _ in range(p.epochs):
+        for k in order.permutation(len(data)):
+            slots, y = data[k]
+            own = {int(i): weight(int(i), p.l1, p.l2) for i in slots} | {"bias": weight("bias", 0.0, 0.0)}
+            g = 1 / (1 + math.exp(-sum(own.values()))) - y
+            for i, w in own.items():
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / p.alpha * w
+                n[i] = old + g * g
+    at, weights, bias = toxicity.fit(data, p)
+    want = {i: w for i in range(64) if (w := weight(i, p.l1, p.l2))}
+    assert set(at.tolist()) == set(want) and 10 < len(want) < 64
+    assert np.allclose(weights, [want[i] for i in at.tolist()]) and math.isclose(bias, weight("bias", 0.0, 0.0))
+
+
+def test_toxicity_sample_is_bounded_in_rows_and_features(frame, spark):
+    docs = frame([(i % 40, " ".join(f"w{(i * 7 + j) % 90}" for j in range(20))) for i in range(400)] + [(77, "long " * 50_000 + "text"), (78, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] * 3, "doc_id long, toxic int")
+    every = toxicity.training_rows(docs, labels, toxicity.Params())
+    assert 20 < len(every) <= 42  # one example a document, however often it comes
+    assert len(toxicity.training_rows(docs, labels, toxicity.Params(max_rows=1))) <= 1
+    few = toxicity.training_rows(docs, labels, toxicity.Params(max_slots=200))
+    assert 0 < len(few) < len(every) and sum(len(s) for s, _ in few) <= 200
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
 def test_toxicity_without_labels(frame, spark):
     got = toxicity.toxicity(frame([(1, "a b")]), spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert len(got) == 1 and 0 <= got[0].score <= 1
