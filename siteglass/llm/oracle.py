@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BOILERPLATE, MENU
+from .quality import BOILERPLATE, CLOSERS, ENDS, MENU
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = r"[\x20\x09-\x0D]"
@@ -23,7 +23,8 @@ SELECT doc_id, len(ls) AS n_lines, coalesce(len(rm), 0) AS n_removed, sha256(arr
 FROM src LEFT JOIN g USING (doc_id)
 """
 
-_BOILER = "|".join(BOILERPLATE)
+_BOILER = "|".join(BOILERPLATE).replace("'", "''")
+_CLOSE = CLOSERS.replace("'", "''").replace("]", "\\]")
 _MENU = "|".join(MENU)
 OP4 = rf"""
 WITH src AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS w, string_split(text, chr(10)) AS ls FROM documents),
@@ -31,7 +32,7 @@ win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 7], ' ')) AS key FROM (SEL
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM win WHERE (doc_id, key) IN (SELECT (doc_id, key) FROM win GROUP BY doc_id, key HAVING count(*) > 1)) GROUP BY doc_id),
 l AS (SELECT doc_id, i, ls[i] AS line, regexp_replace(ls[i], '{_SPACE}', '', 'g') AS dense, regexp_extract_all(ls[i], '{_WORD}') AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM src)),
 j AS (SELECT *, 100 * (strlen(dense) - strlen(regexp_replace(dense, '[#*$%&|<>!?~^=_{{}}\[\]\\]', '', 'g'))) > 10 * strlen(dense)
- OR (regexp_matches(lower(line), ' (\||»|›|::|•) ') AND len(w) <= 12)
+ OR (len(w) >= 5 AND NOT regexp_matches(line, '[{ENDS}][{_CLOSE}]*{_SPACE}*$')) OR (regexp_matches(lower(line), ' (\||»|›|::|•) ') AND len(w) <= 12)
  OR 100 * len(list_filter(range(1, len(w)), lambda k: w[k] = w[k + 1])) > 30 * len(w) OR 100 * len(list_filter(w, lambda x: regexp_full_match(x, '[!-/:-@\[-`{{-~]+'))) > 25 * len(w)
  OR regexp_full_match(regexp_replace(lower(line), '^{_SPACE}+|{_SPACE}+$', '', 'g'), '({_MENU})') OR regexp_matches(lower(line), '{_BOILER}') AS fails,
  row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM l WHERE dense <> ''),

@@ -2,15 +2,18 @@
 
 Line rules (a line without a word is neutral and stays):
 
-* punctuation: more than ``max_symbol_share`` percent of the line's non-space bytes are noise symbols;
+* punctuation: more than ``max_symbol_share`` percent of the line's non-space bytes are noise symbols, or a line of
+  ``ending_words`` words or more does not end like a sentence (one of ``ENDS``, perhaps within closing marks);
 * navigation: a short line that holds a menu separator, a line of which over ``max_marks`` percent of the words are
   marks alone, or a line of one menu word or phrase only;
 * stutter: over ``max_stutter`` percent of the words equal the word before them;
-* boilerplate: the line holds one of ``BOILERPLATE``.
+* boilerplate: the line holds one of ``BOILERPLATE``, phrases of licences, notices and consent in English, German,
+  French and Spanish (``MENU`` holds words of menus in these).
 
 A document is rejected when it fails the base rules (under 20 words, or over 30 % of its words in repeated
 8-word windows), or when its failing lines hold more than ``max_lost`` percent of its word characters.
-Null text counts as empty: no words, rejected. Equal rows get equal verdicts; other columns are ignored.
+Null text counts as empty: no words, rejected. Texts of any length are judged whole, equal rows get equal verdicts, and
+an empty table an empty result. Other columns, whatever their names, are ignored by ``quality`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -30,8 +33,19 @@ WS = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NOISE = b"#*$%&|<>!?~^=_{}[]\\"
-BOILERPLATE = ("all rights reserved", "licensed under", "released under the", "privacy policy", "terms of use", "terms of service", "cookie policy", "use cookies", "javascript is disabled", "enable javascript", "subscribe to our newsletter")
-MENU = ("home", "about", "contact", "login", "sign in", "sign up", "menu", "next", "previous", "back", "search", "share", "help", "faq", "sitemap", "read more", "skip to content")
+ENDS, CLOSERS = ".!?…:;。！？", "\"')]»”’"
+BOILERPLATE = (
+    "all rights reserved", "licensed under", "released under the", "privacy policy", "terms of use", "terms of service", "cookie policy", "use cookies", "uses cookies", "javascript is disabled", "enable javascript", "subscribe to our newsletter",
+    "alle rechte vorbehalten", "lizenziert unter", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "verwenden cookies", "javascript ist deaktiviert", "javascript aktivieren", "newsletter abonnieren",
+    "tous droits réservés", "sous licence", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "utilise des cookies", "utilisons des cookies", "activer javascript", "abonnez-vous à notre",
+    "todos los derechos reservados", "bajo licencia", "bajo la licencia", "política de privacidad", "condiciones de uso", "aviso legal", "utiliza cookies", "utilizamos cookies", "activar javascript", "suscríbete a nuestr",
+)
+MENU = (
+    "home", "about", "contact", "login", "sign in", "sign up", "menu", "next", "previous", "back", "search", "share", "help", "faq", "sitemap", "read more", "skip to content",
+    "startseite", "über uns", "kontakt", "anmelden", "registrieren", "menü", "weiter", "zurück", "suche", "teilen", "hilfe", "impressum", "mehr lesen", "weiterlesen",
+    "accueil", "à propos", "connexion", "inscription", "suivant", "précédent", "retour", "rechercher", "partager", "aide", "plan du site", "lire la suite",
+    "inicio", "acerca de", "contacto", "iniciar sesión", "registrarse", "menú", "siguiente", "anterior", "volver", "buscar", "compartir", "ayuda", "mapa del sitio", "leer más",
+)
 _SEPARATOR = re.compile(r" (?:\||»|›|::|•) ")
 _MENU = re.compile("(?:" + "|".join(MENU) + ")")
 _BOILER = re.compile("|".join(re.escape(x) for x in BOILERPLATE))
@@ -47,6 +61,7 @@ class Rules:
     nav_words: int = 12
     max_marks: int = 25
     max_stutter: int = 30
+    ending_words: int = 5
     max_lost: int = 50
 
 
@@ -91,7 +106,10 @@ def line_fails(line: bytes, rules: Rules) -> bool:
         return True
     if dense.translate(None, MARKS) != dense and 100 * sum(not w.translate(None, MARKS) for w in words) > rules.max_marks * n:
         return True
-    low = line.decode().lower()
+    text = line.decode()
+    if n >= rules.ending_words and not text.rstrip(" \t\n\r\x0b\x0c").rstrip(CLOSERS).endswith(tuple(ENDS)):
+        return True
+    low = text.lower()
     if _SEPARATOR.search(low) and n <= rules.nav_words:
         return True
     return bool(_MENU.fullmatch(low.strip(" \t\n\r\x0b\x0c")) or _BOILER.search(low))
