@@ -51,16 +51,26 @@ def work_dir(spark: SparkSession) -> str:
     return _MADE[-1]
 
 
-def drop_work(spark: SparkSession) -> int:
-    """Delete the work folders made so far, once no result reads from them any more; returns their number."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_MADE)
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(conf).delete(path, True)
+def drop_work(spark: SparkSession, since: int = 0) -> int:
+    """Delete the work folders made so far (or after the first ``since``), once no result reads from them any more;
+    returns their number."""
+    n = len(_MADE) - since
+    while len(_MADE) > since:
+        drop(spark, _MADE.pop())
     return n
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def work_made() -> int:
+    """How many work folders there are by now, to drop those made later."""
+    return len(_MADE)
+
+
 def materialize(df: DataFrame, folder: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession

@@ -2,8 +2,8 @@
 
 A line (a piece of a text between line feeds) is removed when an earlier line of the corpus, by doc_id and line
 number, has the same words or, from ``fuzzy_words`` words on, words within one edit: one word replaced, inserted or
-deleted. What counts as earlier is judged on the input. Lines under ``min_words`` words always stay, as in the SQL of
-op1; with ``fold_short`` they go too where they equal an earlier line and have a visible character.
+deleted. What counts as earlier is judged on the input. Lines under ``min_words`` words stay, unless ``fold_short`` (as in
+the query and the pipeline) lets them go too where they equal an earlier line and have a visible character.
 
 Equal lines are folded first, by three 64-bit hashes. Variants within the bound leave out one word: replaced words meet
 under equal variants of both lines, an inserted word under the longer line's variant and the shorter line as it is.
@@ -14,7 +14,9 @@ kind, pre-aggregated, so a hot key costs a row a task and no pair within a group
 line to that earliest one is then verified on the words.
 
 Null texts have no lines and stay null; rows with a null doc_id stay as they are. Rows that repeat a doc_id and text
-are one document. Other columns pass through.
+are one document; lines of texts that differ under one doc_id count by their number, and a number removed in one goes
+in all. Texts and lines of any length are taken whole; an empty table gives an empty one. Other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -162,22 +164,32 @@ def removed_lines(docs: DataFrame, p: Params | None = None) -> DataFrame:
     return hit.groupBy("doc_id").agg(F.array_distinct(F.array_sort(F.collect_list("line_no"))).alias("removed"))
 
 
-def _marked(docs: DataFrame, p: Params | None) -> DataFrame:
-    """``docs`` with the numbers of the lines to remove in ``__removed``, null where there are none."""
-    gone = removed_lines(docs, p).select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
-    return docs.join(gone, F.col("doc_id") == F.col("__doc"), "left")
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, longer until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _kept_text() -> Column:
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    return F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)
+def _marked(docs: DataFrame, p: Params | None) -> tuple[DataFrame, str]:
+    """``docs`` with a column of the numbers of the lines to remove, null where there are none, and its name."""
+    key, mark = _free(docs, "gone_doc"), _free(docs, "gone_lines")
+    gone = removed_lines(docs, p).select(F.col("doc_id").alias(key), F.col("removed").alias(mark))
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left").drop(key), mark
+
+
+def _kept_text(mark: str) -> Column:
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(mark, i)), "\n")
+    return F.when(F.col(mark).isNull(), F.col("text")).otherwise(kept)
 
 
 def dedup_lines(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """``docs`` with the removed lines out of text, and n_lines and n_removed (in place of columns so named)."""
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))), "n_removed": F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed"))}
-    return _marked(docs, p).select(*(_kept_text().alias(c) if c == "text" else F.col(c) for c in own), *(x.cast("long").alias(c) for c, x in counts.items()))
+    marked, mark = _marked(docs, p)
+    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))), "n_removed": F.when(F.col(mark).isNull(), 0).otherwise(F.size(mark))}
+    return marked.select(*(_kept_text(mark).alias(c) if c == "text" else F.col(f"`{c}`") for c in own), *(x.cast("long").alias(c) for c, x in counts.items()))
 
 
 def clean(docs: DataFrame, p: Params | None = None) -> DataFrame:
@@ -185,15 +197,16 @@ def clean(docs: DataFrame, p: Params | None = None) -> DataFrame:
 
     A column n_chars, if there is one, counts the code points of the new text.
     """
-    text = _kept_text()
-    left = _marked(docs, p).where(F.col("__removed").isNull() | text.rlike("[^ \\t-\\r]"))
+    marked, mark = _marked(docs, p)
+    text = _kept_text(mark)
+    left = marked.where(F.col(mark).isNull() | text.rlike("[^ \\t-\\r]"))
 
     def one(c: str) -> Column:
         if c == "text":
             return text.alias(c)
         if c == "n_chars":
-            return F.when(F.col("__removed").isNull(), F.col(c)).otherwise(F.char_length(text)).cast(docs.schema[c].dataType).alias(c)
-        return F.col(c)
+            return F.when(F.col(mark).isNull(), F.col(c)).otherwise(F.char_length(text)).cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"`{c}`")
 
     return left.select(*(one(c) for c in docs.columns))
 

@@ -11,7 +11,10 @@ member drawn by hash; then all pairs left in a bucket whose components differ. S
 a band (a pair at 0.8 misses all of 36 bands of 5 with probability 6e-7), and a group of near copies costs few pairs.
 
 Documents without words link with nothing; null text is empty; a row with a null doc_id stays alone (component null,
-kept). Rows that repeat a doc_id count as one document. All work tables lie in the shared folder.
+kept). Rows that repeat a doc_id and text are one document, each getting its result. Where texts differ under one
+doc_id, links of either join its class, and sets are compared by the text that sorts first. Texts are taken whole, an
+empty table gives an empty result, and columns other than doc_id and text, whatever their names, are ignored. All work
+tables lie in the shared folder.
 """
 
 from __future__ import annotations
@@ -132,7 +135,7 @@ def packed_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
         z = zstandard.ZstdCompressor(level=1)
         return {"doc_id": batch.column("doc_id"), "z": [z.compress(t.encode()) for t in batch.column("text").to_pylist()]}
 
-    return arrow_map(docs_of(docs).join(needed, "doc_id", "left_semi"), one, "doc_id long, z binary").dropDuplicates(["doc_id"])
+    return arrow_map(docs_of(docs).join(needed, "doc_id", "left_semi"), one, "doc_id long, z binary").groupBy("doc_id").agg(F.min("z").alias("z"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:

@@ -10,7 +10,7 @@ _SPACE = r"[\x20\x09-\x0D]"
 OP1 = """
 WITH src AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i - 1 AS line_no, string_split(trim(ls[i], ' '), ' ') AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM src)),
-k AS (SELECT doc_id * 1000000 + line_no AS ord, doc_id, line_no, w, len(w) AS n, array_to_string(w, ' ') AS t FROM l WHERE len(w) >= 5),
+k AS (SELECT doc_id * 1000000 + line_no AS ord, doc_id, line_no, w, len(w) AS n, array_to_string(w, ' ') AS t FROM l WHERE len(w) >= 5 OR regexp_matches(array_to_string(w, ' '), '[^\\s\\p{Z}\\p{Cc}\\p{Cf}]')),
 u AS (SELECT t, min(ord) AS ord, any_value(w) AS w, any_value(n) AS n FROM k GROUP BY t),
 r AS (SELECT ord, md5(n || '|' || i || '|' || array_to_string(w[1:i - 1], ' ') || '|' || array_to_string(w[i + 1:n], ' ')) AS key FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u WHERE n >= 10)),
 d AS (SELECT ord, md5(array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ')) AS key FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u WHERE n >= 11)),

@@ -16,7 +16,7 @@ def vocabulary() -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), line_dedup.Params(fold_short=True)))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

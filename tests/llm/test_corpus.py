@@ -94,8 +94,8 @@ def shingles(t, n=4):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
 
 
-def classes(docs):
-    sets = {d: shingles(t) for d, t in docs if d is not None}
+def classes(docs, words=4):
+    sets = {d: shingles(t, words) for d, t in docs if d is not None}
     up = {d: d for d in sets}
 
     def top(x):

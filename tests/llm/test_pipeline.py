@@ -26,7 +26,7 @@ def test_stages_take_effect(spark, tmp_path, encoder):  # noqa: F811
     gone = plain_lines(kept, line_dedup.Params())
     kept = [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])) for d, t in kept]
     kept = [(d, t) for d, t in kept if t.split()]
-    _, root = classes(kept)
+    _, root = classes(kept, 5)
     kept = [(d, t) for d, t in kept if root[d] == d and not 100 * len(grams(item) & grams(t)) >= 80 * len(grams(item))]
     assert [d for d, _ in kept] == [1, 3, 5, 9]
     got = {}
