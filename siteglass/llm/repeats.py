@@ -12,9 +12,9 @@ lengths of their common prefixes; previous and next smaller positions in that or
 previous factor, up to ``length``, and a window whose factor reaches ``length`` goes.
 
 A minimizer that holds more than a ``SHARE``-th of an average partition would make its task long. Such minimizers are
-looked for in every ``SAMPLE``-th document (this steers the dealing, never the result): their runs are dealt by minimizer
-and run together, and those that differ are compared by the 128-bit hashes of their windows, pre-aggregated to the
-earliest place, in joins that Spark can split.
+looked for in every ``SAMPLE``-th document (this steers the dealing, never the result), and their runs are cut into
+shorter ones by minimizers of longer strings; where these are frequent too, into single windows, whose key is the whole
+window, so that all that meet are equal and are settled without their bytes.
 
 Null text is empty; texts under ``length`` bytes keep every byte. Rows with a null doc_id are left out of the search
 and keep their bytes. Rows that repeat a doc_id and text are one document, each getting its result; other columns are
@@ -41,7 +41,7 @@ _POS_BITS, _COUNT_BITS = 31, 16
 SLICE = 4_000_000
 HOT_RUNS = 50_000
 SAMPLE = 64  # every so many documents are looked through for frequent minimizers
-LEAST_HOT, SHARE = 4, 4  # sampled runs, and part of an average partition, from which a minimizer is dealt by runs
+LEAST_HOT, SHARE = 4, 4  # sampled runs, and part of an average partition, from which a minimizer's runs are cut
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,11 @@ class Params:
         if not 0 < self.gram <= self.length < 1 << _COUNT_BITS:
             raise ValueError(f"needs 0 < gram <= length < {1 << _COUNT_BITS}")
 
+    @property
+    def grams(self) -> tuple[int, ...]:
+        """Lengths of the strings whose minimizers deal runs, and those of frequent ones again."""
+        return self.gram, (self.gram + self.length) // 2, self.length
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> _U(32)) * _U(0xD6E8FEB86659FD93)
@@ -160,16 +165,14 @@ def _slides(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(done[: len(done) - rest], done[rest:]) if rest else done
 
 
-def window_runs(raw: bytes, ends: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
-    """Runs of windows of concatenated texts: start, windows, minimizer hash and run hash."""
-    text = np.frombuffer(raw, dtype=np.uint8)
-    n, none = len(text), (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),) * 2
-    if n < p.length:
-        return none
+def _lowest(text: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window of ``length`` bytes, the smallest hash of its strings of ``gram`` bytes, cut to leave room for
+    its place; and all the hashes."""
+    n = len(text)
     t = _TABLE[text]
     g, span, base = t, 1, _BASE
     parts = []  # binary expansion of the gram's length
-    left = p.gram
+    left = gram
     while True:
         if left & 1:
             parts.append((span, g, base))
@@ -181,8 +184,19 @@ def window_runs(raw: bytes, ends: np.ndarray, p: Params) -> tuple[np.ndarray, ..
     for span, arr, base in parts:
         total, at = (arr, span) if total is None else (total[: n - at - span + 1] * base + arr[at : n - span + 1], at + span)
     full = mix(total)
-    key = (full & ~_U((1 << _POS_BITS) - 1)) | np.arange(len(full), dtype=np.uint64)
-    low = _slides(key, p.length - p.gram + 1)
+    return _slides((full & ~_U((1 << _POS_BITS) - 1)) | np.arange(len(full), dtype=np.uint64), length - gram + 1), full
+
+
+def window_runs(raw: bytes, ends: np.ndarray, p: Params, frequent: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Runs of windows of concatenated texts: start, windows, key and hash of each run.
+
+    The key is the minimizer's hash; runs whose key is ``frequent`` are cut at longer minimizers, which join the key.
+    """
+    text, place = np.frombuffer(raw, dtype=np.uint8), _U((1 << _POS_BITS) - 1)
+    n, none = len(text), (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),) * 2
+    if n < p.length:
+        return none
+    low, full = _lowest(text, p.gram, p.length)
     m = len(low)
     ok = np.ones(m, dtype=bool)
     for e in ends[:-1]:
@@ -194,26 +208,38 @@ def window_runs(raw: bytes, ends: np.ndarray, p: Params) -> tuple[np.ndarray, ..
         return none
     stop = np.searchsorted(np.flatnonzero(new | ~ok), start, side="right")
     edges = np.append(np.flatnonzero(new | ~ok), m)
-    count = edges[stop] - start
+    count, key = edges[stop] - start, full[(low[start] & place).astype(np.int64)]
+    done = []
+    for gram, hot in zip(p.grams[1:], frequent, strict=False):
+        again = np.isin(key, hot)
+        done.append((start[~again], count[~again], key[~again]))
+        start, count, key = start[again], count[again], key[again]
+        if not len(start):
+            break
+        low, full = _lowest(text, gram, p.length)
+        first = np.cumsum(count) - count
+        window = np.repeat(start - first, count) + np.arange(int(count.sum()))
+        new = np.append(True, low[window[1:]] != low[window[:-1]])
+        new[first] = True
+        at = np.flatnonzero(new)
+        key = mix(np.repeat(key, count)[at] ^ full[(low[window[at]] & place).astype(np.int64)])
+        start, count = window[at], np.diff(np.append(at, len(window)))
+    start, count, key = (np.concatenate(x) for x in zip(*done, (start, count, key), strict=True))
     run = xxhash.xxh3_64_intdigest
     whole = np.fromiter((run(raw[i:j]) for i, j in zip(start.tolist(), (start + count + p.length - 1).tolist(), strict=True)), dtype=np.uint64, count=len(start))
-    return start, count, full[(low[start] & _U((1 << _POS_BITS) - 1)).astype(np.int64)], whole
+    return start, count, key, whole
 
 
 RUN = "route long, seen long, doc_id long, place long"
-DONE, ASK, ASK_WINDOWS = 0, 1, 2  # what is said of a run: settled, bytes wanted, windows wanted
+DONE, ASK = 0, 1  # what is said of a run: settled, or bytes wanted
 
 
 def _place(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return start << np.int64(_COUNT_BITS) | count
 
 
-def runs_of(docs: DataFrame, p: Params, frequent: np.ndarray | None = None) -> DataFrame:
-    """Rows (route, seen, doc_id, place): seen is the run's hash, or 0 for a run known to repeat an earlier one.
-
-    The route is the minimizer; of ``frequent`` minimizers it is that of minimizer and run, marked by its lowest bit.
-    """
-    frequent = np.zeros(0, dtype=np.uint64) if frequent is None else frequent
+def runs_of(docs: DataFrame, p: Params, frequent: list[np.ndarray]) -> DataFrame:
+    """Rows (route, seen, doc_id, place): seen is the run's hash, or 0 for a run known to repeat an earlier one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: dict[int, tuple[int, tuple[int, int]]] = {}  # frequent runs of the task: minimizer, earliest place sent
@@ -234,7 +260,7 @@ def runs_of(docs: DataFrame, p: Params, frequent: np.ndarray | None = None) -> D
                 if not part:
                     continue
                 ends = np.cumsum([len(r) for _, r in part])
-                start, count, mini, whole = window_runs(b"".join(r for _, r in part), ends, p)
+                start, count, mini, whole = window_runs(b"".join(r for _, r in part), ends, p, frequent)
                 doc = np.searchsorted(ends, start, side="right")
                 first = np.concatenate(([0], ends[:-1]))
                 got.append((mini, whole, np.array([d for d, _ in part], dtype=np.int64)[doc], _place(start - first[doc], count)))
@@ -260,10 +286,7 @@ def runs_of(docs: DataFrame, p: Params, frequent: np.ndarray | None = None) -> D
                 hot.setdefault(int(whole[i]), (int(mini[i]), (int(doc[i]), int(place[i]))))
             whole[whole == 0] = 1
             seen = np.where(again, _U(0), whole)
-            route = mini & ~_U(1)
-            apart = np.isin(route, frequent)
-            route[apart] = mix(mini[apart] ^ whole[apart]) | _U(1)
-            route[again] = mix(doc[again].astype(np.uint64) + _U(7))
+            route = np.where(again, mix(doc.astype(np.uint64) + _U(7)), mini)
             keep = ~again
             yield _runs(route[keep], seen[keep], doc[keep], place[keep])
             yield _runs(*_joined(route[again], doc[again], place[again]))
@@ -297,8 +320,7 @@ def _columns(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of one route together: later equal runs are settled, differing ones ask for their bytes, and those of a
-    frequent minimizer, whose differing runs are elsewhere, for their windows."""
+    """Runs of one route together: later equal runs are settled, differing ones ask for their bytes."""
     route, seen, doc, place = _columns(batches, ("route", "seen", "doc_id", "place"))
     if not len(route):
         return
@@ -314,9 +336,8 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = np.append(True, route[1:] != route[:-1])
     first = group | np.append(True, seen[1:] != seen[:-1])
     kinds = np.add.reduceat(first.astype(np.int64), np.flatnonzero(group))
-    apart = route & 1 == 1
-    ask = first & (apart | (np.repeat(kinds, np.diff(np.append(np.flatnonzero(group), len(route)))) > 1))
-    said = np.where(ask, np.where(apart, _U(ASK_WINDOWS), _U(ASK)), _U(DONE))
+    ask = first & (np.repeat(kinds, np.diff(np.append(np.flatnonzero(group), len(route)))) > 1)
+    said = np.where(ask, _U(ASK), _U(DONE))
     out = ask | ~first
     for lo in range(0, len(out), 100_000):
         s = slice(lo, lo + 100_000)
@@ -356,45 +377,26 @@ def _stretches(rows: list[tuple], p: Params) -> pa.RecordBatch:
     return _runs(np.zeros(len(s), dtype=np.uint64), np.zeros(len(s), dtype=np.uint64), doc, _place(start, n))
 
 
-def frequent_minimizers(docs: DataFrame, p: Params, parts: int, folder: str) -> np.ndarray:
-    """Minimizers that hold over a ``SHARE``-th of an average one of ``parts`` partitions, by a sample of documents;
-    at most ``SHARE * parts`` of them."""
-    sampled = runs_of(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), p).where(F.col("seen") != 0)
-    counts = materialize(sampled.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2), folder)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(LEAST_HOT, total / (SHARE * parts))).select("route").collect()  # each holds that much of the total
-    return np.sort(np.array([r.route for r in rows], dtype=np.int64).view(np.uint64))
+def frequent_keys(docs: DataFrame, p: Params, parts: int, folder: str) -> list[np.ndarray]:
+    """By level, the keys that hold over a ``SHARE``-th of an average one of ``parts`` partitions, by a sample of
+    documents; at most ``SHARE * parts`` a level, since each holds that much of the total."""
+    sample = materialize(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), folder)
+    found: list[np.ndarray] = []
+    while len(found) < len(p.grams) - 1:
+        rows = runs_of(sample, p, found).where(F.col("seen") != 0).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+        counts = materialize(rows.where(F.col("n") >= 2), folder)
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        hot = counts.where(F.col("n") >= max(LEAST_HOT, total / (SHARE * parts))).select("route").collect()
+        if not hot:
+            break
+        found.append(np.sort(np.array([r.route for r in hot], dtype=np.int64).view(np.uint64)))
+    return found
 
 
 def _per_doc(asks: DataFrame) -> DataFrame:
     return asks.groupBy("doc_id").agg(F.collect_list(F.struct("route", "place")).alias("asks"))
 
 
-def _windows_one_by_one(texts: DataFrame, p: Params, folder: str) -> DataFrame:
-    """Settled rows of asks (doc_id, text, asks) by the hash of every single window, kept earliest natively.
-
-    For minimizers that very many differing runs share: a window in most of them is pre-aggregated to its earliest
-    place, and joined back to all others, which Spark can split. A row that comes twice is settled alike twice.
-    """
-    length = p.length
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, text, asks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "asks")), strict=True):
-                raw = text.encode()
-                out += [(doc, at, *np.frombuffer(xxhash.xxh3_128_digest(raw[at : at + length]), dtype=np.int64).tolist()) for a in asks for at in range(a["place"] >> _COUNT_BITS, (a["place"] >> _COUNT_BITS) + (a["place"] & (1 << _COUNT_BITS) - 1))]
-            for lo in range(0, len(out), 50_000):
-                cols = list(zip(*out[lo : lo + 50_000], strict=True))
-                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "h1", "h2"), cols, strict=True)})
-
-    rows = materialize(texts.mapInArrow(hashes, "doc_id long, start long, h1 long, h2 long"), folder)
-    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    later = rows.join(first, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first"))
-    zero = F.lit(0).cast("long")
-    return later.select(zero.alias("route"), zero.alias("seen"), "doc_id", (F.shiftleft("start", _COUNT_BITS) + 1).alias("place"))
-
-
 def covered(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """doc_id and places: the stretches of windows (start << 16 | windows) of each document that repeat."""
     p = p or Params()
@@ -402,7 +404,7 @@ def covered(docs: DataFrame, p: Params | None = None) -> DataFrame:
     folder = work_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs_of(docs).where("doc_id is not null")
-    state = materialize(runs_of(base, p, frequent_minimizers(base, p, 2 * parts, folder)).repartition(2 * parts, "route").mapInArrow(settle, RUN), folder)
+    state = materialize(runs_of(base, p, frequent_keys(base, p, 2 * parts, folder)).repartition(2 * parts, "route").mapInArrow(settle, RUN), folder)
     length = p.length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,9 +417,7 @@ def covered(docs: DataFrame, p: Params | None = None) -> DataFrame:
                 cols = list(zip(*out[lo : lo + 50_000], strict=True))
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("route", "doc_id", "place", "bytes"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
-    asks, windows, done = (state.where(F.col("seen") == x) for x in (ASK, ASK_WINDOWS, DONE))
-    if not windows.isEmpty():
-        done = done.unionByName(materialize(_windows_one_by_one(base.join(_per_doc(windows), "doc_id"), p, folder), folder))
+    asks, done = (state.where(F.col("seen") == x) for x in (ASK, DONE))
     segments = base.join(_per_doc(asks), "doc_id").mapInArrow(cut, "route long, doc_id long, place long, bytes binary")
     ordered = segments.repartition(2 * parts, "route").sortWithinPartitions("route")
     more = materialize(ordered.mapInArrow(lambda it: settle_windows(it, p), RUN), folder)

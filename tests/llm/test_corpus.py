@@ -188,7 +188,7 @@ def plain_repeats(docs, length):
 @pytest.mark.parametrize(("p", "rows"), [(repeats.Params(12, 5), 1000), (repeats.Params(30, 7), 3), (repeats.Params(12, 4), 4), (repeats.Params(), 1000)])
 @pytest.mark.parametrize("frequent", [False, True])
 def test_repeats(frame, spark, monkeypatch, p, rows, frequent):
-    if frequent:  # most minimizers are dealt by runs
+    if frequent:  # the runs of most minimizers are cut
         for name, value in (("SAMPLE", 1), ("LEAST_HOT", 2), ("SHARE", 1000)):
             monkeypatch.setattr(repeats, name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)  # batches are a unit of the algorithm
