@@ -168,6 +168,15 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+SALTS = 16  # shares that a key is dealt in where its members meet one row of it
+
+
+def _by_key(members: DataFrame, one: DataFrame) -> DataFrame:
+    """``members`` with the columns of their key's single row in ``one``; a large bucket is spread over ``SALTS`` shares."""
+    salted = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit("salt")), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
 def joining_links(own: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Links (a, b) that join the components left in each bucket, from rows (key, rep, n, label).
 
@@ -176,7 +185,7 @@ def joining_links(own: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     loss; the others are compared in full, and only links between components not yet joined are returned.
     """
     count = own.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = own.join(count, "key").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), "blocks").cast("int"))
+    dealt = _by_key(own, count).withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = dealt.select("key", "rep", "label", "block", other).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "rep", "label", (F.col("block") > F.col("other")).alias("upper"), (F.col("block") == F.col("other")).alias("same"))
     rows = dealt.join(texts.select(F.col("doc_id").alias("rep"), "z"), "rep")
@@ -308,12 +317,12 @@ def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
         """Bucket members with their components, of buckets that hold several."""
         own = rows.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("label"))
         mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        return materialize(own.join(mixed, "key", "left_semi"), folder)
+        return materialize(_by_key(own, mixed), folder)
 
     own = labelled()
     if not own.isEmpty():
         pivot = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))).alias("m")).select("key", "m.a", "m.na", "m.la")
-        pairs = own.join(pivot, "key").where("label <> la and rep <> a").where(near("n", "na"))
+        pairs = _by_key(own, pivot).where("label <> la and rep <> a").where(near("n", "na"))
         pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), folder)
         links = links.unionByName(materialize(verify(pairs, texts, p), folder))
