@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import domain
+
 STREAK_CAP = 6
 
 
@@ -71,3 +73,9 @@ def request_hash(*columns: str) -> Column:
 def crawl_stats(rows: DataFrame) -> DataFrame:
     """By source: rows fetched, saved, without a pin, and in error, from flags of the same names."""
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("fetched"), *(F.count_if(F.col(c)).alias(c) for c in ("saved", "no_pin", "error")))
+
+
+def listed_only(urls: DataFrame, sources: DataFrame, url: str = "url") -> DataFrame:
+    """URLs on a host that a listed source names; others are never fetched. ``sources``: one row a source, with its url."""
+    hosts = sources.select(domain(F.col("url")).alias("_host")).where("_host <> ''").distinct()
+    return urls.withColumn("_host", domain(F.col(url))).join(hosts, "_host", "left_semi").drop("_host")

@@ -16,6 +16,7 @@ MONTHLY, PER_AREA = "\\$\\s*([0-9,.]+)\\s*(k)?\\s*(?:/|per |a )\\s*mo", "\\$\\s*
 BUYING = ("for sale", "buy", "purchase")
 WORD = "([a-z][a-z-]{2,})"
 KEYWORDS = 8
+NOTHING = "Nothing matches those constraints in this market yet. Try widening the size range or the rent cap."
 FIELDS = ("property_types", "transaction_type", "min_size_sf", "max_size_sf", "max_rent_per_sf_yr", "boroughs", "neighborhood", "keywords")
 
 
@@ -64,7 +65,24 @@ def merge_turns(turns: DataFrame, session: str, order: str) -> DataFrame:
 
 
 def reply(results: int | Column, near_miss: Column, relaxed: Column, address: Column, rationale: Column) -> Column:
-    """The deterministic answer above a list of results."""
+    """The deterministic answer above a list of results, an empty one too."""
     n = results if isinstance(results, Column) else F.lit(results)
     lead = F.when(near_miss & (relaxed != ""), F.concat(F.lit("Nothing matched exactly — I relaxed "), relaxed, F.lit(". "))).when(near_miss, "Nothing matched exactly, so here are the closest misses. ").otherwise("")
-    return F.concat(lead, n.cast("string"), F.when(n != 1, " matches. ").otherwise(" match. "), F.lit("The closest is "), address, F.lit(" — "), rationale, F.lit("."))
+    found = F.concat(lead, n.cast("string"), F.when(n != 1, " matches. ").otherwise(" match. "), F.lit("The closest is "), address, F.lit(" — "), rationale, F.lit("."))
+    return F.when(n == 0, NOTHING).otherwise(found)
+
+
+def guard_places(queries: DataFrame, metro: str = "metro") -> DataFrame:
+    """Queries without a box or boroughs that belong to another market than theirs.
+
+    A box counts once all four sides are set. A market that is not known has no box to leave and no boroughs to share.
+    """
+    boxes = F.create_map(*(x for m, spec in METROS.items() for x in (F.lit(m), F.array(*map(F.lit, spec["bbox"])))))
+    names = F.create_map(*(x for m, spec in METROS.items() for x in (F.lit(m), F.array(*map(F.lit, spec["boroughs"])))))
+    box, known = F.try_element_at(boxes, F.col(metro)), F.coalesce(F.try_element_at(names, F.col(metro)), F.array().cast("array<string>"))
+    sides = ("min_lat", "min_lng", "max_lat", "max_lng")
+    inside = F.col("min_lat").between(box[0], box[2]) & F.col("max_lat").between(box[0], box[2]) & F.col("min_lng").between(box[1], box[3]) & F.col("max_lng").between(box[1], box[3])
+    boxed = F.col("min_lat") * F.col("min_lng") * F.col("max_lat") * F.col("max_lng") != 0
+    foreign = F.coalesce(boxed & ~inside, F.lit(False)) | F.coalesce((F.size("boroughs") > 0) & ~F.arrays_overlap("boroughs", known), F.lit(False))
+    empty = {**{c: F.lit(0.0) for c in sides}, "boroughs": F.array().cast("array<string>"), "neighborhood": F.lit("")}
+    return queries.withColumn("_foreign", foreign).withColumns({c: F.when(F.col("_foreign"), v).otherwise(F.col(c)) for c, v in empty.items()}).drop("_foreign")

@@ -92,3 +92,14 @@ def fill_missing(feed: DataFrame, pages: DataFrame, key: str, facts: list[str])
         return F.coalesce(own, F.col(f"_page_{c}"))
 
     return joined.select(*(one(c).alias(c) if c in facts else F.col(c) for c in feed.columns))
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Add rows to a table that only grows: the crawl log, chats, turns. A table that is there must have their columns."""
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        there = dict(spark.read.parquet(path).dtypes)
+        if there != dict(rows.dtypes):
+            raise ValueError(f"{path} holds {there}")
+    rows.write.mode("append").parquet(path)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.ledger import STREAK_CAP
 from ..operators.upsert import coalescing_upsert, merge_into
@@ -38,7 +39,7 @@ def streaks(log: DataFrame) -> DataFrame:
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return log.groupBy("domain").applyInPandasWithState(update, "domain string, streak int", "streak int", "update", GroupStateTimeout.NoTimeout)
+    return log.select("domain", "fetched_at", "status").groupBy("domain").applyInPandasWithState(update, "domain string, streak int", "streak int", "update", GroupStateTimeout.NoTimeout)
 
 
 def upsert_batches(path: str, key: str = "source_url", seq: str = "seq", seen: str = "seen_at"):
@@ -60,6 +61,24 @@ def upsert_batches(path: str, key: str = "source_url", seq: str = "seq", seen: s
     return fold
 
 
+def run_available(out: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what has arrived, and the rows it gave, with the batch (``epoch``) that gave them.
+
+    Each batch has a folder of its own, so one that is replayed after a lost driver replaces itself.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    run_batches(out, folder, write, mode)
+    return out.sparkSession.read.schema(StructType([*out.schema, StructField("epoch", IntegerType())])).parquet(f"{folder}/rows")
+
+
+def run_batches(out: DataFrame, folder: str, fold, mode: str = "append") -> None:
+    """Hand all that has arrived since the last run to a ``foreachBatch`` function."""
+    out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(fold).trigger(availableNow=True).start().awaitTermination()
+
+
 def _exists(spark, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
