@@ -361,3 +361,18 @@ def test_walk_scores_fold_places(spark):
     got = {r.id: r for r in walk_scores(places, pois).collect()}
     assert set(got) == {1, 2, 4} and got[1].walk_score == got[2].walk_score == round((1.25 + 0.75 + 3) * 6.67) and got[4].walk_score == 0
     assert got[1].score_breakdown["coffee"]["count"] == 4 and got[1].score_breakdown["coffee"]["score"] == 2.0 and got[1].score_breakdown["banks"]["count"] == 0
+
+
+def test_radius_join_works_distances_out_by_coordinates(spark):
+    """Copies of a coordinate meet every point once, a crowd of points included; the last join is dealt, not broadcast."""
+    from siteglass.operators.nearby import CROWD, radius_join
+
+    places = spark.createDataFrame([(i, 40.0, -74.0) for i in range(40)] + [(99, 41.0, -74.0), (100, None, -74.0)], "id int, lat double, lng double")
+    points = spark.createDataFrame([(f"a{i}", 40.001, -74.0) for i in range(CROWD + 9)] + [("b", 40.01, -74.0), ("b", 40.01, -74.0), ("far", 42.0, -74.0)], "name string, lat double, lng double")
+    got = radius_join(places, points, digits=3)
+    rows = [tuple(r) for r in got.select("id", "name", "p_lat", "meters").collect()]
+    assert len(rows) == 40 * (CROWD + 9 + 2) and len(set(rows)) == 40 * (CROWD + 9 + 1)
+    assert {r[1:] for r in rows if r[1] == "b"} == {("b", 40.01, 1111.949)} and {r[0] for r in rows} == set(range(40))
+    lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    last = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert "SortMergeJoin" in lines[last] and "_share" in lines[last] and all("ASIN" not in line for line in lines[: last + 1])
