@@ -113,12 +113,17 @@ def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return both.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
+def _to_digits(c: Column, digits: int) -> Column:
+    """Rounded as databases do: the product with a power of ten, half away from zero. Spark's round goes by the number as printed, which decides ties otherwise."""
+    return F.round(c * float(10**digits), 0) / float(10**digits)
+
+
 def semantic_scores(candidates: DataFrame, fused: DataFrame | None, parts: int = 1) -> DataFrame:
     """Every candidate with position, semantic_score and score: ranked ones first, the others by id."""
     base = candidates.select("id")
     got = base.join(fused.select("id", F.col("score").alias("fused")), "id", "left") if fused is not None else base.withColumn("fused", F.lit(None).cast("double"))
-    sem = F.when(F.col("n") > 1, F.round(1 - F.col("i") / F.col("n"), 3)).otherwise(1.0)
-    return _placed(got, "fused", True, parts).select("id", F.col("i").cast("long").alias("position"), sem.alias("semantic_score"), F.round(sem * 100, 1).alias("score"))
+    sem = F.when(F.col("n") > 1, _to_digits(1 - F.col("i") / F.col("n"), 3)).otherwise(1.0)
+    return _placed(got, "fused", True, parts).select("id", F.col("i").cast("long").alias("position"), sem.alias("semantic_score"), _to_digits(sem * 100, 1).alias("score"))
 
 
 def _rounded(scored: DataFrame, score: str, digits: int) -> DataFrame:

@@ -376,3 +376,15 @@ def test_radius_join_works_distances_out_by_coordinates(spark):
     lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
     last = next(i for i, line in enumerate(lines) if "Join" in line)
     assert "SortMergeJoin" in lines[last] and "_share" in lines[last] and all("ASIN" not in line for line in lines[: last + 1])
+
+
+def test_semantic_scores_round_ties_as_sql(spark):
+    """Of 2,000 and 6,000 places some lie halfway between two thousandths; the database decides on the double."""
+    import duckdb
+
+    from siteglass.operators.search import semantic_scores
+
+    for n in (80, 2000, 6000):
+        got = semantic_scores(spark.range(n), None, 1 if n == 80 else 8).collect()
+        want = duckdb.sql(f"SELECT i, round(1 - i / CAST({n} AS DOUBLE), 3) AS s, round(round(1 - i / CAST({n} AS DOUBLE), 3) * 100, 1) AS t FROM range({n}) r(i)").fetchall()
+        assert sorted((r.position, r.semantic_score, r.score) for r in got) == sorted(want)
