@@ -173,13 +173,18 @@ def latest_characteristics(addresses: DataFrame, characteristics: DataFrame, key
 
 
 def zoned(points: DataFrame, polygons: DataFrame, key: str = "id", size: float = 0.01) -> DataFrame:
-    """(key, zone) of points in polygons (zone, ring of struct(x, y)): met by tile, decided by edge crossings."""
+    """(key, zone) of points in polygons (zone, ring of struct(x, y)): met by tile, decided by edge crossings.
+
+    Points are folded by coordinates and polygons by ring first, so copies of either are judged once.
+    """
     from ..functions.geo import inside, tile
 
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxes = polygons.withColumns({"tx": F.explode(F.sequence(tile(F.array_min(xs), size), tile(F.array_max(xs), size)))}).withColumn("ty", F.explode(F.sequence(tile(F.array_min(ys), size), tile(F.array_max(ys), size))))
-    at = points.select(key, "lat", "lng", tile("lng", size).alias("tx"), tile("lat", size).alias("ty"))
-    return at.join(boxes, ["tx", "ty"]).where(inside("lng", "lat", "ring")).groupBy(key).agg(F.min("zone").alias("zone"))
+    rings = polygons.groupBy("ring").agg(F.min("zone").alias("zone"))
+    boxes = rings.withColumns({"tx": F.explode(F.sequence(tile(F.array_min(xs), size), tile(F.array_max(xs), size)))}).withColumn("ty", F.explode(F.sequence(tile(F.array_min(ys), size), tile(F.array_max(ys), size))))
+    at = points.select("lat", "lng").distinct().withColumns({"tx": tile("lng", size), "ty": tile("lat", size)})
+    spots = at.join(boxes, ["tx", "ty"]).where(inside("lng", "lat", "ring")).groupBy("lat", "lng").agg(F.min("zone").alias("zone"))
+    return points.select(key, "lat", "lng").join(spots, ["lat", "lng"]).groupBy(key).agg(F.min("zone").alias("zone"))
 
 
 def accepted_answers(answers: DataFrame, asked: str = "asked", got: str = "label") -> DataFrame:

@@ -132,3 +132,16 @@ def test_workbook_holds_all_rows(spark):
     assert [book.read(f"xl/worksheets/sheet{i}.xml").count(b"<row>") for i in (1, 2, 3)] == [4, 4, 2] and book.testzip() is None
     assert all(book.read(f).count(b"heet3") for f in ("[Content_Types].xml", "xl/_rels/workbook.xml.rels")) and book.read("xl/workbook.xml").count(b"<sheet ") == 3
     assert zipfile.ZipFile(io.BytesIO(exports.workbook(rows.limit(0)))).read("xl/worksheets/sheet1.xml").count(b"<row>") == 1
+
+
+def test_zones_judge_copies_once(spark):
+    """200 points of one place in 200 copies of a ring: one pair is judged, every point is told the least zone."""
+    ring = [(0.0, 0.0), (0.015, 0.0), (0.015, 0.015), (0.0, 0.015)]
+    other = [(x + 0.004, y + 0.004) for x, y in ring]
+    polygons = spark.createDataFrame([(f"z{i:03}", ring) for i in range(200)] + [("a", other), ("b", other), (None, ring)], "zone string, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(i, 0.002, 0.002) for i in range(200)] + [(500, 0.012, 0.012), (501, 5.0, 5.0), (502, None, None), (503, 0.012, 0.012), (503, 0.002, 0.002)], "id int, lat double, lng double")
+    got = registry.zoned(points, polygons)
+    assert {r.id: r.zone for r in got.collect()} == {i: "z000" for i in range(200)} | {500: "a", 503: "a"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    judged = next(i for i, line in enumerate(plan) if "exists" in line or "zip_with" in line)
+    assert sum("Aggregate [" in line for line in plan[judged:]) >= 2
