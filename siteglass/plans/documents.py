@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facts, text
 from .register import query
-from .surrogates import table
+from .surrogates import dealt, table
 
 _FIVE = "replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 _BARE = "regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>', ' ', 'g')"
@@ -65,7 +65,7 @@ def range_collapse(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN 'Venice' WHEN p_partkey % 4 = 2 THEN 'Santa Monica' ELSE 'Oxnard' END AS city, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 3 THEN 'AZ' ELSE 'CA' END AS state FROM part")
 def city_of(spark: SparkSession, sf: str) -> DataFrame:
     said = "concat(p_partkey, ' Rose Avenue ', CASE p_partkey % 4 WHEN 0 THEN 'nowhere, XX' WHEN 1 THEN 'Venice, CA 90291' WHEN 2 THEN 'Santa Monica, CA' ELSE 'NNN Oxnard, AZ.' END)"
-    rows = table(spark, sf, "part").selectExpr("p_partkey AS id", f"{said} AS body", "concat(p_partkey, ' Rose Avenue') AS address")
+    rows = dealt(spark, sf, "part", "p_partkey").selectExpr("p_partkey AS id", f"{said} AS body", "concat(p_partkey, ' Rose Avenue') AS address")
     c = rows.select("id", text.city_of("body", "address").alias("c"))
     return c.select("id", "c.city", "c.state")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import files, registry
 from .register import query
-from .surrogates import table
+from .surrogates import dealt, table
 
 
 @query(
@@ -27,7 +27,7 @@ def csv_normalize(spark: SparkSession, sf: str) -> DataFrame:
 CAST(p_size + 40 AS DOUBLE) AS asking_rent, 'sf_yr' AS rent_unit, CASE WHEN p_partkey % 5 = 0 THEN 'ny' END AS geo_state FROM part WHERE p_partkey % 7 <> 0"""
 )
 def feed_pick(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").selectExpr(
+    rows = dealt(spark, sf, "part", "p_partkey").selectExpr(
         "p_partkey AS id", "concat('https://x.com/p/', p_partkey) AS link", "concat('a-', replace(p_name, ' ', '-'), CASE WHEN p_partkey % 5 = 0 THEN '-ny-2' ELSE '-zz' END) AS slug",
         "named_struct('rendered', concat(p_partkey, ' ', p_name, CASE WHEN p_partkey % 7 = 0 THEN ' - <b>Leased</b>' ELSE '' END)) AS title", "named_struct('rendered', '') AS guid",
         "CASE WHEN p_partkey % 2 = 0 THEN map('type', 'Retail', 'square_feet', format_number(1000 + p_size, 0), 'address', CASE WHEN p_partkey % 3 = 0 THEN concat(p_partkey, ' Main St') ELSE '' END) ELSE map() END AS acf",
@@ -160,7 +160,7 @@ UNION ALL SELECT 'https://b/' || p_partkey || '-main-st/', p_partkey || ' Main S
 )
 def page_listings(spark: SparkSession, sf: str) -> DataFrame:
     """Listings from the words of pages; a page stored twice gives its listing twice."""
-    pages = table(spark, sf, "part").selectExpr("p_partkey", "concat('https://b/', p_partkey, '-main-st/') AS url", f"{_WORDS} AS html")
+    pages = dealt(spark, sf, "part", "p_partkey").selectExpr("p_partkey", "concat('https://b/', p_partkey, '-main-st/') AS url", f"{_WORDS} AS html")
     out = files.page_listings(pages.unionByName(pages.where("p_partkey % 10 = 0")), "b", "B", "mia")
     return out.select("source_url", "address", "geo_hint", "size_sf", "asking_rent", "rent_unit", "property_type", "transaction_type")
 

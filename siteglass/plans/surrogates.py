@@ -53,6 +53,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+DEALT = 4  # shares a core, so that a slow one is made up for
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose few bytes a row become a page or an address to be read, dealt over all cores by its key.
+
+    Its file would be one or a few splits however many rows it has, and all reading would be done by as many tasks. The
+    narrow rows are dealt, before the pages are made.
+    """
+    return table(spark, sf_dir, name).repartition(DEALT * spark.sparkContext.defaultParallelism, key)
+
+
 def _view(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str]) -> DataFrame:
     return table(spark, sf_dir, name).selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rent import feed_rent
+from ..functions.steps import settled
 from ..functions.text import describe, off_market, slug_address, slug_state, unescape
 from ..schema import PROPERTY_TYPES
 
@@ -184,11 +185,12 @@ def page_listings(pages: DataFrame, source: str, firm: str, metro: str) -> DataF
     from ..functions.text import city_of, headline, page_text, raw_headline, slug_title
 
     slug = F.regexp_replace(F.element_at(F.split(F.regexp_replace("url", "/+$", ""), "/"), -1), "[/?#].*$", "")
-    read = pages.select("url", page_text("html", unescape).alias("text"), raw_headline("html", unescape).alias("raw"), headline("html").alias("head"), slug_title(slug).alias("slug"))
+    words = pages.select("url", page_text("html", unescape).alias("text"), raw_headline("html", unescape).alias("raw"), headline("html").alias("head"), slug_title(slug).alias("slug"))
+    read = settled(words, *words.columns)
     address = F.when(F.col("head").rlike("^[0-9]+\\s+\\S"), F.col("head")).when(F.col("slug").rlike("^[0-9]+\\s+\\S"), F.col("slug"))
     rows = read.withColumn("address", F.trim(unescape(address))).where(F.col("address").isNotNull() & ~off_market("raw", "address", "url"))
     rows = rows.withColumns({"f": page_facts("text", F.lit(metro)), "city": city_of("text", "address")})
-    rows = rows.where(F.coalesce("f.size_sf", "f.asking_rent", "f.sale_price", "f.total_building_sf").isNotNull())
+    rows = settled(rows, "url", "address", "f", "city").where(F.coalesce("f.size_sf", "f.asking_rent", "f.sale_price", "f.total_building_sf").isNotNull())
     out = rows.select(F.col("url").alias("source_url"), "address", F.when(F.col("city").isNotNull(), F.concat_ws(", ", "address", "city.city", "city.state")).alias("geo_hint"), F.lower("city.state").alias("geo_state"), "f.*")
     return _finish(out, source, firm, metro)
 

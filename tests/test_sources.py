@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteglass.sources import exports, files, registry
+from siteglass.plans.register import QUERIES
 from siteglass.streaming import crawl
 
 
@@ -145,3 +146,17 @@ def test_zones_judge_copies_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     judged = next(i for i, line in enumerate(plan) if "exists" in line or "zip_with" in line)
     assert sum("Aggregate [" in line for line in plan[judged:]) >= 2
+
+
+WORK = ("ArrowEvalPython", "from_json", "get_json_object", "regexp_", "RLIKE", "lambda")
+
+
+@pytest.mark.parametrize("name", ["page_listings", "city_of"])
+def test_pages_are_read_after_rows_are_dealt(spark, name):
+    """Below the exchange that deals the narrow rows out, in the few splits of their file, nothing is read."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    dealt = [i for i, line in enumerate(plan) if "hashpartitioning(p_partkey" in line and "REPARTITION_BY_NUM" in line]
+    below = [line for i in dealt for line in plan[i + 1 : next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))]]
+    assert dealt and sum("Scan parquet" in line for line in plan) == len(dealt)
+    assert not [line for line in below if any(w in line for w in WORK)]
