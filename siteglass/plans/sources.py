@@ -50,7 +50,7 @@ def json_nodes(spark: SparkSession, sf: str) -> DataFrame:
 def app_state(spark: SparkSession, sf: str) -> DataFrame:
     body = """concat('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"__APOLLO_STATE__":{"Building:1":{"__typename":"Building","slug":"/b', p_partkey, '/","address":"', p_partkey, ' Elm St","listings":[{"__ref":"Listing:1"},{"__ref":"Listing:2"},{"__ref":"Listing:3"},{"__ref":"Listing:4"}]},"Building:2":{"__typename":"Building","slug":"/other","address":"9 Far St","listings":[{"__ref":"Listing:1"}]},',
 '"Listing:1":{"id":1,"status":"AVAILABLE","squareFeet":', p_size * 100 + 1, ',"details":{"Property Type":"Office"}},"Listing:2":{"id":2,"status":"AVAILABLE","squareFeet":0,"estimatedSquareFeet":', p_size * 100 + 2, ',"details":{"Property Type":"Office"}},"Listing:3":{"id":3,"status":"UNAVAILABLE","squareFeet":5000},"Listing:4":{"id":4,"status":"AVAILABLE","squareFeet":0}}}}}</script>')"""
-    pages = table(spark, sf, "part").selectExpr("concat('https://x.com/building/b', p_partkey) AS url", f"{body} AS html")
+    pages = dealt(spark, sf, "part", "p_partkey").selectExpr("concat('https://x.com/building/b', p_partkey) AS url", f"{body} AS html")
     return files.app_state_listings(pages, "x", "X", "nyc").select("source_url", "address", "size_sf", "property_type")
 
 

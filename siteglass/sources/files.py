@@ -158,13 +158,14 @@ def app_state_listings(pages: DataFrame, source: str, firm: str, metro: str, bou
     body = F.regexp_extract("html", '(?is)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
     state = F.from_json(F.get_json_object(body, "$.props.pageProps.__APOLLO_STATE__"), "map<string,string>")
     path = F.regexp_replace(F.regexp_replace("url", "^.*?//[^/]+/building", ""), "/+$", "")
-    rows = pages.select("url", path.alias("path"), state.alias("state")).where("state is not null")
+    rows = settled(pages, "url", path.alias("path"), state.alias("state")).where("state is not null")
     nodes = F.transform(F.map_values("state"), lambda v: F.from_json(v, "__typename string, slug string, address string, listings array<string>"))
     here = F.filter(nodes, lambda v: (v["__typename"] == "Building") & (F.regexp_replace(F.coalesce(v["slug"], F.lit("")), "/+$", "") == F.col("path")))
     rows = rows.select("url", "state", F.inline(F.slice(here, 1, 1)))
     refs = F.transform("listings", lambda r: F.coalesce(F.get_json_object(r, "$.__ref"), r))
     suites = rows.select("url", "state", "address", F.explode(refs).alias("ref"))
-    suites = suites.select("url", "address", F.from_json(F.try_element_at("state", F.col("ref")), "id string, status string, squareFeet string, estimatedSquareFeet string, floorAndSuite string, details map<string,string>").alias("s"))
+    read = F.from_json(F.try_element_at("state", F.col("ref")), "id string, status string, squareFeet string, estimatedSquareFeet string, floorAndSuite string, details map<string,string>")
+    suites = settled(suites, "url", "address", read.alias("s"))
     size = F.coalesce(F.nullif(F.col("s.squareFeet").try_cast("double"), F.lit(0.0)), F.col("s.estimatedSquareFeet").try_cast("double"))
     kind = F.lower(F.try_element_at("s.details", F.lit("Property Type")))
     out = suites.where((F.col("s.status") == "AVAILABLE") & size.between(*bounds) & (F.coalesce("address", F.lit("")) != ""))
