@@ -173,7 +173,7 @@ def extraction_ladder(spark: SparkSession, sf: str) -> DataFrame:
     """Each page by its first reading that yields; the words of the pages of the first two rungs would yield too."""
     state = """concat('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"__APOLLO_STATE__":{"B:1":{"__typename":"Building","slug":"/', p_partkey, '","address":"', p_partkey, ' Elm St","listings":[{"__ref":"L:1"}]},"L:1":{"id":1,"status":"AVAILABLE","squareFeet":', p_size + 1000, '}}}}}</script>')"""
     node = """concat('<script type="application/ld+json">{"@type":"Place","address":{"streetAddress":"', p_partkey, ' Oak St","addressLocality":"Miami"},"floorSize":{"value":"', p_size + 1000, '"}}</script>')"""
-    pages = table(spark, sf, "part").selectExpr(
+    pages = dealt(spark, sf, "part", "p_partkey").selectExpr(
         "CASE p_partkey % 4 WHEN 0 THEN concat('https://b/building/', p_partkey) WHEN 1 THEN concat('https://b/ld/', p_partkey) WHEN 2 THEN concat('https://b/', p_partkey, '-main-st/') ELSE concat('https://b/about/', p_partkey) END AS url",
         f"CASE p_partkey % 4 WHEN 0 THEN concat({state}, {_WORDS}) WHEN 1 THEN concat({node}, {_WORDS}) WHEN 2 THEN {_WORDS} ELSE '<h1>About us</h1>' END AS html",
     )
