@@ -120,7 +120,7 @@ CASE p_partkey % 8 WHEN 5 THEN 'sf_yr' WHEN 6 THEN 'mo' END AS rent_unit, CASE p
 def told_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Eight ways to state a fact: decoys of size and rent, the district's figures, ranges, divisions, sales, both offers."""
     body = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_TOLD)) + " END"
-    rows = table(spark, sf, "part").selectExpr("p_partkey AS id", f"{body} AS body").withColumn("f", facts.page_facts("body", F.lit("nyc")))
+    rows = dealt(spark, sf, "part", "p_partkey").selectExpr("p_partkey AS id", f"{body} AS body").withColumn("f", facts.page_facts("body", F.lit("nyc")))
     return rows.select("id", "f.size_sf", F.col("f.divisible_min_sf").alias("low"), "f.sale_price", "f.transaction_type", "f.asking_rent", "f.rent_unit", F.col("f.property_type").alias("kind"))
 
 
