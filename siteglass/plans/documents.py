@@ -75,7 +75,7 @@ def address_match(spark: SparkSession, sf: str) -> DataFrame:
     """The same place in other words, a wrong house, a wrong direction, a wrong street, one that cannot be told."""
     asked = "CASE WHEN p_partkey % 5 = 0 THEN concat(p_partkey, ' South Drive, Town, TX') ELSE concat(p_partkey, ' West 38th Street, New York, NY') END"
     got = "CASE p_partkey % 5 WHEN 0 THEN concat(p_partkey, ' S DR') WHEN 1 THEN concat(p_partkey, ' W 38 ST, MANHATTAN') WHEN 2 THEN concat(p_partkey + 1, ' W 38 ST') WHEN 3 THEN concat(p_partkey, ' E 38 ST') ELSE concat(p_partkey, ' W 410 ST, NEW YORK') END"
-    rows = table(spark, sf, "part").selectExpr("p_partkey AS id", f"{asked} AS asked", f"{got} AS got")
+    rows = dealt(spark, sf, "part", "p_partkey").selectExpr("p_partkey AS id", f"{asked} AS asked", f"{got} AS got")
     return rows.select("id", text.address_matches("asked", "got").alias("ok"))
 
 

@@ -126,7 +126,7 @@ def station_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey AS asked, 'r1' AS source FROM part WHERE p_partkey % 2 = 0")
 def geocoder_answers(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
+    p = dealt(spark, sf, "part", "p_partkey")
     said = p.selectExpr("p_partkey", "concat(p_partkey, ' West 38th Street') AS asked", "CASE WHEN p_partkey % 2 = 0 THEN concat(p_partkey, ' W 38 ST') ELSE concat(p_partkey, ' E 39 ST') END AS label", "'r1' AS source", "1 AS rank")
     more = said.withColumns({"source": F.lit("r2"), "rank": F.lit(2)})
     got = registry.accepted_answers(said.unionByName(more))

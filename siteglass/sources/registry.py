@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.steps import settled
 from ..functions.text import address_matches
 from ..schema import PARCEL, STATION
 
@@ -189,7 +190,7 @@ def zoned(points: DataFrame, polygons: DataFrame, key: str = "id", size: float =
 
 def accepted_answers(answers: DataFrame, asked: str = "asked", got: str = "label") -> DataFrame:
     """Geocoder answers that name the address asked for; the best ranked of each."""
-    ok = answers.where(address_matches(asked, got))
+    ok = settled(answers, *answers.columns, address_matches(asked, got).alias("_ok")).where("_ok").drop("_ok")
     values = [c for c in answers.columns if c != asked]
     return ok.groupBy(asked).agg(F.min_by(F.struct(*values), F.col("rank")).alias("a")).select(asked, "a.*")
 
