@@ -42,7 +42,7 @@ _NODE = """concat('<html><script type="application/ld+json">{broken</script><scr
 @query("SELECT 'u' || p_partkey AS source_url, p_partkey || ' Oak St, Miami' AS address, CAST(p_size * 10 AS INTEGER) AS size_sf, CASE WHEN p_size + 100 <= 1000 THEN CAST(p_size + 100 AS DOUBLE) END AS asking_rent, 'sf_yr' AS rent_unit FROM part WHERE p_partkey % 4 <> 0")
 def json_nodes(spark: SparkSession, sf: str) -> DataFrame:
     node = """concat('{"@type":"', CASE WHEN p_partkey % 4 = 0 THEN 'Organization' ELSE 'Place' END, '","address":{"streetAddress":"', p_partkey, ' Oak St","addressLocality":"Miami"},"floorSize":{"value":"', p_size * 10, '"},"offers":{"price":"', p_size + 100, '"}}')"""
-    pages = table(spark, sf, "part").selectExpr("p_partkey", f"{node} AS n").selectExpr("concat('u', p_partkey) AS url", f"{_NODE} AS html")
+    pages = dealt(spark, sf, "part", "p_partkey").selectExpr("p_partkey", f"{node} AS n").selectExpr("concat('u', p_partkey) AS url", f"{_NODE} AS html")
     return files.jsonld_listings(pages, "x", "X", "mia").select("source_url", "address", "size_sf", "asking_rent", "rent_unit")
 
 

@@ -124,8 +124,9 @@ def jsonld_listings(pages: DataFrame, source: str, firm: str, metro: str) -> Dat
     All ld+json blocks count; a block may be a node, a list of nodes, or a graph. A block that is no JSON is passed over.
     """
     blocks = F.regexp_extract_all("html", F.lit("(?is)<script[^>]+type=[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"), 1)
-    rows = pages.select("url", F.posexplode(blocks).alias("block", "body")).withColumn("v", F.try_parse_json("body")).where("v is not null")
-    text = rows.select("url", "block", F.to_json("v").alias("j"), F.expr("schema_of_variant(v)").alias("kind"))
+    rows = pages.select("url", F.posexplode(blocks).alias("block", "body"))
+    rows = settled(rows, "url", "block", F.try_parse_json("body").alias("v")).where("v is not null")
+    text = settled(rows, "url", "block", F.to_json("v").alias("j"), F.expr("schema_of_variant(v)").alias("kind"))
     nodes = F.when(F.col("kind").startswith("ARRAY"), F.from_json("j", "array<string>")).otherwise(F.coalesce(F.from_json(F.get_json_object("j", "$.@graph"), "array<string>"), F.array("j")))
     each = text.select("url", "block", F.posexplode(nodes).alias("at", "node"))
 
