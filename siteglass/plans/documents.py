@@ -99,7 +99,7 @@ _FACT = "concat('Suite ', p_partkey, '. Size: ', format_number(p_partkey % 9000
     """SELECT p_partkey AS id, CAST(p_partkey % 9000 + 200 AS INTEGER) AS size_sf, CASE WHEN p_partkey % 3 = 0 THEN CAST(90000 + p_partkey % 1000 AS INTEGER) END AS building, CAST(20 + p_partkey % 60 AS DOUBLE) AS asking_rent, CASE WHEN p_partkey % 2 = 0 THEN 'sf_yr' ELSE 'sf_mo' END AS rent_unit, 'office' AS kind FROM part"""
 )
 def html_facts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").selectExpr("p_partkey AS id", f"{_FACT} AS body", "CASE WHEN p_partkey % 2 = 0 THEN 'nyc' ELSE 'la' END AS metro").withColumn("f", facts.page_facts("body", "metro"))
+    rows = dealt(spark, sf, "part", "p_partkey").selectExpr("p_partkey AS id", f"{_FACT} AS body", "CASE WHEN p_partkey % 2 = 0 THEN 'nyc' ELSE 'la' END AS metro").withColumn("f", facts.page_facts("body", "metro"))
     return rows.select("id", "f.size_sf", F.col("f.total_building_sf").alias("building"), "f.asking_rent", "f.rent_unit", F.col("f.property_type").alias("kind"))
 
 

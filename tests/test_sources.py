@@ -151,7 +151,7 @@ def test_zones_judge_copies_once(spark):
 WORK = ("ArrowEvalPython", "from_json", "get_json_object", "regexp_", "RLIKE", "lambda")
 
 
-@pytest.mark.parametrize("name", ["page_listings", "city_of", "app_state", "extraction_ladder", "told_facts", "geocoder_answers", "address_match", "json_nodes"])
+@pytest.mark.parametrize("name", ["page_listings", "city_of", "app_state", "extraction_ladder", "told_facts", "geocoder_answers", "address_match", "json_nodes", "html_facts"])
 def test_pages_are_read_after_rows_are_dealt(spark, name):
     """Below the exchange that deals the narrow rows out, in the few splits of their file, nothing is read."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
